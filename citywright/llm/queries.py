@@ -1,25 +1,81 @@
-"""The queries of the corpus operators: each applies one operator to its whole table."""
+"""The queries of the corpus operators: each applies one operator to its whole table, with production parameters."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import licenses, toxicity
+from .decontamination import find_leaks
+from .mixing import mix
 from .near_dedup import near_duplicates
+from .quality import clean_lines
+from .secrets import BASE_KINDS, findings, joined
+from .token_counts import count_tokens
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _remainder(docs: DataFrame, by: int):
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % by
+
+
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_shingles, component_id, kept."""
     return near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, item_id, similarity, start_word, n_words, distance of each leak."""
+    return find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, the base figures, the lines' figures, base_failed, kept."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return clean_lines(docs).drop("text", "clean_text")
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted; documents with crc32(doc_id) mod 4 = 2 are held out of training."""
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(_remainder(labels, 4) != 2))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", (_remainder(scored, 4) == 2).alias("held_out"), "score", F.when(F.col("score") >= toxicity.THRESHOLD, 1).otherwise(0).alias("predicted"))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text_license, licenses, n_license_lines."""
+    return licenses.scan_licenses(_read(spark, sf_dir, "documents"))
+
+
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, taken."""
+    return mix(_read(spark, sf_dir, "documents"))
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
+    found = findings(_read(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*BASE_KINDS))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *[count(k) for k in BASE_KINDS], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_tokens."""
+    return count_tokens(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    f.__name__: f
+    for f in (op1_minhash_near_dedup, op2_benchmark_decontamination, op3_quality_rules, op4_toxicity, op5_license_scan, op8_source_mixing, op9_secret_scan, op10_token_counts)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_license_scan": licenses.oracle_sql(),
+}
