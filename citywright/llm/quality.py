@@ -10,8 +10,8 @@ SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]"
 SYMBOLS = r"[^#*$%&|<>]+"
 
-#: A line passes on punctuation if it ends a sentence, behind closing quotes or brackets too, or with a colon, comma or semicolon.
-SENTENCE_END = r"[.!?…:;,。！？][\"'”’»)\]}*_\x20\x09-\x0D]*$"
+#: A line passes on punctuation if a sentence ends in it, behind closing quotes or brackets too.
+SENTENCE_END = r"[.!?…:;。！？][\"'”’»)\]}*_]*([\x20\x09-\x0D]|$)"
 #: A line is navigation if a quarter of its words or more are separators, or if it is a short run of menu words.
 SEPARATORS = r"[^|»›•·]+"
 MENU = r"(?i)^\W*(home|menu|login|log in|sign in|sign up|register|search|next|previous|back to top|skip to content|share|tweet|print|read more|contact us|about us|sitemap)(\W+(home|menu|login|log in|sign in|sign up|register|search|next|previous|share|tweet|print|contact us|about us|sitemap))*\W*$"
@@ -50,7 +50,7 @@ def clean_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines (with a word), n_lines_kept, n_words_kept
     (long), clean_text (the lines that pass, joined by newlines), base_failed and kept (boolean). A line
-    fails if it does not end a sentence, is mostly symbols or separators, is a menu, or holds a boilerplate
+    fails if no sentence ends in it, or it is mostly symbols or separators, is a menu, or holds a boilerplate
     phrase; a line equal to an earlier one falls away too. A document is kept unless ``base_failed`` or less
     than half of its words are in lines that pass. Null text counts as empty: all figures 0, not kept. A
     column of ``docs`` with one of the added names is replaced; all other columns stay as they are. Each row is judged alone, so
