@@ -29,7 +29,7 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>\"']*(?:
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 
 #: A node is template if it has the same text on this share of the host's pages that have it, and these are so many at least.
-SAME_SHARE, LEAST_PAGES = 0.8, 4
+SAME_SHARE, LEAST_PAGES = 0.9, 10
 #: Outside of articles, blocks with more than this share of their characters in links are menus.
 LINK_SHARE = 0.6
 #: Wrappers are broadcast up to this many bytes for all hosts together, and joined by shuffling beyond.
@@ -222,8 +222,7 @@ def main_text(html: str, wrapper: list | None, constant: set[int]) -> str:
     """Blocks of the page that the wrapper leaves open, and that are not outside the article, joined by newlines.
 
     Nodes aligned with template nodes fall away where they hold the template's text; what is varying, or has no
-    counterpart, stays. Where a page marks an article, only what is in it counts; its own blocks are not template,
-    since copies of an article on one host would look like one.
+    counterpart, stays. Where a page marks an article, only what is in it counts.
     """
     root, blocks = parse(html)
     fixed: set[int] = set()
@@ -237,10 +236,8 @@ def main_text(html: str, wrapper: list | None, constant: set[int]) -> str:
 
         walk(wrapper)
         fixed = {id(n) for k, n in align(wrapper, root).items() if k in constant and n.digest() == digests[k]}
-    open_ = [b for b in blocks if not b.outside]
-    chosen = [b.text for b in open_ if b.inside]
-    if not chosen:
-        chosen = [b.text for b in open_ if b.linked <= LINK_SHARE and id(b.node) not in fixed]
+    open_ = [b for b in blocks if not b.outside and id(b.node) not in fixed]
+    chosen = [b.text for b in open_ if b.inside] or [b.text for b in open_ if b.linked <= LINK_SHARE]
     return "\n".join(chosen)
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from . import licenses, toxicity
 from .decontamination import find_leaks
+from .html_content import extract_text
+from .lm_scoring import score_texts
 from .mixing import mix
 from .near_dedup import near_duplicates
 from .quality import clean_lines
@@ -53,6 +55,18 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_read(spark, sf_dir, "documents"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; crc32(doc_id) mod 5 = 1 is held out."""
+    docs = _read(spark, sf_dir, "documents")
+    scored = score_texts(docs, _remainder(docs, 5) == 1)
+    return scored.select("doc_id", (_remainder(scored, 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, text, n_chars."""
+    return extract_text(_read(spark, sf_dir, "pages"))
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken."""
     return mix(_read(spark, sf_dir, "documents"))
@@ -73,7 +87,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_minhash_near_dedup, op2_benchmark_decontamination, op3_quality_rules, op4_toxicity, op5_license_scan, op8_source_mixing, op9_secret_scan, op10_token_counts)
+    for f in (op1_minhash_near_dedup, op2_benchmark_decontamination, op3_quality_rules, op4_toxicity, op5_license_scan, op6_lm_scoring, op7_html_extraction, op8_source_mixing, op9_secret_scan, op10_token_counts)
 }
 
 ORACLE_SQL: dict[str, str] = {
