@@ -122,25 +122,23 @@ def _fits(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"source": group["source"], "size": lengths, "times": times, "n_more": more}).assign(n=counts)
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, percent: int = PERCENT, most_times: int = MOST_TIMES, seed: int = SEED) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken), a row for each row of ``docs``.
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, more: list[Column] | None = None) -> DataFrame:
+    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), n_words(F.col(f"`{text_col}`")).alias("size"), *(more or []))
 
-    size is the text's number of words (null: 0); copies is how often the mix takes the document and taken =
-    copies * size. Every document of a source is taken floor(target / source_size) times, and some once more: documents
-    are counted by exact size, a knapsack over those counts picks how many of each size come nearest to the
-    remaining budget, and the first so many by a seeded hash of the id are taken. Reruns agree.
 
-    A null source is a source of its own, last in order. Texts without words have size 0 and are never taken.
-    Repeated rows are documents of their own. Other columns are ignored.
-    """
-    sized = stored(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), n_words(F.col(f"`{text_col}`")).alias("size")), "sizes")
+def _planned(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int = PERCENT, most_times: int = MOST_TIMES) -> tuple[DataFrame, DataFrame]:
+    """(source, size, times, n_more, n) and (source, source_size, target)."""
     histogram = stored(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "histogram")
     wanted = stored(targets(histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, percent, most_times), "targets")
 
     # a group is one source's distinct sizes, as many as its longest document has words at most
     counted = histogram.join(wanted.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).select("source", "size", "n", "target")
     plan = stored(counted.groupBy("source").applyInPandas(_fits, "source string, size long, times long, n_more long, n long"), "plan")
+    return plan, wanted
 
+
+def _copies(sized: DataFrame, plan: DataFrame, seed: int, more: list[str] | None = None) -> DataFrame:
+    """``sized`` with copies; of a size that is taken in part, the first documents by the seeded hash get one more."""
     # ranks by the seeded hash: first among the lots of a group, then within the one lot that is taken in part
     order = F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"))
     dealt = sized.withColumn("_order", order).withColumn("_lot", F.pmod("_order", F.lit(LOTS)))
@@ -151,7 +149,34 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     placed = dealt.withColumn("_rank", F.row_number().over(Window.partitionBy("source", "size", "_lot").orderBy("_order", "doc_id")))
     joined = placed.join(cut, F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z")) & (F.col("_lot") == F.col("_l")))
     copies = F.when(F.col("size") == 0, F.lit(0)).otherwise(F.col("times") + F.when(F.col("_rank") <= F.col("_take"), 1).otherwise(0)).cast("long")
-    mixed = joined.select("doc_id", "source", "size", copies.alias("copies"))
+    return joined.select("doc_id", "source", "size", copies.alias("copies"), *(more or []))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, percent: int = PERCENT, most_times: int = MOST_TIMES, seed: int = SEED) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies, taken), a row for each row of ``docs``.
+
+    size is the text's number of words (null: 0); copies is how often the mix takes the document and taken =
+    copies * size. Every document of a source is taken floor(target / source_size) times, and some once more: documents
+    are counted by exact size, a knapsack over those counts picks how many of each size come nearest to the
+    remaining budget, and the first so many by a seeded hash of the id are taken. Reruns agree.
+
+    A null source is a source of its own, last in order. Texts without words have size 0 and are never taken.
+    Repeated rows are documents of their own. Other columns are ignored.
+    """
+    sized = stored(_sized(docs, id_col, text_col, source_col), "sizes")
+    plan, wanted = _planned(sized, weights, percent, most_times)
+    copied = _copies(sized, plan, seed)
     own = wanted.withColumnRenamed("source", "_s")
-    out = mixed.join(own, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    out = copied.join(own, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, **options) -> DataFrame:
+    """The rows of ``docs`` that the mix takes, with all their columns and ``copies``, how often each is taken.
+
+    A column of ``docs`` named copies is replaced. Decisions are those of ``mix``.
+    """
+    sized = _sized(docs, id_col, text_col, source_col)
+    plan, _ = _planned(stored(sized, "sizes"), **options)
+    carried = _sized(docs, id_col, text_col, source_col, [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != "copies"]).alias("_row")])
+    return _copies(carried, plan, seed, ["_row"]).where("copies > 0").select("_row.*", "copies")

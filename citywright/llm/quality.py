@@ -85,7 +85,9 @@ def clean_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "word_chars",
         "n_symbols",
         "n_dup_lines",
-        F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
+        # the added 0 is not deterministic for Spark: else a filter on the verdict would be moved into the steps above,
+        # and whole arrays be computed anew for each of their elements
+        (F.coalesce(covered, F.lit(0)) + F.floor(F.rand(0))).cast("long").alias("n_repeat_words"),
         F.size("_lines").cast("long").alias("n_lines"),
         F.size("_ok").cast("long").alias("n_lines_kept"),
         kept_words.cast("long").alias("n_words_kept"),
