@@ -17,8 +17,8 @@ from .words import mix64, runs, shingle_sets
 #: Production parameters. A pair at exactly 0.75 shares none of 40 bands of 5 with probability 2e-5.
 BANDS, ROWS = 40, 5
 PERCENT = 75
-#: Rounds in which each bucket is compared with one of its members, before what is left is compared pairwise.
-PIVOT_ROUNDS = 3
+#: Rounds in which each bucket is compared with one of its members, before the rest is searched by rare shingles.
+PIVOT_ROUNDS = 2
 
 _FIRST = np.array([0x7FEB352D, 0x846CA68B], dtype=np.uint32)
 _SECOND = np.array([0x9E3779B1, 0x85EBCA6B], dtype=np.uint32)
@@ -114,6 +114,38 @@ def _links(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(_verified(percent), "u long, v long")
 
 
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a, b, words in runs(batch.column(2)):
+            sets = shingle_sets(words)
+            ends = np.cumsum([0, *map(len, sets)])
+            hashes = np.concatenate([*sets, np.zeros(0, dtype=np.uint64)]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(hashes))], names=["node", "component", "shingles"])
+
+
+def _by_rare_shingles(nodes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """All pairs (u, v) of ``nodes`` in different components that can be similar enough, by prefix and position.
+
+    Each set is put in order of how rare its shingles are among ``nodes``. Two sets that share enough share one among
+    their first size - least overlap + 1 shingles, and what stands behind it in both leaves room for the overlap. So
+    texts that have only a common passage meet at none of their rare shingles, and sets that differ by
+    too much of their own wording meet nobody. None that is similar enough is lost.
+    """
+    held = texts.join(nodes, "node").select("node", "component", "text")
+    sets = stored(held.mapInArrow(_sets, "node long, component long, shingles array<long>").select("*", F.size("shingles").alias("n"), F.xxhash64("shingles").alias("version")), "sets")
+    spread = sets.select("node", "component", "version", "n", F.explode("shingles").alias("s"))
+    often = spread.groupBy("s").agg(F.count("*").alias("often"))
+    own = spread.join(often.where("often > 1"), "s", "left").groupBy("node", "component", "version", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("often", F.lit(1)).alias("often"), "s"))).alias("order"))
+    first = F.slice("order", 1, F.col("n") - F.ceil(percent * F.col("n") / 100).cast("int") + 1)
+    prefix = own.select("node", "component", "n", F.posexplode(first).alias("at", "x")).where("x.often > 1").select("node", "component", "n", "at", F.col("x.s").alias("s"))
+    prefix = stored(prefix, "prefixes")
+    other = prefix.select("s", F.col("node").alias("v"), F.col("component").alias("c"), F.col("n").alias("m"), F.col("at").alias("to"))
+    least = percent * (F.col("n") + F.col("m"))
+    room = 1 + F.least(F.col("n") - 1 - F.col("at"), F.col("m") - 1 - F.col("to"))
+    fits = (F.col("node") < F.col("v")) & (F.col("component") != F.col("c")) & ((100 + percent) * room >= least)
+    return prefix.alias("p").join(other, (F.col("p.s") == other["s"]) & fits).select(F.col("node").alias("u"), "v")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each row of ``docs``.
 
@@ -123,8 +155,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Exact copies of a set are one class and are never compared. In a bucket, one member (the pivot) is compared
     with all the others, so a bucket of n gives n - 1 pairs. Where that leaves a bucket in several
-    components, other pivots follow; the few buckets still split then have the pairs between their components
-    compared. So no group's pairs are all made, and no link between unequal texts is dropped.
+    components, other pivots follow; in the buckets still split then, documents of different components are paired
+    by their rarest shingles. So no group's pairs are all made, and no link between unequal texts is dropped.
 
     Null and empty texts, and those of white space only, have size 0 and are linked with nothing. A row with
     a null doc_id keeps a null component_id and is kept. Rows that repeat a doc_id are versions of one document:
@@ -162,11 +194,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
         members = open_
         if turn < PIVOT_ROUNDS:
-            nexts = open_.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "component")).alias("p"))
-            pairs = open_.join(nexts, "key").where("component != p.component").select(F.least("node", "p.node").alias("u"), F.greatest("node", "p.node").alias("v"))
+            # another pivot in each bucket, so that a document meets as many different ones as it has buckets
+            by = F.xxhash64("key", "node", F.lit(turn))
+            nexts = open_.groupBy("key").agg(F.min_by("node", by).alias("p"), F.min_by("component", by).alias("c"))
+            pairs = open_.join(nexts, "key").where("component != c").select(F.least("node", "p").alias("u"), F.greatest("node", "p").alias("v"))
         else:
-            other = open_.select("key", F.col("node").alias("v"), F.col("component").alias("c"))
-            pairs = open_.join(other, "key").where("node < v and component != c").select(F.col("node").alias("u"), "v")
+            pairs = _by_rare_shingles(open_.select("node", "component").distinct(), texts, percent)
         pairs = pairs.distinct()
         for old in tried:
             pairs = pairs.join(old, ["u", "v"], "left_anti")
