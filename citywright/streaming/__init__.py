@@ -1,0 +1 @@
+"""Nothing is streamed: the work is on landed files, so no streaming operator is offered."""
