@@ -104,3 +104,34 @@ def keep_clean(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that ``clean_lines`` keeps, columns and texts unchanged."""
     inside = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{text_col}`").alias("text"))
     return clean_lines(inside, "text").where("kept").select("_row.*")
+
+
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def oracle_sql() -> str:
+    """``clean_lines`` over ``documents``, without its texts, as DuckDB SQL."""
+    left = lambda text, pattern: f"length(regexp_replace({text}, {_quoted(pattern)}, '', 'g'))"
+    words = lambda text: f"list_filter(string_split_regex({text}, {_quoted(SPACES)}), lambda x: x <> '')"
+    passes = " AND ".join(
+        [
+            f"regexp_matches(line, {_quoted(SENTENCE_END)})",
+            f"100 * {left('line', SYMBOLS)} <= {MOST_SYMBOLS_PERCENT} * length(line)",
+            f"4 * {left('line', SEPARATORS)} < len(string_split_regex(trim(line), {_quoted(SPACES)}))",
+            f"NOT regexp_matches(line, {_quoted(MENU)})",
+            f"NOT regexp_matches(line, {_quoted(BOILERPLATE)})",
+        ]
+    )
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, {words('t')} AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, {_quoted(WORD)})) AS ls FROM d),
+tri AS (SELECT doc_id, i, ws[i] AS a, ws[i + 1] AS b, ws[i + 2] AS c FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+rep AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM tri),
+cov AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM rep CROSS JOIN (VALUES (0), (1), (2)) AS v(k) WHERE n > 1 GROUP BY doc_id),
+ok AS (SELECT doc_id, count(*) AS n, sum(len({words('line')})) AS words FROM (SELECT doc_id, unnest(list_distinct(ls)) AS line FROM w) WHERE {passes} GROUP BY doc_id),
+f AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, {left('t', SYMBOLS)}::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
+coalesce(cov.n, 0)::BIGINT AS n_repeat_words, len(ls)::BIGINT AS n_lines, coalesce(ok.n, 0)::BIGINT AS n_lines_kept, coalesce(ok.words, 0)::BIGINT AS n_words_kept FROM w LEFT JOIN cov USING (doc_id) LEFT JOIN ok USING (doc_id))
+SELECT *, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED_PERCENT} * n_words AS base_failed,
+NOT (n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED_PERCENT} * n_words) AND 100 * n_words_kept >= {LEAST_KEPT_PERCENT} * n_words AS kept FROM f
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, toxicity
+from . import licenses, quality, secrets, toxicity
 from .decontamination import find_leaks
 from .html_content import extract_text
 from .lm_scoring import score_texts
@@ -91,5 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_quality_rules": quality.oracle_sql(),
     "op5_license_scan": licenses.oracle_sql(),
+    "op9_secret_scan": secrets.oracle_sql(),
 }

@@ -119,3 +119,27 @@ def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if size_col in out:
         out[size_col] = F.when(F.col("_spans").isNotNull(), F.length("_new").cast(docs.schema[size_col].dataType)).otherwise(F.col(f"`{size_col}`"))
     return held.select(*[c.alias(n) for n, c in out.items()])
+
+
+def oracle_sql() -> str:
+    """Counts of the base kinds, the base spans' digest and all spans of ``documents``, as DuckDB SQL."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    parts = []
+    for rank, (kind, pattern, group, least) in enumerate(RULES):
+        p = quoted(pattern)
+        parts.append(
+            f"SELECT doc_id, {rank} AS rank, '{kind}' AS kind, k, gaps, found, vals, {least} AS least FROM (SELECT doc_id, gaps, found, vals, unnest(range(1, len(found) + 1)) AS k FROM "
+            f"(SELECT doc_id, string_split_regex(t, {p}) AS gaps, regexp_extract_all(t, {p}) AS found, regexp_extract_all(t, {p}, {group}) AS vals FROM d WHERE regexp_matches(t, {p})))"
+        )
+    size = lambda part: f"coalesce(list_sum(list_transform({part}, lambda x: length(x))), 0)"
+    base = ", ".join(quoted(k) for k in BASE_KINDS)
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in BASE_KINDS)
+    zeros = ", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in BASE_KINDS)
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({' UNION ALL '.join(parts)}),
+s AS (SELECT doc_id, rank, kind, {size('gaps[1:k]')} + {size('found[1:k - 1]')} AS a, length(found[k]) AS n FROM m WHERE length(vals[k]) >= least),
+j AS (SELECT doc_id, rank, kind, a, kind || ':' || a::BIGINT || ':' || (a + n)::BIGINT AS span FROM s),
+g AS (SELECT doc_id, {counts}, string_agg(span, ',' ORDER BY a, rank) FILTER (WHERE kind IN ({base})) AS base, string_agg(span, ',' ORDER BY a, rank) AS spans FROM j GROUP BY doc_id)
+SELECT d.doc_id, {zeros}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (doc_id)
+"""
