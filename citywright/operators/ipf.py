@@ -98,6 +98,16 @@ def seed(cells: DataFrame, spec: Spec) -> DataFrame:
     return cells.join(F.broadcast(gone), names, "left").withColumn("weight", F.when(F.col("_gone"), 0.0).otherwise(1.0)).drop("_gone")
 
 
+def seed_projection(cells: DataFrame, spec: Spec, axes: Sequence[int], rule: str = "any") -> DataFrame:
+    """``cells`` of a projection (its own d columns) with ``weight``: 0 where impossible combinations reach it by ``Spec.projected``, else 1."""
+    names = [f"d{a + 1}" for a in axes]
+    gone = [tuple(spec.dims[a][k] for a, k in zip(axes, place, strict=True)) for place in sorted(spec.projected(axes, rule))]
+    if not gone:
+        return cells.withColumn("weight", F.lit(1.0))
+    table = cells.sparkSession.createDataFrame(gone, ", ".join(f"{n} string" for n in names)).withColumn("_gone", F.lit(True))
+    return cells.join(F.broadcast(table), names, "left").withColumn("weight", F.when(F.col("_gone"), 0.0).otherwise(1.0)).drop("_gone")
+
+
 def marginals(df: DataFrame, spec: Spec) -> DataFrame:
     """``df`` with m1..mN, each dimension's values as an array in column order."""
     return df.select("*", *[F.array(*[F.col(f"`{c}`").cast("double") for c in d]).alias(f"m{k}") for k, d in enumerate(spec.dims, 1)])

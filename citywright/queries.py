@@ -30,7 +30,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-def _rounded(df: DataFrame, digits: int = 4) -> DataFrame:
+def _rounded(df: DataFrame, digits: int = 9) -> DataFrame:
     return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
@@ -59,13 +59,13 @@ def _steps(source: str, rounds: int) -> str:
 
 
 FITTED_2D = f"""{CELLS}, start AS (SELECT section, d1, d2, p1 * 5 + p2 AS cell_no, t1, t2, CASE WHEN d1 = 'AUTOMOBILE' AND d2 = '1-URGENT' THEN 0.0 ELSE 1.0 END::DOUBLE AS v FROM d1 JOIN d2 USING (section)),
-{_steps('start', ROUNDS)} SELECT section, d1, d2, cell_no, round(v, 4) AS value FROM s{2 * ROUNDS - 1}"""
+{_steps('start', ROUNDS)} SELECT section, d1, d2, cell_no, round(v, 9) AS value FROM s{2 * ROUNDS - 1}"""
 
 
 @query(FITTED_2D)
 def ipf_2d_impossible(spark, sf_dir):
     """Two dimensions, one impossible pair and one that names an unknown category, a fixed number of rounds."""
-    return _rounded(fitting.order_cells(joint_distribution(st.census(spark, sf_dir), st.SPEC_2D, "section", rounds=ROUNDS, fitted=-1.0, stalled=-1.0)))
+    return _rounded(fitting.order_cells(joint_distribution(st.census(spark, sf_dir), st.SPEC_2D, "section", rounds=ROUNDS, fitted=-1.0, stalled=-1.0)), 9)
 
 
 @query(FITTED_2D)
@@ -76,42 +76,42 @@ def ipf_long_cells(spark, sf_dir):
     target = lambda k: census.select("section", F.explode(F.array(*[F.struct(F.lit(c).alias(f"d{k}"), F.col(f"`{c}`").alias("target")) for c in spec.dims[k - 1]])).alias("x")).select("section", "x.*")
     cells = census.select("section").join(F.broadcast(fitting.all_cells(spark, spec)))
     out = fitting.ipf_long(cells, [["d1"], ["d2"]], [target(1), target(2)], ROUNDS)
-    return _rounded(out.select("section", "d1", "d2", "cell_no", "value"))
+    return _rounded(out.select("section", "d1", "d2", "cell_no", "value"), 9)
 
 
-@query(f"{CELLS} SELECT section, d1, d2, p1 * 5 + p2 AS cell_no, round(t1 * t2 / nullif(sum(t1) OVER (PARTITION BY section, d2), 0), 4) AS value FROM d1 JOIN d2 USING (section)")
+@query(f"{CELLS} SELECT section, d1, d2, p1 * 5 + p2 AS cell_no, round(t1 * t2 / nullif(sum(t1) OVER (PARTITION BY section, d2), 0), 9) AS value FROM d1 JOIN d2 USING (section)")
 def ipf_2d_free(spark, sf_dir):
     """Two dimensions without impossible pairs, to the stop rule: the closed form."""
-    return _rounded(fitting.ipf(st.census(spark, sf_dir), st.SPEC_FREE, "section"))
+    return _rounded(fitting.ipf(st.census(spark, sf_dir), st.SPEC_FREE, "section"), 9)
 
 
-CLOSED_3D = f"{CELLS}, {_dim(3, st.STATUSES)} SELECT section, d1, d2, d3, (p1 * 5 + p2) * 3 + p3 AS cell_no, round(t1 * t2 * t3 / nullif((\"F\" + \"O\" + \"P\") * (\"F\" + \"O\" + \"P\"), 0), 4) AS value FROM d1 JOIN d2 USING (section) JOIN d3 USING (section) JOIN census USING (section)"
+CLOSED_3D = f"{CELLS}, {_dim(3, st.STATUSES)} SELECT section, d1, d2, d3, (p1 * 5 + p2) * 3 + p3 AS cell_no, round(t1 * t2 * t3 / nullif((\"F\" + \"O\" + \"P\") * (\"F\" + \"O\" + \"P\"), 0), 9) AS value FROM d1 JOIN d2 USING (section) JOIN d3 USING (section) JOIN census USING (section)"
 
 
 @query(CLOSED_3D)
 def ipf_3d(spark, sf_dir):
     """Three dimensions by way of the two-dimensional sub-marginals."""
-    return _rounded(fitting.ipf(st.census(spark, sf_dir), st.SPEC_3D, "section"))
+    return _rounded(fitting.ipf(st.census(spark, sf_dir), st.SPEC_3D, "section"), 9)
 
 
 @query(CLOSED_3D)
 def independent_joint(spark, sf_dir):
     """The closed form in plain columns."""
-    return _rounded(fitting.independent_joint(st.census(spark, sf_dir), st.SPEC_3D, "section"))
+    return _rounded(fitting.independent_joint(st.census(spark, sf_dir), st.SPEC_3D, "section"), 9)
 
 
 @query()
 def ipf_3d_impossible(spark, sf_dir):
     """Three dimensions with an impossible triple, which clears its projections too."""
-    return _rounded(fitting.ipf(st.census(spark, sf_dir), st.SPEC_3D_IMPOSSIBLE, "section"))
+    return _rounded(fitting.ipf(st.census(spark, sf_dir), st.SPEC_3D_IMPOSSIBLE, "section"), 9)
 
 
 @query(f"""WITH {CENSUS}, t AS (SELECT {', '.join(f'sum("{c}") AS "{c}"' for c in st.SPEC_3D.columns)} FROM census),
 a AS ({' UNION ALL '.join(f"SELECT '{v}' AS d1, {k}::BIGINT AS p1, \"{v}\" AS t1 FROM t" for k, v in enumerate(st.SEGMENTS))}), b AS ({' UNION ALL '.join(f"SELECT '{v}' AS d2, {k}::BIGINT AS p2, \"{v}\" AS t2 FROM t" for k, v in enumerate(st.PRIORITIES))})
-SELECT d1, d2, p1 * 5 + p2 AS cell_no, round(t1 * t2 / (SELECT "F" + "O" + "P" FROM t), 4) AS value FROM a CROSS JOIN b""")
+SELECT d1, d2, p1 * 5 + p2 AS cell_no, round(t1 * t2 / (SELECT "F" + "O" + "P" FROM t), 9) AS value FROM a CROSS JOIN b""")
 def ipf_total(spark, sf_dir):
     """The whole area: column totals are fitted."""
-    return _rounded(fitting.ipf(st.census(spark, sf_dir), st.SPEC_FREE))
+    return _rounded(fitting.ipf(st.census(spark, sf_dir), st.SPEC_FREE), 9)
 
 
 _SUMS = [" + ".join(f'"{c}"' for c in d) for d in st.SPEC_3D.dims]
@@ -198,12 +198,12 @@ def person_km(spark, sf_dir):
     return stats.person_km(_legs(spark, sf_dir)[0], ["car", "pt", "walk"])
 
 
-@query(f"WITH {LEGS} SELECT iteration, {', '.join(f"round(coalesce(sum({c}_s) FILTER (WHERE mode = '{m}'), 0) / 3600, 4) AS {m}_{c}" for c in ('travel', 'wait') for m in ('car', 'pt', 'walk'))} FROM legs GROUP BY iteration")
+@query(f"WITH {LEGS} SELECT iteration, {', '.join(f"round(coalesce(sum({c}_s) FILTER (WHERE mode = '{m}'), 0) / 3600, 9) AS {m}_{c}" for c in ('travel', 'wait') for m in ('car', 'pt', 'walk'))} FROM legs GROUP BY iteration")
 def person_hours(spark, sf_dir):
     return _rounded(stats.person_hours(_legs(spark, sf_dir)[0], ["car", "pt", "walk"]))
 
 
-@query(f"WITH {TRIPS} SELECT iteration, round(l.d, 4) AS avg_leg_distance, round(t.d, 4) AS avg_trip_distance FROM (SELECT iteration, avg(distance_m) AS d FROM legs GROUP BY 1) l JOIN (SELECT iteration, avg(distance_m) AS d FROM trips GROUP BY 1) t USING (iteration)")
+@query(f"WITH {TRIPS} SELECT iteration, round(l.d, 9) AS avg_leg_distance, round(t.d, 9) AS avg_trip_distance FROM (SELECT iteration, avg(distance_m) AS d FROM legs GROUP BY 1) l JOIN (SELECT iteration, avg(distance_m) AS d FROM trips GROUP BY 1) t USING (iteration)")
 def travel_distance(spark, sf_dir):
     return _rounded(stats.travel_distance(*_legs(spark, sf_dir)))
 
@@ -234,7 +234,7 @@ def leg_durations(spark, sf_dir):
     return stats.leg_durations(_legs(spark, sf_dir)[0])
 
 
-@query(f"WITH {LEGS} SELECT iteration, round(avg(travel_s), 4) AS avg_s, printf('%02d:%02d:%02d', floor(avg(travel_s) / 3600)::INTEGER, floor(avg(travel_s) / 60)::INTEGER % 60, floor(avg(travel_s))::INTEGER % 60) AS avg_hms FROM legs GROUP BY iteration")
+@query(f"WITH {LEGS} SELECT iteration, round(avg(travel_s), 9) AS avg_s, printf('%02d:%02d:%02d', floor(avg(travel_s) / 3600)::INTEGER, floor(avg(travel_s) / 60)::INTEGER % 60, floor(avg(travel_s))::INTEGER % 60) AS avg_hms FROM legs GROUP BY iteration")
 def avg_leg_duration(spark, sf_dir):
     return _rounded(stats.avg_leg_duration(_legs(spark, sf_dir)[0]))
 
@@ -268,14 +268,14 @@ def link_volumes(spark, sf_dir):
     return stats.link_volumes(st.link_entries(spark, sf_dir))
 
 
-@query("SELECT user_id AS link_id, round(count(*) / 30.0, 4)::DOUBLE AS daily_volume FROM events GROUP BY ALL")
+@query("SELECT user_id AS link_id, round(count(*) / 30.0, 9)::DOUBLE AS daily_volume FROM events GROUP BY ALL")
 def daily_volumes(spark, sf_dir):
     return _rounded(stats.daily_volumes(stats.link_volumes(st.link_entries(spark, sf_dir)), 30))
 
 
 @query("""WITH obs AS (SELECT user_id AS link_id, hour(ts)::BIGINT AS hour, count(*)::DOUBLE AS o FROM events WHERE event_type IN ('view', 'click') GROUP BY ALL), sim AS (SELECT user_id AS link_id, hour(ts)::BIGINT AS hour, count(*)::DOUBLE AS s FROM events WHERE event_type <> 'error' AND user_id % 7 <> 0 GROUP BY ALL),
 b AS (SELECT link_id, hour, coalesce(s, 0) AS s, o FROM obs LEFT JOIN sim USING (link_id, hour))
-SELECT link_id, hour, s AS sim_volume, o AS count_volume, round(100 * (s - o) / nullif(o, 0), 4) AS relative_error, round(abs(s - o) / greatest(s, o), 4) AS normalized_error, round(sqrt(2 * (s - o) * (s - o) / (s + o)), 4) AS geh FROM b""")
+SELECT link_id, hour, s AS sim_volume, o AS count_volume, round(100 * (s - o) / nullif(o, 0), 9) AS relative_error, round(abs(s - o) / greatest(s, o), 9) AS normalized_error, round(sqrt(2 * (s - o) * (s - o) / (s + o)), 9) AS geh FROM b""")
 def compare_counts(spark, sf_dir):
     """Simulated volumes against counts, with relative errors and GEH."""
     entries = st.link_entries(spark, sf_dir)

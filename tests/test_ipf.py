@@ -127,3 +127,11 @@ def test_unique_columns(spark):
     got = {r.column: (r.n_distinct, r.is_unique) for r in m.unique_columns(df).collect()}
     assert got == {"k": (2, True), "same": (1, False), "hole": (2, True)}
     assert {r.column: r.is_unique for r in m.unique_columns(df, count_null=False).collect()}["hole"] is False
+
+
+def test_seed_of_a_projection(spark):
+    spec = m.Spec([ABC, XY, PQ], [("a", "x", "p"), ("b", "y", "unknown")])
+    cells = m.expand_impossible(spark, [ABC, XY])
+    got = {(r.d1, r.d2): r.weight for r in m.seed_projection(cells, spec, (0, 1)).collect()}
+    assert {k for k, w in got.items() if w == 0} == {("a", "x"), ("b", "y")} and len(got) == 6
+    assert {r.weight for r in m.seed_projection(cells, spec, (0, 1), "all").collect()} == {1.0}
