@@ -39,16 +39,25 @@ NOT_WORD = r"[^\p{L}\p{N}]+"
 MOST_BROADCAST = 20_000
 
 
-def canonical(text: Column) -> Column:
-    """Lower case, no copyright lines, one blank for all that is not a letter or digit, one spelling of each word."""
-    plain = F.regexp_replace(F.lower(F.regexp_replace(text, "(?imd)" + COPYRIGHT_LINE, " ")), NOT_WORD, " ")
+def plain(text: Column) -> Column:
+    """Lower case, no copyright lines, one blank for all that is not a letter or digit."""
+    return F.trim(F.regexp_replace(F.lower(F.regexp_replace(text, "(?imd)" + COPYRIGHT_LINE, " ")), NOT_WORD, " "))
+
+
+def one_spelling(plain_text: Column) -> Column:
+    """A plain text with one spelling of each word."""
     # every word gets blanks of its own, so that plain replacement finds whole words only
-    out = F.concat(F.lit(" "), F.replace(F.trim(plain), F.lit(" "), F.lit("  ")), F.lit(" "))
+    out = F.concat(F.lit(" "), F.replace(plain_text, F.lit(" "), F.lit("  ")), F.lit(" "))
     for a, b in SAME_WORDS:
         out = F.replace(out, F.lit(_apart(a)), F.lit(_apart(b)))
     return F.trim(F.replace(out, F.lit("  "), F.lit(" ")))
 
 
+def canonical(text: Column) -> Column:
+    """What two texts of one licence have in common."""
+    return one_spelling(plain(text))
+
+
 def _apart(words: str) -> str:
     return " " + words.replace(" ", "  ") + " "
 
@@ -75,17 +84,27 @@ def scan_licenses(docs: DataFrame, known: list[tuple[str, str]] | None = None, i
     lines and equivalent spellings do not matter. Known texts are fixed by the caller, not by the data. Null and
     empty texts match nothing. Repeated rows get a row each; other columns are ignored.
     """
-    table = known_digests(docs.sparkSession, known or KNOWN_TEXTS)
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).withColumn("blob", F.md5("text"))
-    whole = rows.select("doc_id", "blob", digest(F.col("text")).alias("digest")).join(table.withColumnRenamed("license", "text_license"), "digest", "left").drop("digest")
-    lines = rows.select("doc_id", "blob", F.posexplode(F.split("text", "\n")).alias("at", "line")).select("doc_id", "blob", "at", digest(F.col("line")).alias("digest"))
+    known = known or KNOWN_TEXTS
+    table = known_digests(docs.sparkSession, known)
+    # one spelling takes a fifth of a text's length at most, so a plain text beyond this cannot become a known one
+    longest = max(len(t) for _, t in known) * 3 // 2
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text")).select("doc_id", F.md5("text").alias("blob"), F.transform(F.split("text", "\n"), plain).alias("lines"))
+    # line -1 is the entire text: its lines put together again
+    whole = F.struct(F.lit(-1).alias("at"), F.array_join(F.filter("lines", lambda x: x != ""), " ").alias("plain"))
+    units = F.concat(F.array(whole), F.transform("lines", lambda x, k: F.struct(k.alias("at"), x.alias("plain"))))
+    spread = rows.select("doc_id", "blob", F.explode(F.filter(units, lambda u: F.length(u["plain"]).between(1, longest))).alias("u"))
+    digests = spread.select("doc_id", "blob", "u.at", F.sha2(one_spelling(F.col("u.plain")), 256).alias("digest"))
     # repeated rows find the same lines again: one of each stays. What is grouped here are hits, not lines
-    hits = lines.join(table, "digest").select("doc_id", "blob", "at", "license").distinct()
-    found = hits.groupBy("doc_id", "blob").agg(F.collect_set("license").alias("found"), F.count("*").alias("n"))
-    both = whole.join(found.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")) & (whole["blob"] == found["blob"]), "left")
-    own = F.filter(F.array("text_license"), lambda x: x.isNotNull())
-    names = F.array_sort(F.array_distinct(F.concat(F.coalesce("found", F.array().cast("array<string>")), own)))
-    return both.select("doc_id", "text_license", F.array_join(names, ",").alias("licenses"), F.coalesce("n", F.lit(0)).cast("long").alias("n_license_lines"))
+    hits = digests.join(table, "digest").select("doc_id", "blob", "at", "license").distinct()
+    found = hits.groupBy("doc_id", "blob").agg(
+        F.max(F.when(F.col("at") < 0, F.col("license"))).alias("text_license"),
+        F.array_sort(F.collect_set("license")).alias("found"),
+        F.count(F.when(F.col("at") >= 0, 1)).alias("n"),
+    )
+    paths = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.md5(text).alias("blob"))
+    both = paths.join(found.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")) & (paths["blob"] == found["blob"]), "left")
+    return both.select("doc_id", "text_license", F.coalesce(F.array_join("found", ","), F.lit("")).alias("licenses"), F.coalesce("n", F.lit(0)).cast("long").alias("n_license_lines"))
 
 
 def _quoted(text: str) -> str:
