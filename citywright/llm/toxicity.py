@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 from .words import Run, cut, mix64, runs, text_buffers
 
 #: The classifier is fitted on this many labelled documents of each class at most, the first by a hash of their id.
-ROWS_A_CLASS = 1500
+ROWS_A_CLASS = 1000
 #: Character n-grams (bytes of ``<word>``), hash buckets, vector size.
 GRAMS, BUCKETS, DIM = (3, 4, 5), 1 << 17, 8
 #: Words averaged together, and the step between such windows; a document scores as its most toxic window.
 WINDOW, STEP = 16, 8
 #: Plain momentum: a rare n-gram moves as far as the few documents that hold it push, and noise stays small.
-EPOCHS, MOMENTUM, EMBED_RATE, SOFT_RATE, SEED = 30, 0.9, 300.0, 1.0, 7
+EPOCHS, MOMENTUM, EMBED_RATE, SOFT_RATE, SEED = 60, 0.9, 200.0, 1.0, 7
 THRESHOLD = 0.3
 
 
@@ -79,7 +79,8 @@ class Model:
     def scores(self, run: Run) -> np.ndarray:
         """P(toxic) for each document of the run."""
         out = np.full(len(run.counts), self.base_rate)
-        if len(run.hashes):
+        # a model of one class knows no more than the base rate
+        if len(run.hashes) and self.slope:
             first, number = _distinct(run)
             buckets, starts = gram_buckets(run, first)
             word = np.add.reduceat(self.odds[buckets], starts) / np.diff(np.append(starts, len(buckets)))
@@ -111,7 +112,7 @@ def train(texts: list[str], labels: np.ndarray, rate: float) -> Model:
     """
     labels = np.asarray(labels, dtype=np.int64)
     if len(set(labels.tolist())) < 2:
-        return Model(np.zeros(BUCKETS, np.float32), 0.0, -40.0 if not rate else 40.0, float(rate))
+        return Model(np.zeros(BUCKETS, np.float32), 0.0, 0.0, float(rate))
     offsets, data = text_buffers(pa.array(texts, pa.large_string()))
     lower = data.copy()
     lower[(data >= 65) & (data <= 90)] += 32
