@@ -21,9 +21,9 @@ SHARED_WORDS = 1_000_000
 #: and the bands that hold the others by rank, each with fixed frequencies inside. The last band is for all rarer words.
 OWN_WORDS, OWN_CLASSES, BANDS = 1000, 24, 6
 HIDDEN, STEPS = 16, 32
-#: Training: rounds over the documents, of which each reads a fixed share of the training documents by a hash of the id;
-#: documents side by side, Adam's rate, and lots in which the tasks' weights are averaged.
-ROUNDS, EVERY, ABREAST, RATE, LOTS, SEED = 2, 16, 64, 0.01, 64, 11
+#: Training: rounds, into which all training documents are dealt by a hash of the id; pieces of documents side by side, from
+#: few to many as a task has more of them, and their tokens; Adam's rate, and lots in which the tasks' weights are averaged.
+ROUNDS, ABREAST, MOST_ABREAST, PIECE, RATE, LOTS, SEED = 2, 64, 128, 512, 0.01, 64, 11
 
 END = np.uint64(1)
 #: Distinct words that a task gathers before it hands their counts on.
@@ -217,13 +217,16 @@ class Network:
         """Natural log probability of each target from its state; with ``grads``, adds the loss's gradients and returns those of ``h``."""
         c, cb, w, wb = (self.p[k] for k in ("c", "cb", "w", "wb"))
         at = np.arange(len(h))
+        # by class, so that what a class needs lies together
+        order = np.argsort(group.astype(np.int16), kind="stable")
+        h, group, inner = h[order], group[order], inner[order]
         logits = h @ c
         logits += cb
         logits -= logits.max(axis=1, keepdims=True)
-        out = logits[at, group].astype(np.float64)
+        logs = logits[at, group].astype(np.float64)
         np.exp(logits, out=logits)
         total = logits.sum(axis=1, keepdims=True)
-        out -= np.log(total[:, 0])
+        logs -= np.log(total[:, 0])
         back = None
         if grads is not None:
             logits /= total
@@ -231,30 +234,34 @@ class Network:
             back = logits @ c.T
             grads["c"] += h.T @ logits
             grads["cb"] += logits.sum(axis=0)
-        fixed = group >= OWN_CLASSES
-        out[fixed] += inner[fixed]
-        order = np.argsort(group, kind="stable")
-        bounds = np.searchsorted(group[order], np.arange(OWN_CLASSES + 1))
+        bounds = np.searchsorted(group, np.arange(OWN_CLASSES + 1))
+        logs[bounds[-1] :] += inner[bounds[-1] :]
         for k in range(OWN_CLASSES):
-            rows = order[bounds[k] : bounds[k + 1]]
+            a, b = bounds[k], bounds[k + 1]
             lo, hi = self.edges[k], self.edges[k + 1]
-            if not len(rows) or hi - lo < 2:
+            if a == b or hi - lo < 2:
                 continue
-            own = h[rows]
+            own = h[a:b]
             logits = own @ w[:, lo:hi]
             logits += wb[lo:hi]
             logits -= logits.max(axis=1, keepdims=True)
-            place, line = inner[rows].astype(np.int64) - lo, np.arange(len(rows))
+            place, line = inner[a:b].astype(np.int64) - lo, at[: b - a]
             part = logits[line, place].astype(np.float64)
             np.exp(logits, out=logits)
             total = logits.sum(axis=1, keepdims=True)
-            out[rows] += part - np.log(total[:, 0])
+            logs[a:b] += part - np.log(total[:, 0])
             if grads is not None:
                 logits /= total
                 logits[line, place] -= 1
-                back[rows] += logits @ w[:, lo:hi].T
+                back[a:b] += logits @ w[:, lo:hi].T
                 grads["w"][:, lo:hi] += own.T @ logits
                 grads["wb"][lo:hi] += logits.sum(axis=0)
+        out = np.empty_like(logs)
+        out[order] = logs
+        if back is not None:
+            unsorted = np.empty_like(back)
+            unsorted[order] = back
+            back = unsorted
         return out, back
 
     def through_time(self, tokens: np.ndarray, kept: list, back: np.ndarray, grads: dict) -> None:
@@ -279,10 +286,11 @@ class Network:
         grads["x"][kinds] += np.add.reduceat(flat[order], first, axis=0)
 
 
-def _windows(batch: Batch, docs: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+def _windows(batch: Batch, docs: np.ndarray, begins: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """(documents still open, inputs, places of the targets, which of them exist), window by window.
 
     ``docs`` by falling length. All are (steps, documents); the input of a document's first token is a start mark.
+    Where ``begins`` is false, a piece goes on from the token before it.
     """
     sizes = batch.firsts[docs + 1] - batch.firsts[docs]
     for lo in range(0, int(sizes[0]) if len(sizes) else 0, STEPS):
@@ -293,7 +301,7 @@ def _windows(batch: Batch, docs: np.ndarray) -> Iterator[tuple[int, np.ndarray,
         place = np.where(there, place, 0)
         tokens = batch.token[np.maximum(place - 1, 0)]
         if lo == 0:
-            tokens[0] = OWN_WORDS + BANDS
+            tokens[0] = OWN_WORDS + BANDS if begins is None else np.where(begins[docs[:open_]], OWN_WORDS + BANDS, tokens[0])
         yield open_, tokens, place, there
 
 
@@ -321,13 +329,21 @@ class Trainer:
         self.m, self.v = np.zeros_like(net.flat), np.zeros_like(net.flat)
 
     def learn(self, batch: Batch) -> None:
-        sizes = np.diff(batch.firsts)
+        # no token is left out, but a long document's pieces go side by side, each from a state of its own
+        lengths = np.diff(batch.firsts)
+        pieces = -(-lengths // PIECE)
+        number = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        begins = number == 0
+        firsts = np.append(np.repeat(batch.firsts[:-1], pieces) + number * PIECE, batch.firsts[-1])
+        batch = Batch(batch.token, batch.group, batch.inner, firsts)
+        sizes = np.diff(firsts)
         order = np.argsort(-sizes, kind="stable")
-        # documents of like length go side by side, and such groups in a seeded order
-        for a in np.random.default_rng(SEED).permutation(np.arange(0, len(sizes), ABREAST)):
-            docs = order[a : a + ABREAST]
+        # pieces of like length go side by side, and such groups in a seeded order
+        abreast = min(max(ABREAST, len(sizes) // 32), MOST_ABREAST)
+        for a in np.random.default_rng(SEED).permutation(np.arange(0, len(sizes), abreast)):
+            docs = order[a : a + abreast]
             h = np.zeros((len(docs), HIDDEN), dtype=np.float32)
-            for open_, tokens, place, there in _windows(batch, docs):
+            for open_, tokens, place, there in _windows(batch, docs, begins):
                 net = self.net
                 flat = np.zeros_like(net.flat)
                 grads, at = {}, 0
@@ -362,12 +378,12 @@ def _averaged(parts: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"lot": parts["lot"].iloc[:1], "weights": [mean.astype(np.float32).tobytes()], "tokens": [int(tokens.sum())]})
 
 
-def train(texts: DataFrame, vocabulary: Vocabulary, every: int = EVERY, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights learned from (doc_id, text): in each round, tasks train from the same weights on their own documents.
+def train(texts: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
+    """Weights learned from all rows of (doc_id, text): in each round, tasks train from the same weights on their own documents.
 
     The tasks' weights are averaged by tokens, in lots and then over the lots, so that neither a task nor the driver gets
-    more than a few dozen vectors. Each round takes another one of ``every`` shares of the documents by a hash of the id,
-    so the training text grows with the corpus.
+    more than a few dozen vectors. Each round takes another one of ``rounds`` shares of the documents by a hash of the id,
+    so every document is learned from once, those without an id too.
     """
     spark = texts.sparkSession
     shared = spark.sparkContext.broadcast(vocabulary)
@@ -393,7 +409,7 @@ def train(texts: DataFrame, vocabulary: Vocabulary, every: int = EVERY, rounds:
                 yield pa.RecordBatch.from_arrays([pa.array([lot]), pa.array([trainer.net.flat.tobytes()], pa.binary()), pa.array([trainer.tokens])], names=["lot", "weights", "tokens"])
 
         schema = "lot long, weights binary, tokens long"
-        mine = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == turn).select("text")
+        mine = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == turn).select("text")
         lots = mine.mapInArrow(run, schema).groupBy("lot").applyInPandas(_averaged, schema).collect()
         if lots:
             weight = np.array([r["tokens"] for r in lots], dtype=np.float64)
@@ -401,7 +417,7 @@ def train(texts: DataFrame, vocabulary: Vocabulary, every: int = EVERY, rounds:
     return flat
 
 
-def score_texts(docs: DataFrame, held_out: Column | None = None, id_col: str = "doc_id", text_col: str = "text", every: int = EVERY, rounds: int = ROUNDS) -> DataFrame:
+def score_texts(docs: DataFrame, held_out: Column | None = None, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for each row of ``docs``, over its whole text.
 
     Tokens are the words, A-Z lower-cased, and one end. Counts are exact over all rows for which ``held_out`` (a
@@ -422,7 +438,7 @@ def score_texts(docs: DataFrame, held_out: Column | None = None, id_col: str = "
     words, often = top["word"].to_numpy(), top["c"].to_numpy()
     order = np.lexsort((words, -often))
     vocabulary = Vocabulary.of(words[order].view(np.uint64), often[order], total, kinds)
-    weights = train(learned, vocabulary, every, rounds)
+    weights = train(learned, vocabulary, rounds)
     shared = spark.sparkContext.broadcast((vocabulary, weights))
     smooth = math.log10(total + 0.5 * (kinds + 1))
 

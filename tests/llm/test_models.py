@@ -131,6 +131,14 @@ def test_batching_does_not_change_scores():
     assert len(lm_scoring.joined([batch, batch]).firsts) == 81
 
 
+def test_every_training_document_is_learned_from(spark):
+    vocabulary, _, _ = small_model()
+    fresh = lm_scoring.Network(vocabulary).flat
+    for doc_id in (None, 0, 1, 2):
+        one = spark.createDataFrame([(doc_id, " ".join(VOCABULARY[:40]))], "doc_id long, text string")
+        assert not np.array_equal(lm_scoring.train(one, vocabulary), fresh), doc_id
+
+
 def test_gradients_equal_differences():
     vocabulary, batch, _ = small_model()
     net = lm_scoring.Network(vocabulary)
