@@ -17,10 +17,15 @@ from .words import Run, runs
 
 #: Words that tasks are sent with their counts; rarer ones are looked up by a join.
 SHARED_WORDS = 1_000_000
-#: Of those, the words with weights of their own, the classes they are split into by the square root of frequency,
-#: and the bands that hold the others by rank, each with fixed frequencies inside. The last band is for all rarer words.
-OWN_WORDS, OWN_CLASSES, BANDS = 1000, 24, 6
+#: Of those, words have weights of their own from a count of sqrt(N) / FLOOR on, N being the tokens of the corpus, and so many
+#: at least; they are split into sqrt(V) classes, or so many at least, by the square root of frequency. Bands hold the others by
+#: rank, each with fixed frequencies inside. The last band is for all rarer words.
+FLOOR, OWN_WORDS, OWN_CLASSES, BANDS = 10, 1000, 24, 6
+#: Inputs: a start mark, the bands, and the own words behind them.
+START, FIRST_BAND, FIRST_OWN = 0, 1, 1 + BANDS
 HIDDEN, STEPS = 16, 32
+#: Weights are averaged in slices of so many, since a vector grows with the vocabulary. Targets are scored so many at a time.
+SLICE, TARGETS = 1 << 18, 1 << 13
 #: Training: rounds, into which all training documents are dealt by a hash of the id; pieces of documents side by side, from
 #: few to many as a task has more of them, and their tokens; Adam's rate, and lots in which the tasks' weights are averaged.
 ROUNDS, ABREAST, MOST_ABREAST, PIECE, RATE, LOTS, SEED = 2, 64, 128, 512, 0.01, 64, 11
@@ -98,32 +103,36 @@ class Vocabulary:
     group_bias: np.ndarray
     word_bias: np.ndarray
     rare_mass: float
+    #: Words with weights of their own, and their classes.
+    own: int
+    classes: int
 
     @classmethod
     def of(cls, words: np.ndarray, counts: np.ndarray, total: int, kinds: int) -> Vocabulary:
         """``words`` by falling count, of ``kinds`` distinct ones with ``total`` occurrences."""
         smooth = total + 0.5 * (kinds + 1)
         prob = (counts + 0.5) / smooth
-        own = min(OWN_WORDS, len(words))
+        own = max(min(OWN_WORDS, len(words)), int((counts >= math.sqrt(total) / FLOOR).sum()))
+        classes = max(OWN_CLASSES, math.isqrt(own))
         share = np.cumsum(np.sqrt(prob[:own])) if own else np.zeros(0)
         group = np.zeros(len(words), dtype=np.int32)
         if own:
-            group[:own] = np.minimum((share - np.sqrt(prob[:own]) / 2) / share[-1] * OWN_CLASSES, OWN_CLASSES - 1).astype(np.int32)
-        edges = np.searchsorted(group[:own], np.arange(OWN_CLASSES + 1))
+            group[:own] = np.minimum((share - np.sqrt(prob[:own]) / 2) / share[-1] * classes, classes - 1).astype(np.int32)
+        edges = np.searchsorted(group[:own], np.arange(classes + 1))
         # bands double in width from rank to rank; the last is kept for rare words
         rank = np.arange(own, len(words))
-        group[own:] = OWN_CLASSES + np.minimum(np.log2(np.maximum(rank / max(own, 1), 1)).astype(np.int32) // 2, BANDS - 2)
+        group[own:] = classes + np.minimum(np.log2(np.maximum(rank / max(own, 1), 1)).astype(np.int32) // 2, BANDS - 2)
         rare = max(0.5, 0.5 + (total - int(counts.sum())) + 0.5 * (kinds - len(words))) / smooth
-        mass = np.bincount(group, prob, OWN_CLASSES + BANDS)
+        mass = np.bincount(group, prob, classes + BANDS)
         mass[-1] = rare
         inner = np.log(prob / mass[group])
         inner[:own] = np.arange(own)
-        token = np.where(np.arange(len(words)) < own, np.arange(len(words)), OWN_WORDS + group - OWN_CLASSES).astype(np.int32)
+        token = np.where(np.arange(len(words)) < own, FIRST_OWN + np.arange(len(words)), FIRST_BAND + group - classes).astype(np.int32)
         order = np.argsort(words, kind="stable")
         bias = np.log(np.maximum(mass, 1e-12))
-        word_bias = np.zeros(OWN_WORDS)
+        word_bias = np.zeros(own)
         word_bias[:own] = np.log(prob[:own] / mass[group[:own]])
-        return cls(total, kinds, words[order], counts[order], token[order], group[order], inner[order].astype(np.float32), edges, bias, word_bias, rare)
+        return cls(total, kinds, words[order], counts[order], token[order], group[order], inner[order].astype(np.float32), edges, bias, word_bias, rare, own, classes)
 
     def find(self, run: Run) -> tuple[np.ndarray, np.ndarray]:
         """(place in ``words`` or -1 for each word of the run, the same for END alone)."""
@@ -150,12 +159,13 @@ def batch_of(vocabulary: Vocabulary, run: Run, at: np.ndarray, end: int) -> Batc
     inside = np.ones(len(place), dtype=bool)
     inside[ends] = False
     place[inside], place[ends] = at, end
+    token, group = FIRST_BAND + BANDS - 1, vocabulary.classes + BANDS - 1
     if not len(vocabulary.words):
         n = len(place)
-        return Batch(np.full(n, OWN_WORDS + BANDS - 1, np.int32), np.full(n, OWN_CLASSES + BANDS - 1, np.int32), np.zeros(n), firsts)
+        return Batch(np.full(n, token, np.int32), np.full(n, group, np.int32), np.zeros(n), firsts)
     rare = place < 0
     pick = lambda values, other: np.where(rare, other, values[place])
-    return Batch(pick(vocabulary.token, OWN_WORDS + BANDS - 1), pick(vocabulary.group, OWN_CLASSES + BANDS - 1), pick(vocabulary.inner, 0.0), firsts)
+    return Batch(pick(vocabulary.token, token), pick(vocabulary.group, group), pick(vocabulary.inner, 0.0), firsts)
 
 
 def joined(parts: list[Batch]) -> Batch:
@@ -165,12 +175,23 @@ def joined(parts: list[Batch]) -> Batch:
     return Batch(*(np.concatenate([getattr(p, k) for p in parts]) for k in ("token", "group", "inner")), firsts)
 
 
+def _softmax(logits: np.ndarray, targets: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(log probability of each row's target, sums by row); ``logits`` become exponentials. Where none can overflow, as states are within -1..1, rows keep their scale."""
+    if float(np.abs(weights).sum(axis=0).max() + np.abs(bias).max()) > 60:
+        logits -= logits.max(axis=1, keepdims=True)
+    part = logits[np.arange(len(logits)), targets].astype(np.float64)
+    np.exp(logits, out=logits)
+    total = logits @ np.ones((logits.shape[1], 1), dtype=np.float32)
+    return part - np.log(total[:, 0]), total
+
+
 class Network:
     """The recurrent model. Parameters are views of one flat vector."""
 
     def __init__(self, vocabulary: Vocabulary, flat: np.ndarray | None = None):
-        groups = OWN_CLASSES + BANDS
-        shapes = {"x": (OWN_WORDS + BANDS + 1, 3 * HIDDEN), "u": (HIDDEN, 3 * HIDDEN), "c": (HIDDEN, groups), "cb": (groups,), "w": (HIDDEN, OWN_WORDS), "wb": (OWN_WORDS,)}
+        own, self.classes = vocabulary.own, vocabulary.classes
+        groups = self.classes + BANDS
+        shapes = {"x": (FIRST_OWN + own, 3 * HIDDEN), "u": (HIDDEN, 3 * HIDDEN), "c": (HIDDEN, groups), "cb": (groups,), "w": (HIDDEN, own), "wb": (own,)}
         sizes = {k: math.prod(s) for k, s in shapes.items()}
         fresh = flat is None
         self.flat = np.zeros(sum(sizes.values()), dtype=np.float32) if fresh else flat.astype(np.float32)
@@ -222,11 +243,7 @@ class Network:
         h, group, inner = h[order], group[order], inner[order]
         logits = h @ c
         logits += cb
-        logits -= logits.max(axis=1, keepdims=True)
-        logs = logits[at, group].astype(np.float64)
-        np.exp(logits, out=logits)
-        total = logits.sum(axis=1, keepdims=True)
-        logs -= np.log(total[:, 0])
+        logs, total = _softmax(logits, group, c, cb)
         back = None
         if grads is not None:
             logits /= total
@@ -234,9 +251,10 @@ class Network:
             back = logits @ c.T
             grads["c"] += h.T @ logits
             grads["cb"] += logits.sum(axis=0)
-        bounds = np.searchsorted(group, np.arange(OWN_CLASSES + 1))
+        bounds = np.searchsorted(group, np.arange(self.classes + 1))
         logs[bounds[-1] :] += inner[bounds[-1] :]
-        for k in range(OWN_CLASSES):
+        places = inner[: bounds[-1]].astype(np.int64)
+        for k in range(self.classes):
             a, b = bounds[k], bounds[k + 1]
             lo, hi = self.edges[k], self.edges[k + 1]
             if a == b or hi - lo < 2:
@@ -244,12 +262,9 @@ class Network:
             own = h[a:b]
             logits = own @ w[:, lo:hi]
             logits += wb[lo:hi]
-            logits -= logits.max(axis=1, keepdims=True)
-            place, line = inner[a:b].astype(np.int64) - lo, at[: b - a]
-            part = logits[line, place].astype(np.float64)
-            np.exp(logits, out=logits)
-            total = logits.sum(axis=1, keepdims=True)
-            logs[a:b] += part - np.log(total[:, 0])
+            place, line = places[a:b] - lo, at[: b - a]
+            part, total = _softmax(logits, place, w[:, lo:hi], wb[lo:hi])
+            logs[a:b] += part
             if grads is not None:
                 logits /= total
                 logits[line, place] -= 1
@@ -264,8 +279,8 @@ class Network:
             back = unsorted
         return out, back
 
-    def through_time(self, tokens: np.ndarray, kept: list, back: np.ndarray, grads: dict) -> None:
-        """Backpropagation through one window; ``back`` holds the gradients of its states."""
+    def through_time(self, tokens: np.ndarray, kept: list, back: np.ndarray, grads: dict) -> np.ndarray:
+        """Backpropagation through one window; ``back`` holds the gradients of its states. Returns the inputs that occur."""
         u, n = self.p["u"], HIDDEN
         inputs = np.empty((*tokens.shape, 3 * n), dtype=np.float32)
         dh = np.zeros_like(back[0])
@@ -284,6 +299,7 @@ class Network:
         flat, order = inputs.reshape(-1, 3 * n), np.argsort(tokens.ravel(), kind="stable")
         kinds, first = np.unique(tokens.ravel()[order], return_index=True)
         grads["x"][kinds] += np.add.reduceat(flat[order], first, axis=0)
+        return kinds
 
 
 def _windows(batch: Batch, docs: np.ndarray, begins: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -301,7 +317,7 @@ def _windows(batch: Batch, docs: np.ndarray, begins: np.ndarray | None = None) -
         place = np.where(there, place, 0)
         tokens = batch.token[np.maximum(place - 1, 0)]
         if lo == 0:
-            tokens[0] = OWN_WORDS + BANDS if begins is None else np.where(begins[docs[:open_]], OWN_WORDS + BANDS, tokens[0])
+            tokens[0] = START if begins is None else np.where(begins[docs[:open_]], START, tokens[0])
         yield open_, tokens, place, there
 
 
@@ -315,7 +331,8 @@ def score_batch(net: Network, batch: Batch) -> np.ndarray:
         states, _ = net.states(tokens, h[:open_])
         h = states[-1]
         at = place[there]
-        logs, _ = net.log_probs(states[there], batch.group[at], batch.inner[at])
+        states = states[there]
+        logs = np.concatenate([net.log_probs(states[a : a + TARGETS], batch.group[at[a : a + TARGETS]], batch.inner[at[a : a + TARGETS]])[0] for a in range(0, len(at), TARGETS)])
         owner = np.broadcast_to(docs[:open_], there.shape)[there]
         total += np.bincount(owner, logs, len(total))
     return total
@@ -326,7 +343,11 @@ class Trainer:
 
     def __init__(self, net: Network):
         self.net, self.tokens, self.step = net, 0, 0
-        self.m, self.v = np.zeros_like(net.flat), np.zeros_like(net.flat)
+        self.m, self.v, self.flat = np.zeros_like(net.flat), np.zeros_like(net.flat), np.zeros_like(net.flat)
+        self.grads, at = {}, 0
+        for k, s in net.shapes.items():
+            self.grads[k] = self.flat[at : at + net.sizes[k]].reshape(s)
+            at += net.sizes[k]
 
     def learn(self, batch: Batch) -> None:
         # no token is left out, but a long document's pieces go side by side, each from a state of its own
@@ -344,56 +365,65 @@ class Trainer:
             docs = order[a : a + abreast]
             h = np.zeros((len(docs), HIDDEN), dtype=np.float32)
             for open_, tokens, place, there in _windows(batch, docs, begins):
-                net = self.net
-                flat = np.zeros_like(net.flat)
-                grads, at = {}, 0
-                for k, s in net.shapes.items():
-                    grads[k] = flat[at : at + net.sizes[k]].reshape(s)
-                    at += net.sizes[k]
+                net, grads = self.net, self.grads
                 states, kept = net.states(tokens, h[:open_], keep=True)
                 h = states[-1].copy()
                 where = place[there]
                 _, back = net.log_probs(states[there], batch.group[where], batch.inner[where], grads)
                 full = np.zeros_like(states)
                 full[there] = back
-                net.through_time(tokens, kept, full, grads)
-                self._update(flat / len(where), len(where))
-
-    def _update(self, grad: np.ndarray, tokens: int) -> None:
-        norm = float(np.sqrt((grad * grad).sum()))
+                self._update(net.through_time(tokens, kept, full, grads), len(where))
+
+    def _update(self, kinds: np.ndarray, tokens: int) -> None:
+        """A step along the summed gradients, which are zero again afterwards. Inputs that did not occur stay as they are."""
+        net, rest = self.net, self.net.sizes["x"]
+        shape = net.shapes["x"]
+        rows, others = self.grads["x"][kinds] / tokens, self.flat[rest:] / tokens
+        self.grads["x"][kinds] = 0
+        self.flat[rest:] = 0
+        norm = float(np.sqrt((rows * rows).sum() + (others * others).sum()))
         if norm > 1:
-            grad /= norm
+            rows /= norm
+            others /= norm
         self.step += 1
         self.tokens += tokens
-        self.m += 0.1 * (grad - self.m)
-        self.v += 0.01 * (grad * grad - self.v)
         # windows with few tokens are noisy and get a smaller step
         rate = RATE * min(1.0, math.sqrt(tokens / (ABREAST * STEPS)))
-        self.net.flat -= rate * (self.m / (1 - 0.9**self.step)) / (np.sqrt(self.v / (1 - 0.99**self.step)) + 1e-6)
+
+        def step(grad: np.ndarray, m: np.ndarray, v: np.ndarray) -> np.ndarray:
+            m += 0.1 * (grad - m)
+            v += 0.01 * (grad * grad - v)
+            return rate * (m / (1 - 0.9**self.step)) / (np.sqrt(v / (1 - 0.99**self.step)) + 1e-6)
+
+        m, v = self.m[:rest].reshape(shape), self.v[:rest].reshape(shape)
+        some_m, some_v = m[kinds], v[kinds]
+        net.p["x"][kinds] -= step(rows, some_m, some_v)
+        m[kinds], v[kinds] = some_m, some_v
+        net.flat[rest:] -= step(others, self.m[rest:], self.v[rest:])
 
 
 def _averaged(parts: pd.DataFrame) -> pd.DataFrame:
     tokens = parts["tokens"].to_numpy(dtype=np.float64)
     mean = sum(np.frombuffer(p, dtype=np.float32).astype(np.float64) * n for p, n in zip(parts["weights"], tokens, strict=True)) / max(tokens.sum(), 1)
-    return pd.DataFrame({"lot": parts["lot"].iloc[:1], "weights": [mean.astype(np.float32).tobytes()], "tokens": [int(tokens.sum())]})
+    return pd.DataFrame({"slice": parts["slice"].iloc[:1], "lot": parts["lot"].iloc[:1], "weights": [mean.astype(np.float32).tobytes()], "tokens": [int(tokens.sum())]})
 
 
 def train(texts: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
     """Weights learned from all rows of (doc_id, text): in each round, tasks train from the same weights on their own documents.
 
-    The tasks' weights are averaged by tokens, in lots and then over the lots, so that neither a task nor the driver gets
-    more than a few dozen vectors. Each round takes another one of ``rounds`` shares of the documents by a hash of the id,
+    The tasks' weights are averaged by tokens, slice by slice, in lots and then over the lots, so that a task gets a few
+    dozen slices and the driver one vector. Each round takes another one of ``rounds`` shares of the documents by a hash of the id,
     so every document is learned from once, those without an id too.
     """
     spark = texts.sparkSession
     shared = spark.sparkContext.broadcast(vocabulary)
     flat = Network(vocabulary).flat
     for turn in range(rounds):
-        start = flat
+        start = spark.sparkContext.broadcast(flat)
 
         def run(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
             vocabulary = shared.value
-            trainer = Trainer(Network(vocabulary, start))
+            trainer = Trainer(Network(vocabulary, start.value))
             parts: list[Batch] = []
             for batch in batches:
                 for _, _, words in runs(batch.column(0)):
@@ -405,15 +435,16 @@ def train(texts: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> np.
             if parts:
                 trainer.learn(joined(parts))
             if trainer.tokens:
-                lot = int(trainer.tokens) % LOTS
-                yield pa.RecordBatch.from_arrays([pa.array([lot]), pa.array([trainer.net.flat.tobytes()], pa.binary()), pa.array([trainer.tokens])], names=["lot", "weights", "tokens"])
+                flat, lot = trainer.net.flat, int(trainer.tokens) % LOTS
+                for k, a in enumerate(range(0, len(flat), SLICE)):
+                    yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([lot]), pa.array([flat[a : a + SLICE].tobytes()], pa.binary()), pa.array([trainer.tokens])], names=["slice", "lot", "weights", "tokens"])
 
-        schema = "lot long, weights binary, tokens long"
+        schema = "slice long, lot long, weights binary, tokens long"
         mine = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == turn).select("text")
-        lots = mine.mapInArrow(run, schema).groupBy("lot").applyInPandas(_averaged, schema).collect()
-        if lots:
-            weight = np.array([r["tokens"] for r in lots], dtype=np.float64)
-            flat = (sum(np.frombuffer(r["weights"], dtype=np.float32).astype(np.float64) * n for r, n in zip(lots, weight, strict=True)) / weight.sum()).astype(np.float32)
+        lots = mine.mapInArrow(run, schema).groupBy("slice", "lot").applyInPandas(_averaged, schema)
+        slices = sorted(lots.groupBy("slice").applyInPandas(_averaged, schema).collect(), key=lambda r: r["slice"])
+        if slices:
+            flat = np.concatenate([np.frombuffer(r["weights"], dtype=np.float32) for r in slices])
     return flat
 
 

@@ -139,6 +139,20 @@ def test_every_training_document_is_learned_from(spark):
         assert not np.array_equal(lm_scoring.train(one, vocabulary), fresh), doc_id
 
 
+def test_learned_words_grow_with_the_corpus():
+    own = []
+    for n in (500, 2_000, 20_000):
+        counts = np.repeat([400, 1], [n, n])
+        vocabulary = lm_scoring.Vocabulary.of(np.arange(2 * n, dtype=np.uint64), counts, int(counts.sum()), 2 * n)
+        own.append(int((vocabulary.group < vocabulary.classes).sum()))
+        assert vocabulary.classes ** 2 >= own[-1] - 2 * vocabulary.classes
+        net = lm_scoring.Network(vocabulary)
+        at = np.arange(len(vocabulary.words))
+        logs = net.log_probs(np.zeros((len(at), lm_scoring.HIDDEN), dtype=np.float32), vocabulary.group[at], vocabulary.inner[at])[0]
+        assert math.isclose(math.exp(logs[0]), (vocabulary.counts[0] + 0.5) / (vocabulary.total + 0.5 * (2 * n + 1)), rel_tol=1e-3)
+    assert own == [1_000, 2_000, 20_000]
+
+
 def test_gradients_equal_differences():
     vocabulary, batch, _ = small_model()
     net = lm_scoring.Network(vocabulary)
