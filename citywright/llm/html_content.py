@@ -20,13 +20,19 @@ RAW = frozenset("script style noscript template iframe textarea select svg math
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul head".split())
 #: Elements that an opening tag of one of these ends, if they are open inside the nearest of the given ancestors.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table", "tbody", "thead", "tfoot"}), "td": ({"td", "th"}, {"tr"}), "th": ({"td", "th"}, {"tr"}), "option": ({"option"}, {"select"})}
-#: Elements and roles that are never the article, and words of class or id attributes that say so.
+#: Elements and roles that are never the article, and whole class or id names that say so.
 OUTSIDE = frozenset("nav footer aside form head button dialog menu search".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar".split())
-NOT_CONTENT = re.compile(r"(?:^|[-_\s])(ads?|adverts?|advertisement|advertising|banner|sponsor(?:ed)?|promo(?:tion)?|sidebar|side|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|menu|nav|navbar|navigation|breadcrumbs?|header|masthead|footer|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|comments?|respond|replies|disqus|widget|toolbar|pagination|pager|skip|tags|byline-links)(?:$|[-_\s])", re.I)
+NOT_CONTENT = re.compile(
+    r"(?:ads?|adverts?|advertisement|advertising|banner|sponsor(?:ed)?|promo(?:tion)?|sidebar|side|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|menu|nav|navbar|navigation|breadcrumbs?|header|masthead|footer|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|comments?|respond|replies|disqus|widget|toolbar|pagination|pager|skip|tags|byline-links)"
+    r"|(?:ads?|advert|cookies?|consent|gdpr|newsletter|promo|share|sharing|social|related|recommended|comments?|breadcrumbs?|pagination|login|signup|subscribe|sponsor|nav|menu|footer|sidebar|widget)[-_](?:banner|bar|box|block|links?|list|area|form|buttons?|posts?|articles?|items?|container|wrapper|notice|popup|menu|section|widget)"
+    r"|(?:site|global)[-_](?:header|footer|nav|navigation|menu)|(?:main|top|page)[-_](?:footer|nav|navigation|menu)",
+    re.I,
+)
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>|<[!?][^>]*>", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: Name and value of every attribute in turn, so that nothing is found inside a value or as a part of a name.
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 #: A node is template if it has the same text on this share of the host's pages that have it, and these are so many at least.
 SAME_SHARE, LEAST_PAGES = 0.9, 10
@@ -150,11 +156,11 @@ def parse(html: str) -> tuple[Node, list[Block]]:
                 if name in ("class", "id"):
                     kind += f".{value}"
                     if tag not in ("html", "body", "article", "main") or name == "class" and tag == "article":
-                        outside = outside or NOT_CONTENT.search(value) is not None
+                        outside = outside or any(map(NOT_CONTENT.fullmatch, value.split()))
                 elif name == "role":
                     outside = outside or value.lower() in ROLES
                     inside = inside or value.lower() == "main"
-                else:
+                elif name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true":
                     outside = True
         inside = inside or tag in ("article", "main")
         if parent.kids and parent.kids[-1].kind == kind:

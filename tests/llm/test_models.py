@@ -190,6 +190,13 @@ def test_one_page():
     assert main_text("<p>a < b</p><!-- no <p>x</p> --><p>" + "w " * 50_000, None, set()) == "a < b\n" + ("w " * 50_000).strip()
 
 
+def test_attributes_are_whole_names():
+    for attribute in ('style="overflow:hidden"', 'aria-hidden="false"', "data-hidden", 'data-role="menu"', 'title="role=menu hidden"', 'class="content with-sidebar"', 'class="no-sidebar"', 'class="entry-header"'):
+        assert main_text(f"<div {attribute}><p>Article</p></div>", None, set()) == "Article", attribute
+    for attribute in ("hidden", 'HIDDEN=""', 'aria-hidden="true"', "role=menu", 'class="left sidebar"', "id='comments'", 'class="cookie-banner"'):
+        assert main_text(f"<div {attribute}><p>Other</p></div><p>Article</p>", None, set()) == "Article", attribute
+
+
 def test_wrapper_drops_what_is_constant(spark):
     body = lambda k: f"<html><body><div class='top'>Same on all pages</div><div class='text'><p>Story {k} begins.</p><p>It ends {k * 7}.</p></div><div>Contact us today</div></body></html>"
     rows = [(k, f"http://site.example/{k}", body(k)) for k in range(15)] + [(50, "https://other.example/x", body(50)), (51, None, None), (52, "not a url", ""), (0, "http://site.example/0", body(0))]
