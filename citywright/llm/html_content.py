@@ -36,6 +36,8 @@ ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s
 
 #: A node is template if it has the same text on this share of the host's pages that have it, and these are so many at least.
 SAME_SHARE, LEAST_PAGES = 0.9, 10
+#: What a pair of nodes counts in alignment, and what the same text adds to it; the same classes add 1.
+PAIR, SAME_TEXT = 1 << 40, 1 << 20
 #: Outside of articles, blocks with more than this share of their characters in links are menus.
 LINK_SHARE = 0.6
 #: Wrappers are broadcast up to this many bytes for all hosts together, and joined by shuffling beyond.
@@ -43,15 +45,17 @@ MOST_BROADCAST = 32 << 20
 
 
 class Node:
-    """A block-level element. Neighbours of one kind (paragraphs, list items) are one node: a repeated slot."""
+    """A block-level element: its tag, class names, children and own text. To be read only when the page is parsed."""
 
-    __slots__ = ("kind", "kids", "parts")
+    __slots__ = ("kind", "names", "kids", "parts", "_digest")
 
-    def __init__(self, kind: str):
-        self.kind, self.kids, self.parts = kind, [], []
+    def __init__(self, kind: str, names: str = ""):
+        self.kind, self.names, self.kids, self.parts, self._digest = kind, names, [], [], None
 
     def digest(self) -> str:
-        return blake2b("\n".join(self.parts).encode("utf-8", "surrogatepass"), digest_size=6).hexdigest() if self.parts else ""
+        if self._digest is None:
+            self._digest = blake2b("\n".join(self.parts).encode("utf-8", "surrogatepass"), digest_size=6).hexdigest() if self.parts else ""
+        return self._digest
 
 
 class Block:
@@ -146,7 +150,7 @@ def parse(html: str) -> tuple[Node, list[Block]]:
         _, parent, outside, inside = stack[-1]
         if tag == "hr":
             continue
-        kind = tag
+        names = ""
         if tag in OUTSIDE or (tag == "header" and not inside):
             outside = True
         if m.group(3):
@@ -154,7 +158,8 @@ def parse(html: str) -> tuple[Node, list[Block]]:
                 value = a or b or c
                 name = name.lower()
                 if name in ("class", "id"):
-                    kind += f".{value}"
+                    if name == "class":
+                        names = " ".join(sorted(value.split()))
                     if tag not in ("html", "body", "article", "main") or name == "class" and tag == "article":
                         outside = outside or any(map(NOT_CONTENT.fullmatch, value.split()))
                 elif name == "role":
@@ -163,19 +168,16 @@ def parse(html: str) -> tuple[Node, list[Block]]:
                 elif name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true":
                     outside = True
         inside = inside or tag in ("article", "main")
-        if parent.kids and parent.kids[-1].kind == kind:
-            node = parent.kids[-1]
-        else:
-            node = Node(kind)
-            parent.kids.append(node)
+        node = Node(tag, names)
+        parent.kids.append(node)
         stack.append((tag, node, outside, inside))
     flush()
     return root, blocks
 
 
 def skeleton(node: Node) -> list:
-    """[kind, digest of the own text, children]: what is kept of a reference page."""
-    return [node.kind, node.digest(), [skeleton(k) for k in node.kids]]
+    """[kind, digest of the own text, class names, children]: what is kept of a reference page."""
+    return [node.kind, node.digest(), node.names, [skeleton(k) for k in node.kids]]
 
 
 def numbered(tree: list) -> list:
@@ -185,21 +187,25 @@ def numbered(tree: list) -> list:
     def walk(n: list) -> list:
         nonlocal count
         count += 1
-        return [count, n[0], n[1], [walk(k) for k in n[2]]]
+        return [count, n[0], n[1], n[2], [walk(k) for k in n[3]]]
 
     return walk(tree)
 
 
 def align(tree: list, node: Node) -> dict[int, Node]:
-    """Simple tree matching: the largest set of pairs of equal kind that keeps parents and the order of siblings."""
+    """Simple tree matching: the largest set of pairs of equal kind that keeps parents and the order of siblings.
+
+    Every sibling is a node of its own. Between sets of one size, more pairs with the same text decide, then with the same classes.
+    """
 
     def match(a: list, b: Node) -> tuple[int, list]:
         if a[1] != b.kind:
             return 0, []
-        mine, yours = a[3], b.kids
+        mine, yours = a[4], b.kids
         pairs = [(a[0], b)]
+        alone = PAIR + (SAME_TEXT if a[2] and a[2] == b.digest() else 0) + (a[3] == b.names)
         if not mine or not yours:
-            return 1, pairs
+            return alone, pairs
         score = [[0] * (len(yours) + 1) for _ in range(len(mine) + 1)]
         took: dict[tuple[int, int], list] = {}
         for i, x in enumerate(mine, 1):
@@ -219,7 +225,7 @@ def align(tree: list, node: Node) -> dict[int, Node]:
                 i -= 1
             else:
                 j -= 1
-        return 1 + score[-1][-1], pairs
+        return alone + score[-1][-1], pairs
 
     return dict(match(tree, node)[1])
 
@@ -237,7 +243,7 @@ def main_text(html: str, wrapper: list | None, constant: set[int]) -> str:
 
         def walk(n: list) -> None:
             digests[n[0]] = n[2]
-            for k in n[3]:
+            for k in n[4]:
                 walk(k)
 
         walk(wrapper)
@@ -279,7 +285,7 @@ def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 while todo:
                     n = todo.pop()
                     digests[n[0]] = n[2]
-                    todo += n[3]
+                    todo += n[4]
                 trees[host] = (tree, digests)
             tree, digests = trees[host]
             for k, node in align(tree, parse(page or "")[0]).items():

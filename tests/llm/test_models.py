@@ -209,6 +209,14 @@ def test_wrapper_drops_what_is_constant(spark):
     assert extract_text(spark.createDataFrame([], "page_id long, url string, html string")).isEmpty()
 
 
+def test_constant_siblings_and_ids_of_each_page(spark):
+    extra = lambda k: "".join(f"<p>More {k} {j}.</p>" for j in range(k % 3))
+    body = lambda k: f"<div id='post-{k}' class='c{k}'><div><p>Constant notice</p></div><div><p>Read this first</p><p>Story {k}.</p>{extra(k)}<p>Call us now</p></div></div>"
+    rows = [(k, f"http://one.example/{k}", body(k)) for k in range(12)]
+    got = {r.page_id: r.text for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: "\n".join([f"Story {k}.", *(f"More {k} {j}." for j in range(k % 3))]) for k in range(12)}
+
+
 def test_alignment_is_the_largest():
     tree = html_content.numbered(html_content.skeleton(html_content.parse("<body><div>a</div><p>b</p><ul><li>c</ul></body>")[0]))
     page = html_content.parse("<body><p>x</p><h2>y</h2><ul><li>z</ul><div>w</div></body>")[0]
