@@ -53,16 +53,22 @@ def clean_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
     fails if no sentence ends in it, or it is mostly symbols or separators, is a menu, or holds a boilerplate
     phrase; a line equal to an earlier one falls away too. A document is kept unless ``base_failed`` or less
     than half of its words are in lines that pass. Null text counts as empty: all figures 0, not kept. A
-    column of ``docs`` with one of the added names is replaced; all other columns stay as they are. Each row is judged alone, so
-    repeated rows get the same verdict, and there is no shuffle.
+    column of ``docs`` with one of the added names is replaced; all other columns, whatever their names, stay as they are. Each
+    row is judged alone, so repeated rows get the same verdict, and there is no shuffle.
     """
-    # word hashes are kept, not words: three of them name a window, and arrays of numbers sort fast
+    # the caller's columns travel in one struct, beside which no name of theirs can clash with a step's
     names = [c for c in docs.columns if c.lower() not in _ADDED]
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.select(*[F.col(f"`{c}`") for c in names], text.alias("_t"))
+    return _judged(docs, names, text_col).select(*(["row.*"] if names else []), *_FIGURES)
+
+
+def _judged(docs: DataFrame, names: list[str], text_col: str) -> DataFrame:
+    """(row, figures): the columns ``names`` of ``docs`` as a struct, and what ``clean_lines`` adds."""
+    # word hashes are kept, not words: three of them name a window, and arrays of numbers sort fast
+    row = F.struct(*[F.col(f"`{c}`") for c in names]) if names else F.struct(F.lit(0).alias("_"))
+    base = docs.select(row.alias("row"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_t"))
     cut = base.select("*", _words(F.col("_t")).alias("_w"), F.filter(F.split("_t", "\n"), lambda x: x.rlike(WORD)).alias("_lines"))
     counted = cut.select(
-        *[f"`{c}`" for c in names],
+        "row",
         "_lines",
         F.size("_w").cast("long").alias("n_words"),
         F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
@@ -79,31 +85,33 @@ def clean_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
     zero = F.struct(F.lit(-3).alias("at"), F.lit(0).alias("n"))
     covered = F.aggregate("_at", zero, lambda a, i: F.struct(i.alias("at"), (a["n"] + F.least(F.lit(3), i - a["at"])).alias("n")), lambda a: a["n"])
     kept_words = F.aggregate("_ok", F.lit(0), lambda n, x: n + F.size(F.filter(F.split(x, SPACES), lambda w: w != "")))
-    out = at.select(
-        *[f"`{c}`" for c in names],
+    figures = F.struct(
         "n_words",
         "word_chars",
         "n_symbols",
         "n_dup_lines",
-        # the added 0 is not deterministic for Spark: else a filter on the verdict would be moved into the steps above,
-        # and whole arrays be computed anew for each of their elements
-        (F.coalesce(covered, F.lit(0)) + F.floor(F.rand(0))).cast("long").alias("n_repeat_words"),
+        F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
         F.size("_lines").cast("long").alias("n_lines"),
         F.size("_ok").cast("long").alias("n_lines_kept"),
         kept_words.cast("long").alias("n_words_kept"),
         F.array_join("_ok", "\n").alias("clean_text"),
     )
+    # a generator of one row: a filter on the verdict is not moved below it, where it would compute the arrays anew
+    out = at.select("row", F.inline(F.array(figures)))
     out = out.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words")))
     return out.withColumn("kept", ~F.col("base_failed") & (100 * F.col("n_words_kept") >= LEAST_KEPT_PERCENT * F.col("n_words")))
 
 
-_ADDED = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_lines_kept", "n_words_kept", "clean_text", "base_failed", "kept"}
+_FIGURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_lines_kept", "n_words_kept", "clean_text", "base_failed", "kept"]
+_ADDED = set(_FIGURES)
 
 
-def keep_clean(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that ``clean_lines`` keeps, columns and texts unchanged."""
-    inside = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{text_col}`").alias("text"))
-    return clean_lines(inside, "text").where("kept").select("_row.*")
+def keep_clean(docs: DataFrame, text_col: str = "text", cleaned: bool = False) -> DataFrame:
+    """The rows of ``docs`` that ``clean_lines`` keeps, columns unchanged; with ``cleaned``, their texts hold only the lines that pass."""
+    kept = _judged(docs, docs.columns, text_col).where("kept")
+    if not cleaned:
+        return kept.select("row.*")
+    return kept.select(*[F.col("clean_text").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def _quoted(pattern: str) -> str:
