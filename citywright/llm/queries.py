@@ -14,7 +14,8 @@ from .lm_scoring import score_texts
 from .mixing import mix
 from .near_dedup import near_duplicates
 from .quality import clean_lines
-from .secrets import BASE_KINDS, findings, joined
+from .scratch import stored
+from .secrets import BASE_KINDS, findings, joined, scan_blobs
 from .token_counts import count_tokens
 
 
@@ -73,8 +74,10 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
-    found = findings(_read(spark, sf_dir, "documents"))
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans; the documents come in two deliveries, of which the second meets the first one's ledger."""
+    docs = _read(spark, sf_dir, "documents")
+    ledger = stored(scan_blobs(docs.where("lang = 'en'")), "ledger")
+    found = findings(docs, ledger=ledger)
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE_KINDS))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", *[count(k) for k in BASE_KINDS], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import stored
+
 #: The set of rules; a ledger entry of another version does not stand for this one.
 RULE_VERSION = "2"
 
@@ -22,22 +24,47 @@ RULES = [
 BASE_KINDS = ("assign", "access", "hex")
 
 SPAN = "array<struct<start:int,rank:int,kind:string,end:int>>"
+#: Matches that are placed one after the other.
+LOT = 256
+
+
+def _once(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def _spans(text: Column, rank: int, kind: str, pattern: str, group: int, least: int) -> Column:
-    """Spans of one kind, in code points. What stands between matches, and the matches, give their places."""
-    between, found = F.split(text, pattern), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    parts = F.arrays_zip(F.transform(between, lambda x: F.length(x)).alias("gap"), F.transform(found, lambda x: F.length(x)).alias("len"), F.transform(value, lambda x: F.length(x)).alias("size"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
+    """Spans of one kind, in code points. What stands between matches, and the matches, give their places.
+
+    Matches are placed in lots, then lots by their sums, so that a text with very many matches does not take their square.
+    """
+    none = F.array().cast(SPAN)
+
+    def place(lot: Column, begin: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            a = acc["at"] + x["gap"]
+            span = F.struct(a.alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), (a + x["len"]).alias("end"))
+            return F.struct((a + x["len"]).alias("at"), F.when(x["size"] >= least, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
 
-    def step(acc: Column, x: Column) -> Column:
-        a = acc["at"] + x["gap"]
-        span = F.struct(a.alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), (a + x["len"]).alias("end"))
-        spans = F.when(x["size"] >= least, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"])
-        return F.struct((a + F.coalesce(x["len"], F.lit(0))).alias("at"), spans.alias("spans"))
+        return F.aggregate(lot, F.struct(begin.alias("at"), none.alias("spans")), step, lambda acc: acc["spans"])
 
-    return F.when(text.rlike(pattern), F.aggregate(parts, start, step, lambda acc: acc["spans"])).otherwise(F.array().cast(SPAN))
+    def placed(parts: Column) -> Column:
+        lots = F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / LOT).cast("int")), lambda k: F.slice(parts, k * LOT + 1, LOT))
+
+        def by_lot(lots: Column) -> Column:
+            sums = F.transform(lots, lambda lot: F.aggregate(lot, F.lit(0), lambda n, x: n + x["gap"] + x["len"]))
+            zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("begins"))
+            begins = F.aggregate(sums, zero, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["begins"], F.array(acc["at"])).alias("begins")), lambda acc: acc["begins"])
+            return F.flatten(F.zip_with(lots, begins, place))
+
+        return _once(lots, by_lot)
+
+    def parts(found: Column) -> Column:
+        between = F.slice(F.split(text, pattern), 1, F.size(found))
+        return F.zip_with(between, found, lambda gap, m: F.struct(F.length(gap).alias("gap"), F.length(m).alias("len"), F.length(F.regexp_extract(m, pattern, group) if group else m).alias("size")))
+
+    matches = lambda found: F.when(F.size(found) > 0, _once(parts(found), placed)).otherwise(none)
+    return F.when(text.rlike(pattern), _once(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), matches)).otherwise(none)
 
 
 def find_spans(text: Column) -> Column:
@@ -55,23 +82,31 @@ def blob_id(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")), 256)
 
 
-def scan_blobs(versions: DataFrame, id_col: str = "doc_id", text_col: str = "text", ledger: DataFrame | None = None) -> DataFrame:
+def addresses(versions: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, blob) of every row, stored: texts are hashed once for all steps that need addresses."""
+    return stored(versions.select(F.col(f"`{id_col}`").alias("id"), blob_id(F.col(f"`{text_col}`")).alias("blob")), "addresses")
+
+
+def scan_blobs(versions: DataFrame, id_col: str = "doc_id", text_col: str = "text", ledger: DataFrame | None = None, addressed: DataFrame | None = None) -> DataFrame:
     """New ledger entries (blob, rule_version, spans) for each blob that the ledger lacks under this rule version.
 
-    Every distinct text is scanned once, however many paths or versions hold it. ``ledger`` has at least the columns
-    blob and rule_version; entries of other rule versions count for nothing. The blob's text is
-    fetched from the row of its least id; only ids and addresses are grouped, so a blob with very many copies is
-    one row after partial aggregation.
+    Every distinct unseen text is scanned once, however many paths or versions hold it: the text is fetched from the row
+    of its least id, and only then matched. ``ledger`` has at least the columns blob and rule_version; entries of other rule versions
+    count for nothing. ``addressed`` are the rows' ``addresses``, where they are known already. Only ids and addresses are grouped, so
+    a blob with very many copies is one row after partial aggregation.
     """
-    addressed = versions.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), blob_id(F.col(f"`{text_col}`")).alias("blob"))
+    addressed = addresses(versions, id_col, text_col) if addressed is None else addressed
     first = addressed.groupBy("blob").agg(F.min("id").alias("id"), F.count("id").alias("n"))
     if ledger is not None:
         first = first.join(ledger.where(F.col("rule_version") == RULE_VERSION).select("blob").distinct(), "blob", "left_anti")
-    # rows without an id can hold a blob that no other row has
-    named = addressed.join(first.where("n > 0").select("blob", "id").hint("shuffle_hash"), ["blob", "id"], "left_semi")
-    nameless = addressed.where("id is null").join(first.where("n = 0").select("blob"), "blob", "left_semi")
-    scanned = named.unionByName(nameless).select("blob", F.lit(RULE_VERSION).alias("rule_version"), find_spans(F.col("text")).alias("spans"))
-    found = scanned.where(F.size("spans") > 0).dropDuplicates(["blob"])
+    texts = versions.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    # rows that repeat an id can hold another text, and rows without an id a blob that no other row has
+    wanted = first.where("n > 0").select("id", F.col("blob").alias("wanted")).hint("shuffle_hash")
+    named = texts.join(wanted, "id").select("wanted", blob_id(F.col("text")).alias("blob"), "text").where("blob = wanted").select("blob", "text")
+    nameless = texts.where("id is null").select(blob_id(F.col("text")).alias("blob"), "text").join(first.where("n = 0").select("blob"), "blob", "left_semi")
+    # a generator of one row: a filter on the spans is not moved below it, where it would scan texts that the ledger has
+    scanned = named.unionByName(nameless).select("blob", F.inline(F.array(F.struct(find_spans(F.col("text")).alias("spans")))))
+    found = scanned.where(F.size("spans") > 0).dropDuplicates(["blob"]).select("blob", F.lit(RULE_VERSION).alias("rule_version"), "spans")
     none = first.select("blob").join(found.select("blob"), "blob", "left_anti").select("blob", F.lit(RULE_VERSION).alias("rule_version"), F.array().cast(SPAN).alias("spans"))
     return found.unionByName(none)
 
@@ -82,12 +117,12 @@ def findings(versions: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ``ledger`` is what earlier calls of ``scan_blobs`` returned, put together. Null text counts as empty and
     has no spans. Repeated rows get a row each; other columns are ignored.
     """
-    entries = scan_blobs(versions, id_col, text_col, ledger)
+    addressed = addresses(versions, id_col, text_col)
+    entries = scan_blobs(versions, id_col, text_col, ledger, addressed)
     if ledger is not None:
         entries = entries.unionByName(ledger.where(F.col("rule_version") == RULE_VERSION).select("blob", "rule_version", "spans"))
     hits = entries.where(F.size("spans") > 0).select("blob", "spans").dropDuplicates(["blob"])
-    paths = versions.select(F.col(f"`{id_col}`").alias("doc_id"), blob_id(F.col(f"`{text_col}`")).alias("blob"))
-    return paths.join(hits, "blob", "left").select("doc_id", "blob", F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
+    return addressed.join(hits, "blob", "left").select(F.col("id").alias("doc_id"), "blob", F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
 
 
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
@@ -111,14 +146,15 @@ def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Findings come from the blob ledger and are joined back by content, so the few texts with a secret decide the
     join's size. All columns stay; null texts stay null.
     """
-    hits = scan_blobs(docs, id_col, text_col).where(F.size("spans") > 0).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
-    held = docs.withColumn("_blob", blob_id(F.col(f"`{text_col}`"))).join(hits, "_blob", "left")
-    held = held.withColumn("_new", redacted(F.col(f"`{text_col}`"), F.coalesce("_spans", F.array().cast(SPAN))))
-    out = {c: F.col(f"`{c}`") for c in docs.columns}
-    out[text_col] = F.col("_new")
+    hits = scan_blobs(docs, id_col, text_col).where(F.size("spans") > 0).select("blob", "spans")
+    # the caller's columns travel in one struct, beside which no name of theirs can clash
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), blob_id(F.col(f"`{text_col}`")).alias("blob")).join(hits, "blob", "left")
+    new = held.select("row", F.col("spans").isNotNull().alias("hit"), redacted(F.col(f"row.`{text_col}`"), F.coalesce("spans", F.array().cast(SPAN))).alias("new"))
+    out = {c: F.col(f"row.`{c}`") for c in docs.columns}
+    out[text_col] = F.col("new")
     if size_col in out:
-        out[size_col] = F.when(F.col("_spans").isNotNull(), F.length("_new").cast(docs.schema[size_col].dataType)).otherwise(F.col(f"`{size_col}`"))
-    return held.select(*[c.alias(n) for n, c in out.items()])
+        out[size_col] = F.when(F.col("hit"), F.length("new").cast(docs.schema[size_col].dataType)).otherwise(F.col(f"row.`{size_col}`"))
+    return new.select(*[c.alias(n) for n, c in out.items()])
 
 
 def oracle_sql() -> str:
