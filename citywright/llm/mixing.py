@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -68,47 +70,73 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int =
     return table.select("source", "source_size", share.alias("target"))
 
 
+def _nearest(lengths: list[int], more: list[int], less: list[int], lack: float, room: int) -> tuple[list[int], float]:
+    """Changes of each length, at most ``more`` and at least -``less``, whose words come nearest to ``lack`` while sums stay within ``room``.
+
+    Bit room + s of a big integer tells whether sum s can be made; each length's copies go in binary parts. It stops at
+    the first set of lengths that makes the nearest whole number of words.
+    """
+    goal = round(lack)
+    mask = (1 << (2 * room + 1)) - 1
+    reach, parts = [1 << room], []
+    for k, n in enumerate(lengths):
+        for left, sign in ((min(more[k], room // n), 1), (min(less[k], room // n), -1)):
+            size = 1
+            while left > 0 and not reach[-1] >> (room + goal) & 1:
+                c = min(size, left)
+                shifted = reach[-1] << (c * n) if sign > 0 else reach[-1] >> (c * n)
+                reach.append((reach[-1] | shifted) & mask)
+                parts.append((k, sign * c))
+                left, size = left - c, size * 2
+    can = reach[-1]
+    below = can & ((1 << (room + goal + 1)) - 1)
+    above = can >> (room + goal)
+    options = ([below.bit_length() - 1 - room] if below else []) + ([goal + (above & -above).bit_length() - 1] if above else [])
+    at = min(options, key=lambda x: (abs(x - lack), x))
+    change, off, bit = [0] * len(lengths), abs(at - lack), room + at
+    for (k, c), before in zip(reversed(parts), reversed(reach[:-1]), strict=True):
+        if not before >> bit & 1:
+            change[k] += c
+            bit -= c * lengths[k]
+    return change, off
+
+
 def fit(lengths: list[int], counts: list[int], budget: float) -> list[int]:
-    """How many documents of each length to take so that their words come as near to ``budget`` as can be.
+    """How many documents of each length to take so that their words come as near to ``budget`` as any choice can.
 
-    The bulk is taken in proportion, floor(count * budget / all words) of each length. What then lacks is filled
-    from the longest length down while a document fits, and the rest, less than the longest document, by an exact
-    bounded knapsack over sums up to twice that length: bit k of a big integer tells whether sum k can be made.
-    It stops at the first set of lengths that makes the sum exactly.
+    The bulk is taken in proportion, floor(count * budget / all words) of each length, and then from the longest length down
+    while a document fits. The rest is an exact bounded knapsack that may add documents and give taken ones back, over
+    sums within a room of some longest documents. If no choice there is as near as the lengths' common divisor
+    allows, the room grows, up to longest * (2 * longest + 1): of two choices with equal words, one differs from the bulk
+    by no more documents than that has longest ones, since else some of the changes would cancel out.
     """
     every = sum(n * c for n, c in zip(lengths, counts, strict=True))
     if every == 0 or budget <= 0:
         return [0] * len(lengths)
     if budget >= every:
         return list(counts)
-    goal = round(budget)
+    goal = int(budget)
     take = [min(c, int(c * goal // every)) for c in counts]
-    lack = goal - sum(n * t for n, t in zip(lengths, take, strict=True))
+    lack = budget - sum(n * t for n, t in zip(lengths, take, strict=True))
     order = sorted((k for k in range(len(lengths)) if lengths[k] > 0), key=lambda k: -lengths[k])
     longest = lengths[order[0]]
     for k in order:
-        more = min(counts[k] - take[k], max(0, lack - longest) // lengths[k])
+        more = min(counts[k] - take[k], int(max(0, lack) // lengths[k]))
         take[k] += more
         lack -= more * lengths[k]
-    # sums over what is left, up to one document beyond the lack; each length's copies in binary parts
-    most = lack + longest
-    mask = (1 << (most + 1)) - 1
-    reach, parts = [1], []
-    for k in order:
-        if reach[-1] >> lack & 1:
+    unit = math.gcd(*(lengths[k] for k in order))
+    made = budget - lack
+    # no sum can be nearer than the nearest multiple of the divisor
+    best = abs(round(budget / unit) * unit - budget)
+    most = min(longest * (2 * longest + 1), every)
+    room = min(2 * longest, most)
+    while True:
+        change, off = _nearest([lengths[k] for k in order], [counts[k] - take[k] for k in order], [take[k] for k in order], budget - made, room)
+        if off <= best + 1e-9 or room >= most:
             break
-        left, size = min(counts[k] - take[k], most // lengths[k]), 1
-        while left > 0:
-            n = min(size, left)
-            reach.append((reach[-1] | (reach[-1] << (n * lengths[k]))) & mask)
-            parts.append((k, n))
-            left, size = left - n, size * 2
-    best = reach[-1]
-    at = next(s for d in range(most + 1) for s in (lack - d, lack + d) if 0 <= s <= most and best >> s & 1)
-    for (k, n), before in zip(reversed(parts), reversed(reach[:-1]), strict=True):
-        if not before >> at & 1:
-            take[k] += n
-            at -= n * lengths[k]
+        room = min(4 * room, most)
+    for k, c in zip(order, change, strict=True):
+        take[k] += c
     return take
 
 
@@ -123,7 +151,8 @@ def _fits(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, more: list[Column] | None = None) -> DataFrame:
-    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), n_words(F.col(f"`{text_col}`")).alias("size"), *(more or []))
+    text = F.col(f"`{text_col}`")
+    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), n_words(text).alias("size"), F.xxhash64(text).alias("mark"), *(more or []))
 
 
 def _planned(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int = PERCENT, most_times: int = MOST_TIMES) -> tuple[DataFrame, DataFrame]:
@@ -146,7 +175,7 @@ def _copies(sized: DataFrame, plan: DataFrame, seed: int, more: list[str] | None
     earlier = F.coalesce(F.sum("_in").over(Window.partitionBy("source", "size").orderBy("_lot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     cut = lots.withColumn("_before", earlier).join(plan.select(F.col("source").alias("_s"), F.col("size").alias("_z"), "times", "n_more"), F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z")))
     cut = cut.select(F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("_lot").alias("_l"), "times", F.greatest(F.lit(0), F.least("_in", F.col("n_more") - F.col("_before"))).alias("_take"))
-    placed = dealt.withColumn("_rank", F.row_number().over(Window.partitionBy("source", "size", "_lot").orderBy("_order", "doc_id")))
+    placed = dealt.withColumn("_rank", F.row_number().over(Window.partitionBy("source", "size", "_lot").orderBy("_order", "doc_id", "mark")))
     joined = placed.join(cut, F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z")) & (F.col("_lot") == F.col("_l")))
     copies = F.when(F.col("size") == 0, F.lit(0)).otherwise(F.col("times") + F.when(F.col("_rank") <= F.col("_take"), 1).otherwise(0)).cast("long")
     return joined.select("doc_id", "source", "size", copies.alias("copies"), *(more or []))
@@ -158,7 +187,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     size is the text's number of words (null: 0); copies is how often the mix takes the document and taken =
     copies * size. Every document of a source is taken floor(target / source_size) times, and some once more: documents
     are counted by exact size, a knapsack over those counts picks how many of each size come nearest to the
-    remaining budget, and the first so many by a seeded hash of the id are taken. Reruns agree.
+    remaining budget, and the first so many by a seeded hash of the id are taken, by a hash of the text among equal ids. Reruns agree.
 
     A null source is a source of its own, last in order. Texts without words have size 0 and are never taken.
     Repeated rows are documents of their own. Other columns are ignored.
