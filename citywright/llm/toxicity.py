@@ -7,14 +7,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .words import Run, cut, mix64, runs, text_buffers
 
 #: The classifier is fitted on this many labelled documents of each class at most, the first by a hash of their id.
 ROWS_A_CLASS = 1000
-#: Character n-grams (bytes of ``<word>``), hash buckets, vector size.
+#: Of each class, the sample's texts take so many bytes at most; documents that would go beyond are not drawn.
+BYTES_A_CLASS = 32 << 20
+#: Lengths of the character n-grams of ``<word>``, hash buckets, vector size.
 GRAMS, BUCKETS, DIM = (3, 4, 5), 1 << 17, 8
 #: Words averaged together, and the step between such windows; a document scores as its most toxic window.
 WINDOW, STEP = 16, 8
@@ -29,16 +31,32 @@ def _distinct(run: Run) -> tuple[np.ndarray, np.ndarray]:
     return first, number
 
 
+def characters(run: Run) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(code of each character of the run's texts, first character of each word, its end); a character's bytes are one number."""
+    data, n = run.data, len(run.data)
+    lead = (data & 0xC0) != 0x80
+    lead[run.starts] = True
+    at = np.flatnonzero(lead)
+    codes, open_ = data[at].astype(np.uint64), np.ones(len(at), dtype=bool)
+    for k in range(1, 4):
+        following = np.minimum(at + k, n - 1)
+        open_ &= (at + k < n) & ~lead[following]
+        codes = np.where(open_, (codes << np.uint64(8)) | data[following], codes)
+    number = np.cumsum(lead)
+    return codes, number[run.starts] - 1, number[run.ends - 1]
+
+
 def gram_buckets(run: Run, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets of the n-grams of these words, where each word's begin). Every word has its whole self as one too."""
-    starts, ends = run.starts[words], run.ends[words]
+    """(buckets of the character n-grams of these words, where each word's begin). Every word has its whole self as one too."""
+    codes, begins, stops = characters(run)
+    starts, ends = begins[words], stops[words]
     sizes = ends - starts + 2
     edges = np.concatenate(([0], np.cumsum(sizes)))
     n = int(edges[-1])
     at = np.arange(n) - np.repeat(edges[:-1], sizes)
     inner = (at > 0) & (at < np.repeat(sizes, sizes) - 1)
     chars = np.where(at == 0, np.uint8(ord("<")), np.uint8(ord(">"))).astype(np.uint64)
-    chars[inner] = run.data[(np.repeat(starts, sizes) + at - 1)[inner]]
+    chars[inner] = codes[(np.repeat(starts, sizes) + at - 1)[inner]]
     left = np.repeat(edges[1:], sizes) - np.arange(n)
     owner = np.repeat(np.arange(len(words)), sizes)
     found, owners = [mix64(run.hashes[words])], [np.arange(len(words))]
@@ -172,10 +190,10 @@ def _fitted(x: np.ndarray, y: np.ndarray, rate: float) -> tuple[float, float]:
     return float(beta[0] / scale), float(beta[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows_a_class: int = ROWS_A_CLASS) -> Model:
-    """Train on at most ``rows_a_class`` labelled documents of each class; the base rate counts them all.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows_a_class: int = ROWS_A_CLASS, bytes_a_class: int = BYTES_A_CLASS) -> Model:
+    """Train on at most ``rows_a_class`` labelled documents of each class, of ``bytes_a_class`` in all; the base rate counts them all.
 
-    Rows with a null label or id are left out, and so are ids with no document.
+    Rows with a null label or id are left out, and so are ids with no document. Of rows that repeat an id, one text is learned from.
     """
     known = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y")).where("id is not null and y is not null").groupBy("id").agg(F.max("y").alias("y"))
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -186,7 +204,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         drawn = some if drawn is None else drawn.unionByName(some)
     # the sample is bounded by its parameter, so it is broadcast and the documents stay where they are
     pairs = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).join(F.broadcast(drawn), "id")
-    rows = sorted(pairs.select("id", "y", "text").collect(), key=lambda r: (r["id"], r["text"]))
+    one = pairs.groupBy("id", "y").agg(F.min_by("text", F.md5("text")).alias("text"))
+    so_far = F.sum(F.octet_length("text")).over(Window.partitionBy("y").orderBy(F.xxhash64("id"), "id"))
+    bounded = one.withColumn("bytes", so_far).where(F.col("bytes") <= bytes_a_class)
+    rows = sorted(bounded.select("id", "y", "text").collect(), key=lambda r: r["id"])
     return train([r["text"] for r in rows], np.array([r["y"] for r in rows], dtype=np.int64), rate)
 
 
