@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,13 +15,17 @@ from .words import SHINGLE_WORDS, mix64, runs, shingles
 
 SIMILARITY = 0.75
 #: Fingerprint bits, bits of an index block, and the radius. At similarity 0.75 the expected distance is 22 with
-#: a deviation of 4.3; unrelated windows are 64 apart with a deviation of 5.7.
-BITS, BLOCK_BITS, RADIUS = 128, 8, 44
+#: a deviation of 4.3; unrelated windows are 64 apart with a deviation of 5.7. Wide blocks prune: of unrelated pairs, 1 in 200
+#: has a block of 64 bits with 20 wrong ones at most, whereas 9 in 10 have one of 8 bits with 2.
+BITS, BLOCK_BITS, RADIUS = 128, 64, 41
 #: Items in one pass over the documents, and the bytes of their texts; more items take more passes.
 ITEMS_A_PASS, BYTES_A_PASS = 5_000, 16 << 20
 
 _BLOCKS = BITS // BLOCK_BITS
-_POP8 = np.array([bin(v).count("1") for v in range(256)], dtype=np.uint8)
+#: Of ``_BLOCKS`` blocks, a fingerprint within ``RADIUS`` has at most this many wrong bits in one of them.
+SLACK = RADIUS // _BLOCKS
+#: Window and item pairs whose blocks are compared at a time.
+_PAIRS = 1 << 20
 
 
 def votes(hashes: np.ndarray) -> np.ndarray:
@@ -32,39 +37,39 @@ def votes(hashes: np.ndarray) -> np.ndarray:
 
 def fingerprints(sums: np.ndarray) -> np.ndarray:
     """Blocks of ``BLOCK_BITS`` bits of the fingerprints with these vote sums."""
-    return np.packbits(sums > 0, axis=1)
+    return np.packbits(sums > 0, axis=1).view(np.uint64)
 
 
 @dataclass
 class Index:
-    """Items of one length: their shingle counts, and for each block and value the items near it there."""
+    """Items of one length: their shingle counts and the blocks of their fingerprints, one array for each block."""
 
     words: int
     width: int
     ids: list
     bags: list[dict[int, int]]
     blocks: np.ndarray
-    near: np.ndarray
 
     @classmethod
     def of(cls, words: int, ids: list, hashes: list[np.ndarray]) -> Index:
-        blocks = fingerprints(np.stack([votes(h).sum(axis=0) for h in hashes]))
-        # of _BLOCKS blocks, a fingerprint within RADIUS has at most this many wrong bits in one of them
-        slack = RADIUS // _BLOCKS
-        values = np.arange(1 << BLOCK_BITS, dtype=np.uint8)
-        near = _POP8[values[None, :, None] ^ blocks.T[:, None, :]] <= slack
+        blocks = np.ascontiguousarray(fingerprints(np.stack([votes(h).sum(axis=0) for h in hashes])).T)
         bags = [dict(zip(*(x.tolist() for x in np.unique(h, return_counts=True)), strict=True)) for h in hashes]
-        return cls(words, min(words, SHINGLE_WORDS), ids, bags, blocks, near)
+        return cls(words, min(words, SHINGLE_WORDS), ids, bags, blocks)
 
     def candidates(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(window, item, distance) of all fingerprints within the radius."""
-        hit = np.zeros((len(prints), len(self.ids)), dtype=bool)
-        for b in range(_BLOCKS):
-            hit |= self.near[b, prints[:, b]]
-        w, i = np.nonzero(hit)
-        far = _POP8[prints[w] ^ self.blocks[i]].sum(axis=1, dtype=np.int64)
-        ok = far <= RADIUS
-        return w[ok], i[ok], far[ok]
+        """(window, item, distance) of all fingerprints within the radius: those near in some block, compared whole."""
+        found = []
+        step = max(1, _PAIRS // len(self.ids))
+        for a in range(0, len(prints), step):
+            part = prints[a : a + step]
+            hit = np.zeros((len(part), len(self.ids)), dtype=bool)
+            for b in range(_BLOCKS):
+                hit |= np.bitwise_count(part[:, b, None] ^ self.blocks[b]) <= SLACK
+            w, i = np.nonzero(hit)
+            far = np.bitwise_count(part[w] ^ self.blocks[:, i].T).sum(axis=1, dtype=np.int64)
+            ok = far <= RADIUS
+            found.append((w[ok] + a, i[ok], far[ok]))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def similarity(window: dict[int, int], item: dict[int, int]) -> float:
@@ -141,17 +146,22 @@ class Matcher:
                         best[index.ids[i]] = (sim, start, size, int(far))
 
 
-def _passes(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[object, str]]]:
-    """The items in lists of bounded size, so that what tasks are sent does not grow with the benchmark."""
+def _passes(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[Broadcast]:
+    """The items in broadcast lists of bounded size, so that what tasks are sent, or the driver holds, does not grow with the benchmark.
+
+    A list that is broadcast lies in files, not in the driver's memory.
+    """
+    spread = benchmark.sparkSession.sparkContext.broadcast
     part, size = [], 0
-    for row in benchmark.select(id_col, text_col).where(F.col(text_col).isNotNull()).toLocalIterator():
+    items = benchmark.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where("text is not null")
+    for row in items.toLocalIterator():
         if part and (len(part) >= ITEMS_A_PASS or size + len(row[1]) > BYTES_A_PASS):
-            yield part
+            yield spread(part)
             part, size = [], 0
         part.append((row[0], row[1]))
         size += len(row[1])
     if part:
-        yield part
+        yield spread(part)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -166,21 +176,21 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     Documents are read once for each pass of ``ITEMS_A_PASS`` items and never shuffled.
     """
     kind = benchmark.schema[item_id].dataType.simpleString()
+    arrow = benchmark.select(F.col(f"`{item_id}`")).limit(0).toArrow().schema.field(0).type
     source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, item_id {kind}, similarity double, start_word long, n_words long, distance long"
-    arrow = pa.schema([("item_id", {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind])])
     out = None
     for items in _passes(benchmark, item_id, item_text):
 
         def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(items)
+            matcher = Matcher(items.value)
             for batch in batches:
                 for a, b, words in runs(batch.column(1)):
                     rows = list(matcher.find(words))
                     if rows:
                         d, item, sim, start, n, far = zip(*rows, strict=True)
                         ids = batch.column(0).slice(a, b - a).take(pa.array(d))
-                        columns = [ids, pa.array(item, arrow.field("item_id").type), pa.array(sim), pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.array(far, pa.int64())]
+                        columns = [ids, pa.array(item, arrow), pa.array(sim), pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.array(far, pa.int64())]
                         yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "item_id", "similarity", "start_word", "n_words", "distance"])
 
         found = source.mapInArrow(run, schema)
@@ -194,7 +204,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     for items in _passes(benchmark, item_id, item_text):
 
         def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(items)
+            matcher = Matcher(items.value)
             for batch in batches:
                 for a, b, words in runs(batch.column(place)):
                     clean = np.ones(b - a, dtype=bool)
