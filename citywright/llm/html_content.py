@@ -1,4 +1,10 @@
-"""Main text of web pages by wrapper induction over the pages of a host."""
+"""Main text of web pages by wrapper induction over the pages of a host.
+
+The pages of a host are aligned with some of their own by simple tree matching. What is known then of every element of the
+template - on how many pages it stands, which text it has most often, how much text varies below it - decides where
+the article is: the smallest container in which nearly all varying text lies. What stands beside it is template, and so is what
+has one text on nearly all pages inside it. Element names, roles and class names decide only what the wrapper leaves open.
+"""
 
 from __future__ import annotations
 
@@ -9,33 +15,44 @@ from collections.abc import Iterator
 from hashlib import blake2b
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import stored
 
 # Elements by what they do to text.
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe textarea select svg math object title".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul head".split())
 #: Elements that an opening tag of one of these ends, if they are open inside the nearest of the given ancestors.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table", "tbody", "thead", "tfoot"}), "td": ({"td", "th"}, {"tr"}), "th": ({"td", "th"}, {"tr"}), "option": ({"option"}, {"select"})}
+#: Elements that hold text rather than other blocks: none of them is the container of an article.
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt pre blockquote caption figcaption legend summary option".split())
 #: Elements and roles that are never the article, and whole class or id names that say so.
-OUTSIDE = frozenset("nav footer aside form head button dialog menu search".split())
+OUTSIDE = frozenset("nav footer aside head button dialog menu search".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar".split())
 NOT_CONTENT = re.compile(
-    r"(?:ads?|adverts?|advertisement|advertising|banner|sponsor(?:ed)?|promo(?:tion)?|sidebar|side|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|menu|nav|navbar|navigation|breadcrumbs?|header|masthead|footer|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|comments?|respond|replies|disqus|widget|toolbar|pagination|pager|skip|tags|byline-links)"
+    r"(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo(?:tion)?|sidebar|cookies?|consent|gdpr|popup|nav|navbar|navigation|breadcrumbs?|masthead|footer|share|sharing|related|recommended|newsletter|subscribe|signup|login|comments?|respond|replies|disqus|pagination|pager)"
     r"|(?:ads?|advert|cookies?|consent|gdpr|newsletter|promo|share|sharing|social|related|recommended|comments?|breadcrumbs?|pagination|login|signup|subscribe|sponsor|nav|menu|footer|sidebar|widget)[-_](?:banner|bar|box|block|links?|list|area|form|buttons?|posts?|articles?|items?|container|wrapper|notice|popup|menu|section|widget)"
     r"|(?:site|global)[-_](?:header|footer|nav|navigation|menu)|(?:main|top|page)[-_](?:footer|nav|navigation|menu)",
     re.I,
 )
+#: Names that stand for other things too: they count outside of articles only, and where no wrapper is known.
+PERHAPS = re.compile(r"banner|side|notices?|alert|modal|overlay|menu|header|social|widget|toolbar|skip|tags|byline-links", re.I)
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>|<[!?][^>]*>", re.S)
 #: Name and value of every attribute in turn, so that nothing is found inside a value or as a part of a name.
 ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
-#: A node is template if it has the same text on this share of the host's pages that have it, and these are so many at least.
-SAME_SHARE, LEAST_PAGES = 0.9, 10
+#: References of a host: the smallest page of each of its commonest layouts. Pages of other layouts are aligned with the nearest one.
+REFERENCES = 4
+#: A layout is the set of paths to containers of this depth at most.
+LAYOUT_DEPTH = 5
+#: The article is the smallest container with this share of all varying text. A long page's text counts as so many characters.
+REGION_SHARE, MOST_WEIGHT = 0.6, 5000
+#: Inside the article, a node is template if it has one text on this share of the pages that have it, and these are so many at least.
+SAME_SHARE, LEAST_PAGES = 0.9, 3
+#: A page is read by its reference if this share of its containers has a counterpart there.
+LIKE_SHARE = 0.7
 #: What a pair of nodes counts in alignment, and what the same text adds to it; the same classes add 1.
 PAIR, SAME_TEXT = 1 << 40, 1 << 20
 #: Outside of articles, blocks with more than this share of their characters in links are menus.
@@ -44,32 +61,56 @@ LINK_SHARE = 0.6
 MOST_BROADCAST = 32 << 20
 
 
-class Node:
-    """A block-level element: its tag, class names, children and own text. To be read only when the page is parsed."""
+def _number(text: str) -> int:
+    """A 63-bit hash, 0 for no text."""
+    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest()) >> 1 if text else 0
+
+
+class Tree:
+    """Block elements in page order: each one's parent, tag, class names, and a hash of its own text. Element 0 is the page."""
 
-    __slots__ = ("kind", "names", "kids", "parts", "_digest")
+    def __init__(self, parent: list[int], tag: list[str], names: list[str], digest: list[int]):
+        self.parent, self.tag, self.names, self.digest = parent, tag, names, digest
+        self.kids: list[list[int]] = [[] for _ in tag]
+        for k in range(1, len(parent)):
+            self.kids[parent[k]].append(k)
 
-    def __init__(self, kind: str, names: str = ""):
-        self.kind, self.names, self.kids, self.parts, self._digest = kind, names, [], [], None
+    def __len__(self) -> int:
+        return len(self.tag)
 
-    def digest(self) -> str:
-        if self._digest is None:
-            self._digest = blake2b("\n".join(self.parts).encode("utf-8", "surrogatepass"), digest_size=6).hexdigest() if self.parts else ""
-        return self._digest
+    def layout(self) -> int:
+        """A hash of the paths to containers near the top, without the numbers that names hold."""
+        paths, depth, seen = [""] * len(self), [0] * len(self), set()
+        for k in range(1, len(self)):
+            p = self.parent[k]
+            depth[k] = depth[p] + 1
+            if depth[k] <= LAYOUT_DEPTH and self.tag[k] not in TEXTUAL:
+                paths[k] = f"{paths[p]}/{self.tag[k]}.{re.sub('[0-9]+', '', self.names[k])}"
+                seen.add(paths[k])
+        return _number("\n".join(sorted(seen)))
+
+    def to_json(self) -> str:
+        return json.dumps([self.parent, self.tag, self.names, self.digest], separators=(",", ":"))
 
 
 class Block:
-    __slots__ = ("node", "text", "outside", "inside", "linked")
+    """A piece of text: its element, and what the element's name, role and classes say of it."""
+
+    __slots__ = ("node", "text", "outside", "perhaps", "article", "form", "linked")
 
-    def __init__(self, node: Node, text: str, outside: bool, inside: bool, linked: float):
-        self.node, self.text, self.outside, self.inside, self.linked = node, text, outside, inside, linked
+    def __init__(self, node: int, text: str, outside: bool, perhaps: bool, article: int, form: int, linked: float):
+        self.node, self.text, self.outside, self.perhaps, self.article, self.form, self.linked = node, text, outside, perhaps, article, form, linked
 
+    @property
+    def inside(self) -> bool:
+        return self.article >= 0
 
-def parse(html: str) -> tuple[Node, list[Block]]:
+
+def parse(html: str) -> tuple[Tree, list[Block]]:
     """The tree of block elements and the blocks of text in page order."""
-    root = Node("root")
-    # open elements: (tag, node, outside the article, inside an article)
-    stack = [("", root, False, False)]
+    parents, tags, classes, own = [-1], ["root"], [""], [[]]
+    # open elements: (tag, node, outside the article, perhaps so, the article and the form around)
+    stack = [("", 0, False, False, -1, -1)]
     blocks: list[Block] = []
     text: list[str] = []
     links, in_link = 0, 0
@@ -80,9 +121,9 @@ def parse(html: str) -> tuple[Node, list[Block]]:
             whole = " ".join("".join(text).split())
             text.clear()
             if whole:
-                _, node, outside, inside = stack[-1]
-                node.parts.append(whole)
-                blocks.append(Block(node, whole, outside, inside, links / len(whole)))
+                _, node, outside, perhaps, article, form = stack[-1]
+                own[node].append(whole)
+                blocks.append(Block(node, whole, outside, perhaps, article, form, links / len(whole)))
             links = 0
 
     def add(piece: str) -> None:
@@ -92,10 +133,6 @@ def parse(html: str) -> tuple[Node, list[Block]]:
         if in_link:
             links += len(piece)
 
-    def close_to(depth: int) -> None:
-        flush()
-        del stack[depth:]
-
     at, end, size = 0, 0, len(html)
     search = TOKEN.search
     while True:
@@ -117,7 +154,8 @@ def parse(html: str) -> tuple[Node, list[Block]]:
             elif tag in BLOCK:
                 for depth in range(len(stack) - 1, 0, -1):
                     if stack[depth][0] == tag:
-                        close_to(depth)
+                        flush()
+                        del stack[depth:]
                         break
             continue
         if tag in RAW:
@@ -135,7 +173,8 @@ def parse(html: str) -> tuple[Node, list[Block]]:
         # a block element ends an open paragraph
         for depth in range(len(stack) - 1, 0, -1):
             if stack[depth][0] == "p":
-                close_to(depth)
+                flush()
+                del stack[depth:]
                 break
             if stack[depth][0] in ("article", "section", "div", "body", "td", "li", "main", "blockquote"):
                 break
@@ -147,12 +186,13 @@ def parse(html: str) -> tuple[Node, list[Block]]:
                     break
                 if stack[depth][0] in ends:
                     del stack[depth:]
-        _, parent, outside, inside = stack[-1]
+        _, parent, outside, perhaps, article, form = stack[-1]
         if tag == "hr":
             continue
-        names = ""
-        if tag in OUTSIDE or (tag == "header" and not inside):
-            outside = True
+        names, node = "", len(tags)
+        outside = outside or tag in OUTSIDE or (tag == "header" and article < 0)
+        if tag == "form":
+            form = node
         if m.group(3):
             for name, a, b, c in ATTRIBUTE.findall(m.group(3)):
                 value = a or b or c
@@ -162,95 +202,200 @@ def parse(html: str) -> tuple[Node, list[Block]]:
                         names = " ".join(sorted(value.split()))
                     if tag not in ("html", "body", "article", "main") or name == "class" and tag == "article":
                         outside = outside or any(map(NOT_CONTENT.fullmatch, value.split()))
+                        perhaps = perhaps or any(map(PERHAPS.fullmatch, value.split()))
                 elif name == "role":
                     outside = outside or value.lower() in ROLES
-                    inside = inside or value.lower() == "main"
+                    article = node if value.lower() == "main" else article
                 elif name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true":
                     outside = True
-        inside = inside or tag in ("article", "main")
-        node = Node(tag, names)
-        parent.kids.append(node)
-        stack.append((tag, node, outside, inside))
+        article = node if tag in ("article", "main") else article
+        parents.append(parent)
+        tags.append(tag)
+        classes.append(names)
+        own.append([])
+        stack.append((tag, node, outside, perhaps, article, form))
     flush()
-    return root, blocks
-
-
-def skeleton(node: Node) -> list:
-    """[kind, digest of the own text, class names, children]: what is kept of a reference page."""
-    return [node.kind, node.digest(), node.names, [skeleton(k) for k in node.kids]]
-
-
-def numbered(tree: list) -> list:
-    """The skeleton with each node's number in page order in front."""
-    count = -1
-
-    def walk(n: list) -> list:
-        nonlocal count
-        count += 1
-        return [count, n[0], n[1], n[2], [walk(k) for k in n[3]]]
-
-    return walk(tree)
-
-
-def align(tree: list, node: Node) -> dict[int, Node]:
-    """Simple tree matching: the largest set of pairs of equal kind that keeps parents and the order of siblings.
-
-    Every sibling is a node of its own. Between sets of one size, more pairs with the same text decide, then with the same classes.
+    _judge_forms(blocks)
+    return Tree(parents, tags, classes, [_number("\n".join(o)) for o in own]), blocks
+
+
+def _judge_forms(blocks: list[Block]) -> None:
+    """Forms are not content, but for those around an article, or, where they are in none, around most of the page's text."""
+    whole = sum(len(b.text) for b in blocks if not b.outside)
+    held: dict[int, int] = {}
+    around = set()
+    for b in blocks:
+        if b.form >= 0 and not b.outside:
+            held[b.form] = held.get(b.form, 0) + len(b.text)
+            # elements are numbered in page order, so an article of a higher number is in the form
+            if b.article > b.form:
+                around.add(b.form)
+    for b in blocks:
+        if b.form >= 0 and b.form not in around and (b.inside or 2 * held.get(b.form, 0) <= whole):
+            b.outside = True
+
+
+def align(reference: Tree, page: Tree) -> list[int]:
+    """For each element of ``page`` its counterpart in ``reference``, or -1, by simple tree matching.
+
+    The largest set of pairs of equal tags that keeps parents and the order of siblings; between sets of one size, more
+    pairs with the same text decide, then with the same classes. Pairs are scored from the deepest up, without recursion.
     """
 
-    def match(a: list, b: Node) -> tuple[int, list]:
-        if a[1] != b.kind:
-            return 0, []
-        mine, yours = a[4], b.kids
-        pairs = [(a[0], b)]
-        alone = PAIR + (SAME_TEXT if a[2] and a[2] == b.digest() else 0) + (a[3] == b.names)
+    def alone(a: int, b: int) -> int:
+        return PAIR + (SAME_TEXT if reference.digest[a] and reference.digest[a] == page.digest[b] else 0) + (reference.names[a] == page.names[b])
+
+    found = [-1] * len(page)
+    if reference.tag[0] != page.tag[0]:
+        return found
+    score: dict[tuple[int, int], int] = {}
+    order, at = [(0, 0)], 0
+    while at < len(order):
+        a, b = order[at]
+        at += 1
+        for x in reference.kids[a]:
+            for y in page.kids[b]:
+                if reference.tag[x] == page.tag[y]:
+                    if reference.kids[x] and page.kids[y]:
+                        order.append((x, y))
+                    else:
+                        score[x, y] = alone(x, y)
+
+    def table(a: int, b: int) -> list[list[int]]:
+        """Best scores of the first i children of one and j of the other."""
+        rows = [[0] * (len(page.kids[b]) + 1)]
+        for x in reference.kids[a]:
+            above, row = rows[-1], [0]
+            for j, y in enumerate(page.kids[b]):
+                best = above[j + 1] if above[j + 1] > row[j] else row[j]
+                s = score.get((x, y))
+                if s is not None and above[j] + s > best:
+                    best = above[j] + s
+                row.append(best)
+            rows.append(row)
+        return rows
+
+    for a, b in reversed(order):
+        score[a, b] = alone(a, b) + table(a, b)[-1][-1]
+    todo = [(0, 0)]
+    while todo:
+        a, b = todo.pop()
+        found[b] = a
+        mine, yours = reference.kids[a], page.kids[b]
         if not mine or not yours:
-            return alone, pairs
-        score = [[0] * (len(yours) + 1) for _ in range(len(mine) + 1)]
-        took: dict[tuple[int, int], list] = {}
-        for i, x in enumerate(mine, 1):
-            for j, y in enumerate(yours, 1):
-                s, own = match(x, y) if x[1] == y.kind else (0, None)
-                best = max(score[i - 1][j], score[i][j - 1])
-                if s and score[i - 1][j - 1] + s > best:
-                    best = score[i - 1][j - 1] + s
-                    took[i, j] = own
-                score[i][j] = best
-        i, j = len(mine), len(yours)
+            continue
+        rows, i, j = table(a, b), len(mine), len(yours)
         while i and j:
-            if (i, j) in took and score[i][j] > max(score[i - 1][j], score[i][j - 1]):
-                pairs += took[i, j]
-                i, j = i - 1, j - 1
-            elif score[i][j] == score[i - 1][j]:
+            s = score.get((mine[i - 1], yours[j - 1]))
+            if rows[i][j] == rows[i - 1][j]:
                 i -= 1
-            else:
+            elif rows[i][j] == rows[i][j - 1]:
                 j -= 1
-        return alone + score[-1][-1], pairs
-
-    return dict(match(tree, node)[1])
+            else:
+                assert s is not None
+                todo.append((mine[i - 1], yours[j - 1]))
+                i, j = i - 1, j - 1
+    return found
+
+
+def nearest(references: list[Tree], page: Tree) -> tuple[int, list[int]]:
+    """(number of the reference that most of the page's elements have a counterpart in, the alignment); (-1, []) without references."""
+    best, number, pairs = -1.0, -1, []
+    layout = page.layout() if len(references) > 1 else None
+    for k, r in enumerate(references):
+        own = align(r, page)
+        like = sum(p >= 0 for p in own) / max(len(r), len(page)) + (layout == r.layout() if layout is not None else 0)
+        if like > best:
+            best, number, pairs = like, k, own
+    return number, pairs
+
+
+class Template:
+    """What a host's pages have in common with a reference: where the article lies, and which nodes have one text."""
+
+    def __init__(self, tree: Tree, nodes: list[dict]):
+        """``nodes``: node, n (pages), top_n (pages with the commonest text), top (its hash), same (pages whose text other pages have), varying, lo, hi."""
+        self.tree = tree
+        varying = [0.0] * len(tree)
+        self.constant: dict[int, int] = {}
+        self.recurs: set[int] = set()
+        for x in nodes:
+            varying[x["node"]] += x["varying"]
+            if x["top"] and x["n"] >= LEAST_PAGES and x["top_n"] >= SAME_SHARE * x["n"]:
+                self.constant[x["node"]] = x["top"]
+            if 2 * x["same"] >= x["n"]:
+                self.recurs.add(x["node"])
+        for k in range(len(tree) - 1, 0, -1):
+            varying[tree.parent[k]] += varying[k]
+        # pages that are all alike show nothing
+        self.known = bool(nodes) and min(x["lo"] for x in nodes) < max(x["hi"] for x in nodes) and varying[0] > 0
+        self.region = 0
+        while self.known:
+            inner = [k for k in tree.kids[self.region] if tree.tag[k] not in TEXTUAL and varying[k] >= REGION_SHARE * varying[0]]
+            if not inner:
+                break
+            self.region = inner[0]
+        self.within = [False] * len(tree)
+        self.above = {self.region}
+        k = self.region
+        while k > 0:
+            k = tree.parent[k]
+            self.above.add(k)
+        for k in range(len(tree)):
+            self.within[k] = k == self.region or (k > 0 and self.within[tree.parent[k]])
+
+    def verdict(self, page: Tree, pairs: list[int]) -> list[str] | None:
+        """For each element of the page "article", "template", "heading" (beside the article) or "open"; None where the page is not like the reference."""
+        containers = [k for k in range(len(page)) if page.tag[k] not in TEXTUAL]
+        if not self.known or sum(pairs[k] >= 0 for k in containers) < LIKE_SHARE * len(containers) or self.region not in pairs:
+            return None
+        out: list[str] = []
+        ready = False
+        for k in range(len(page)):
+            a = pairs[k]
+            ready = ready or a == self.region
+            if a < 0:
+                # what has no counterpart belongs to where it stands
+                p = out[page.parent[k]]
+                out.append("template" if p == "heading" else p)
+            elif self.within[a]:
+                out.append("template" if page.digest[k] and self.constant.get(a) == page.digest[k] else "article")
+            elif a in self.above:
+                out.append("template" if page.digest[k] and self.constant.get(a) == page.digest[k] else "open")
+            else:
+                # a varying headline can stand in front of its article
+                out.append("heading" if page.tag[k] in ("h1", "h2") and a not in self.recurs and not ready else "template")
+        return out
 
 
-def main_text(html: str, wrapper: list | None, constant: set[int]) -> str:
-    """Blocks of the page that the wrapper leaves open, and that are not outside the article, joined by newlines.
+def main_text(html: str, templates: list[Template], marks: bool = True) -> str:
+    """The page's blocks that are content, joined by newlines.
 
-    Nodes aligned with template nodes fall away where they hold the template's text; what is varying, or has no
-    counterpart, stays. Where a page marks an article, only what is in it counts.
+    Blocks that the wrapper finds to be template fall away. In the article, and where the wrapper leaves a block open or does not
+    know the page, elements, roles and class names decide; without ``marks`` these count for nothing. Where no article is known by
+    either, menus are told by their links.
     """
-    root, blocks = parse(html)
-    fixed: set[int] = set()
-    if constant and wrapper is not None:
-        digests = {}
-
-        def walk(n: list) -> None:
-            digests[n[0]] = n[2]
-            for k in n[4]:
-                walk(k)
-
-        walk(wrapper)
-        fixed = {id(n) for k, n in align(wrapper, root).items() if k in constant and n.digest() == digests[k]}
-    open_ = [b for b in blocks if not b.outside and id(b.node) not in fixed]
-    chosen = [b.text for b in open_ if b.inside] or [b.text for b in open_ if b.linked <= LINK_SHARE]
-    return "\n".join(chosen)
+    tree, blocks = parse(html)
+    number, pairs = nearest([t.tree for t in templates], tree)
+    verdict = templates[number].verdict(tree, pairs) if number >= 0 else None
+    if verdict is None:
+        open_ = [b for b in blocks if not marks or not (b.outside or (b.perhaps and not b.inside))]
+        chosen = [b for b in open_ if b.inside and marks] or [b for b in open_ if b.linked <= LINK_SHARE]
+        return "\n".join(b.text for b in chosen)
+    constant, recurs = templates[number].constant, templates[number].recurs
+
+    def stays(b: Block) -> bool:
+        if marks and b.outside:
+            return False
+        said = verdict[b.node]
+        if said == "template":
+            # an element that is marked as the article is believed, if its text varies
+            a = pairs[b.node]
+            return marks and b.inside and a not in recurs and not (a in constant and constant[a] == tree.digest[b.node])
+        return said != "open" or b.linked <= LINK_SHARE
+
+    open_ = [b for b in blocks if stays(b)]
+    return "\n".join(b.text for b in ([b for b in open_ if b.inside and marks] or open_))
 
 
 def host_of(url):
@@ -259,79 +404,126 @@ def host_of(url):
 
 
 def _with_wrappers(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
+    """``pages`` with the column ``wrapper`` of their host, null where there is none."""
     size = wrappers.agg(F.sum(F.length("wrapper"))).first()[0] or 0
     return pages.join(F.broadcast(wrappers) if size <= MOST_BROADCAST else wrappers, "host", "left")
 
 
+def _layouts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        trees = [parse(h)[0] for h in batch.column(2).to_pylist()]
+        # a page without text is no reference
+        sizes = [len(t) if any(t.digest) else None for t in trees]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([t.layout() for t in trees], pa.int64()), pa.array(sizes, pa.int64())], names=["host", "mark", "layout", "size"])
+
+
 def _references(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        made = [json.dumps(skeleton(parse(h or "")[0])) for h in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.string())], names=["host", "wrapper"])
+        made = [parse(h)[0] for h in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([t.to_json() for t in made], pa.string())], names=["host", "place", "tree"])
+
+
+class _Hosts:
+    """Parsed wrappers of the hosts that a task met last."""
+
+    def __init__(self, read):
+        self.read, self.known = read, {}
+
+    def of(self, host: str, wrapper: str | None):
+        if host not in self.known:
+            if len(self.known) > 500:
+                self.known.clear()
+            self.known[host] = self.read(json.loads(wrapper)) if wrapper else []
+        return self.known[host]
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    trees: dict[str, list] = {}
+    hosts = _Hosts(lambda trees: [Tree(*t) for t in trees])
     for batch in batches:
-        votes: dict[tuple[str, int], list[int]] = {}
-        for host, page, wrapper in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if wrapper is None:
+        votes: dict[tuple[str, int, int, int], list] = {}
+        for host, html, wrapper in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            tree, blocks = parse(html or "")
+            number, pairs = nearest(hosts.of(host, wrapper), tree)
+            if number < 0 or not blocks:
                 continue
-            if host not in trees:
-                if len(trees) > 500:
-                    trees.clear()
-                digests: dict[int, str] = {}
-                tree = numbered(json.loads(wrapper))
-                todo = [tree]
-                while todo:
-                    n = todo.pop()
-                    digests[n[0]] = n[2]
-                    todo += n[4]
-                trees[host] = (tree, digests)
-            tree, digests = trees[host]
-            for k, node in align(tree, parse(page or "")[0]).items():
-                if digests[k]:
-                    v = votes.setdefault((host, k), [0, 0])
-                    v[0] += 1
-                    v[1] += node.digest() == digests[k]
+            chars: dict[int, int] = {}
+            for b in blocks:
+                chars[b.node] = chars.get(b.node, 0) + len(b.text)
+            whole = sum(chars.values())
+            weight, mark = min(1.0, MOST_WEIGHT / whole), _number("\n".join(b.text for b in blocks))
+            for node, n in chars.items():
+                a = node
+                while pairs[a] < 0:
+                    a = tree.parent[a]
+                # text without a counterpart varies, where its nearest counterpart is
+                v = votes.setdefault((host, number, pairs[a], tree.digest[node] if a == node else 0), [0, 0.0, mark, mark])
+                v[0] += a == node
+                v[1] += n * weight
+                v[2], v[3] = min(v[2], mark), max(v[3], mark)
         if votes:
-            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in votes], pa.string()), pa.array([k for _, k in votes], pa.int64()), pa.array([v[0] for v in votes.values()], pa.int64()), pa.array([v[1] for v in votes.values()], pa.int64())], names=["host", "node", "n", "same"])
+            keys, values = list(zip(*votes, strict=True)), list(zip(*votes.values(), strict=True))
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip([*keys, *values], kinds, strict=True)], names=["host", "reference", "node", "digest", "n", "weight", "lo", "hi"])
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    trees: dict[str, tuple[list, set[int]]] = {}
+    hosts = _Hosts(lambda made: [Template(Tree(*t["tree"]), t["nodes"]) for t in made])
     for batch in batches:
-        ids, urls, pages, hosts, wrappers, constants = batch.columns
-        texts = []
-        for page, host, wrapper, constant in zip(pages.to_pylist(), hosts.to_pylist(), wrappers.to_pylist(), constants.to_pylist(), strict=True):
-            if host not in trees:
-                if len(trees) > 500:
-                    trees.clear()
-                trees[host] = (numbered(json.loads(wrapper)) if wrapper else None, set(constant or ()))
-            texts.append(main_text(page or "", *trees[host]))
+        ids, urls, pages, names, wrappers = batch.columns
+        texts = [main_text(page or "", hosts.of(host, wrapper)) for page, host, wrapper in zip(pages.to_pylist(), names.to_pylist(), wrappers.to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([ids, urls, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
+def induce_wrappers(source: DataFrame) -> DataFrame:
+    """(host, wrapper) from (host, html): each host's reference trees with what its pages say of their nodes, as JSON."""
+    marked = source.where("html != ''").select("host", F.md5("html").alias("mark"), "html")
+    layouts = marked.mapInArrow(_layouts, "host string, mark string, layout long, size long").where("size is not null")
+    common = layouts.groupBy("host", "layout").agg(F.count("*").alias("n"), F.min(F.struct("size", "mark")).alias("least"))
+    place = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("n"), "layout"))
+    chosen = stored(common.withColumn("place", place).where(F.col("place") <= REFERENCES).select("host", F.col("least.mark").alias("mark"), "place"), "layouts")
+    few = chosen.count() <= 100_000
+    pages = marked.join(F.broadcast(chosen) if few else chosen, ["host", "mark"]).select("host", F.col("place").cast("long").alias("place"), "html")
+    # copies of a reference page give the same tree
+    trees = stored(pages.mapInArrow(_references, "host string, place long, tree string").groupBy("host", "place").agg(F.min("tree").alias("tree")), "references")
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("place", "tree"))), lambda x: x["tree"])
+    wrappers = stored(trees.groupBy("host").agg(F.concat(F.lit("["), F.array_join(in_order, ","), F.lit("]")).alias("wrapper")), "wrappers")
+
+    votes = _with_wrappers(source.select("host", "html"), wrappers).select("host", "html", "wrapper").mapInArrow(_votes, "host string, reference long, node long, digest long, n long, weight double, lo long, hi long")
+    texts = votes.groupBy("host", "reference", "node", "digest").agg(F.sum("n").alias("n"), F.sum("weight").alias("weight"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    # a text recurs if pages that differ have it; exact copies of a page do not count
+    recurs = (F.col("digest") != 0) & (F.col("lo") < F.col("hi"))
+    nodes = texts.groupBy("host", "reference", "node").agg(
+        F.sum("n").alias("n"),
+        F.max("n").alias("top_n"),
+        F.max_by("digest", F.struct("n", "digest")).alias("top"),
+        F.sum(F.when(recurs, F.col("n")).otherwise(0)).alias("same"),
+        F.sum(F.when(recurs, 0.0).otherwise(F.round("weight", 3))).alias("varying"),
+        F.min("lo").alias("lo"),
+        F.max("hi").alias("hi"),
+    )
+    # as many nodes as a reference page has elements
+    told = nodes.groupBy("host", "reference").agg(F.to_json(F.array_sort(F.collect_list(F.struct("node", "n", "top_n", "top", "same", "varying", "lo", "hi")))).alias("nodes"))
+    numbered = trees.select("host", (F.row_number().over(Window.partitionBy("host").orderBy("place")) - 1).cast("long").alias("reference"), "tree")
+    both = numbered.join(told, ["host", "reference"], "left")
+    made = F.concat(F.lit('{"tree":'), F.col("tree"), F.lit(',"nodes":'), F.coalesce("nodes", F.lit("[]")), F.lit("}"))
+    one = both.select("host", "reference", made.alias("made")).groupBy("host").agg(F.array_sort(F.collect_list(F.struct("reference", "made"))).alias("all"))
+    return stored(one.select("host", F.concat(F.lit("["), F.array_join(F.transform("all", lambda x: x["made"]), ","), F.lit("]")).alias("wrapper")), "templates")
+
+
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) for each row of ``pages``.
 
-    Each host's wrapper is the element tree of its first page (by id). Every page of the host is aligned with it by
-    simple tree matching and votes, for each node, on whether its text is the same; nodes with the same text on
-    most pages are template. Votes are summed in each task first, so a host with a third of all
-    pages needs no task of its own. Then every page is aligned again and keeps what is not template. Menus, headers, footers, sidebars,
-    notices, adverts, forms and comments fall away by element, role or class, since their text may vary too.
+    A host's references are the smallest pages of its commonest layouts. Every page of the host is aligned with the one most like it
+    and votes, for each node, for its text and the number of its characters. Votes are summed in each task first,
+    so a host with a third of all pages needs no task of its own. Then every page is aligned again, and what lies beside the container
+    of the varying text, or has one text on nearly all pages, is template. Two pages that differ are enough. Where a host has fewer, and
+    inside articles, menus, headers, footers, sidebars, notices, adverts, forms and comments fall away by element, role or class.
 
-    Character references are decoded, white space in a block becomes one blank, blocks are joined by newlines.
-    Null and empty pages have the text ''. A null url counts as a host of its own. Repeated rows get a row each; other columns are ignored.
+    Character references are decoded, white space in a block becomes one blank, blocks are joined by newlines. Pages may be nested
+    as deeply as they like. Null and empty pages have the text ''. Pages with a null url share a host of their own. Of wrappers that
+    are equally like a page, the commoner layout's is taken. Repeated rows get a row each; other columns are ignored.
     """
     source = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").alias("url"), F.col(f"`{html_col}`").alias("html")).withColumn("host", host_of(F.col("url")))
-    first = source.where("html is not null").groupBy("host").agg(F.min("page_id").alias("page_id"))
-    referenced = source.join(F.broadcast(first) if first.count() <= 100_000 else first, ["host", "page_id"], "left_semi").select("host", "html")
-    one = referenced.mapInArrow(_references, "host string, wrapper string").groupBy("host").agg(F.min("wrapper").alias("wrapper"))
-    wrappers = stored(one, "wrappers")
-    voted = _with_wrappers(source.select("host", "html"), wrappers).mapInArrow(_votes, "host string, node long, n long, same long")
-    fixed = voted.groupBy("host", "node").agg(F.sum("n").alias("n"), F.sum("same").alias("same")).where((F.col("n") >= LEAST_PAGES) & (F.col("same") >= SAME_SHARE * F.col("n")))
-    constants = fixed.groupBy("host").agg(F.collect_list("node").alias("constant"))
-    known = stored(wrappers.join(constants, "host", "left"), "templates")
     kind = pages.schema[id_col].dataType.simpleString()
-    joined = _with_wrappers(source, known).select("page_id", "url", "html", "host", "wrapper", "constant")
+    joined = _with_wrappers(source, induce_wrappers(source)).select("page_id", "url", "html", "host", "wrapper")
     return joined.mapInArrow(_extracted, f"page_id {kind}, url string, text string, n_chars long")
