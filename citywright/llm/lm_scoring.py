@@ -494,7 +494,7 @@ def score_texts(docs: DataFrame, held_out: Column | None = None, id_col: str = "
                 parts.append(batch_of(vocabulary, words, at, int(end[0])))
                 owner = np.repeat(np.arange(b - a), words.counts)
                 rare = at < 0
-                base = np.bincount(owner, values[at], b - a)
+                base = np.bincount(owner, values[at], b - a).astype(np.float64)
                 base += values[end[0]] if end[0] >= 0 else -math.log10(2) - smooth
                 known = np.bincount(owner[~rare], minlength=b - a) + int(end[0] >= 0)
                 # rare words of each document with how often it has them

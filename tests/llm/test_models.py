@@ -51,6 +51,47 @@ def test_toxicity_on_held_out_rows(spark, tmp_path):
     assert len({r.score for r in rows if r.doc_id == 0}) == 1
 
 
+def test_toxicity_of_empty_tables_and_clashing_names(spark):
+    docs, labels = documents(80)
+    labelled = spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fit(spark.createDataFrame(docs, "doc_id long, text string"), labelled)
+    assert toxicity.score(spark.createDataFrame([], "doc_id long, text string"), model).isEmpty()
+    assert toxicity.fit(spark.createDataFrame([], "doc_id long, text string"), labelled).slope == 0
+    clashing = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 AS id", "2 AS y", "3 AS bytes", "4 AS toxic", "5 AS score")
+    again = toxicity.fit(clashing.unionByName(clashing), labelled)
+    # repeated rows are learned from once
+    assert np.array_equal(again.odds, model.odds)
+    assert {r.doc_id: r.score for r in toxicity.score(clashing, again).collect()} == {r.doc_id: r.score for r in toxicity.score(clashing, model).collect()}
+    few = toxicity.fit(clashing, labelled, bytes_a_class=2000)
+    assert few.slope and not np.array_equal(few.odds, model.odds)
+
+
+def test_toxicity_takes_characters():
+    run = next(runs(pa.array(["né né", "aé語🙂", ""]), size=1 << 20))[2]
+    codes, begins, stops = toxicity.characters(run)
+    assert (stops - begins).tolist() == [2, 2, 4] and len(set(codes.tolist())) == 6
+    # one other letter changes as many n-grams whether it takes a byte or more
+    bucket = lambda t: set(toxicity.gram_buckets(r := next(runs(pa.array([t])))[2], np.arange(len(r.hashes)))[0].tolist())
+    assert len(bucket("snargle") & bucket("snérgle")) == len(bucket("snargle") & bucket("snorgle"))
+
+
+def test_toxicity_scores_equal_a_plain_pass(spark):
+    docs, labels = documents(120)
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    model = toxicity.fit(frame, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert {r.doc_id: round(r.score, 6) for r in toxicity.score(frame, model).collect()}.keys() == dict(docs).keys()
+    got = {r.doc_id: r.score for r in toxicity.score(frame, model).collect()}
+    for i, text in docs:
+        words = text.split()
+        odds = []
+        for word in words:
+            run = next(runs(pa.array([word])))[2]
+            odds.append(float(model.odds[toxicity.gram_buckets(run, np.array([0]))[0]].mean()))
+        spans = [(a, min(a + toxicity.WINDOW, len(words))) for a in range(0, max(1, len(words) - toxicity.WINDOW + toxicity.STEP), toxicity.STEP)]
+        best = max(np.mean(odds[a:b]) for a, b in spans)
+        assert math.isclose(got[i], 1 / (1 + math.exp(-(model.slope * best + model.offset))), rel_tol=1e-4, abs_tol=1e-6)
+
+
 def test_toxicity_without_two_classes(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     model = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
@@ -131,6 +172,46 @@ def test_batching_does_not_change_scores():
     assert len(lm_scoring.joined([batch, batch]).firsts) == 81
 
 
+def test_scores_equal_a_plain_forward_pass():
+    vocabulary, batch, _ = small_model()
+    net = lm_scoring.Network(vocabulary)
+    lm_scoring.Trainer(net).learn(batch)
+    x, u, c, cb, w, wb = (net.p[k].astype(np.float64) for k in ("x", "u", "c", "cb", "w", "wb"))
+    n, whole = lm_scoring.HIDDEN, lm_scoring.score_batch(net, batch)
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    log_softmax = lambda v: v - v.max() - np.log(np.exp(v - v.max()).sum())
+    for d in range(len(batch.firsts) - 1):
+        h, before, total = np.zeros(n), lm_scoring.START, 0.0
+        for t in range(batch.firsts[d], batch.firsts[d + 1]):
+            a, g = x[before], h @ u
+            z, r = sigmoid(a[:n] + g[:n]), sigmoid(a[n : 2 * n] + g[n : 2 * n])
+            h = z * h + (1 - z) * np.tanh(a[2 * n :] + r * g[2 * n :])
+            k = batch.group[t]
+            total += log_softmax(h @ c + cb)[k]
+            if k < vocabulary.classes:
+                lo, hi = vocabulary.edges[k], vocabulary.edges[k + 1]
+                total += log_softmax(h @ w[:, lo:hi] + wb[lo:hi])[int(batch.inner[t]) - lo] if hi - lo > 1 else 0.0
+            else:
+                total += batch.inner[t]
+            before = batch.token[t]
+        assert math.isclose(total, whole[d], rel_tol=1e-3), d
+
+
+def test_lm_on_empty_long_and_held_out_tables(spark):
+    from pyspark.sql import functions as F
+
+    schema = "doc_id long, text string"
+    assert lm_scoring.score_texts(spark.createDataFrame([], schema)).isEmpty()
+    docs = spark.createDataFrame([(1, "a b " * 60_000), (2, "a"), (None, None), (2, "a")], schema).selectExpr("*", "1 AS row", "2 AS word", "3 AS held_out", "4 AS c", "5 AS logs")
+    rows = {r.doc_id: r for r in lm_scoring.score_texts(docs).collect()}
+    assert rows[1].n_tokens == 120_001 and rows[1].train_tokens == 120_006 and rows[None].n_tokens == 1
+    # a text of two words in turn is soon known by heart
+    assert all(math.isfinite(r.score) for r in rows.values()) and rows[1].score > rows[1].base_score
+    none = {r.doc_id: r for r in lm_scoring.score_texts(docs, F.lit(True)).collect()}
+    assert all(r.train_tokens == 0 and r.n_known == 0 for r in none.values())
+    assert math.isclose(none[2].base_score, 2 * math.log10(0.5 / 0.5)) and math.isfinite(none[2].score)
+
+
 def test_every_training_document_is_learned_from(spark):
     vocabulary, _, _ = small_model()
     fresh = lm_scoring.Network(vocabulary).flat
