@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .hot_keys import join_split
 from .scratch import stored
 
 
@@ -18,7 +19,7 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Alternating star contraction: every node hands its larger neighbours, then its smaller ones, to the
     smallest node it knows, until only stars are left. The number of rounds grows with the logarithm of the
-    longest path. Each round joins a table of one row per node, so a hub's links can be split over tasks.
+    longest path. Each round joins a table of one row per node, and a hub's links are split over tasks.
     Self links and repeated links are allowed; no links give no rows.
     """
     edges = stored(links.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
@@ -27,11 +28,11 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         if seen[0] == 0:
             break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        least = stored(both.groupBy("u").agg(F.min("v").alias("v"), F.count("*").alias("n")).select("u", F.least("u", "v").alias("m"), "n"), "least")
+        large = join_split(both.where(F.col("v") > F.col("u")), least.select("u", "m"), "u", least.select("u", "n")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         large = stored(large, "large-star")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        pulled = large.join(low, "u")
+        low = stored(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "low")
+        pulled = join_split(large, low.select("u", "m"), "u", low.select("u", "n"))
         small = pulled.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         edges = stored(small, "small-star")
         now = _mark(edges)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
+from .hot_keys import join_split
 from .scratch import stored
 from .words import mix64, runs, shingle_sets
 
@@ -110,7 +111,9 @@ def _links(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Of ``pairs`` (u, v), those whose full shingle sets are similar enough."""
     left = texts.select(F.col("node").alias("u"), F.col("text").alias("left"))
     right = texts.select(F.col("node").alias("v"), F.col("text").alias("right"))
-    both = pairs.join(right, "v").join(left, "u").select("u", "v", "left", "right")
+    # a pivot stands in many pairs, on either side; what is dealt out by u then is known before the texts are
+    hubs = pairs.groupBy("u").agg(F.count("*").alias("n"))
+    both = join_split(join_split(pairs, right, "v"), left, "u", hubs).select("u", "v", "left", "right")
     return both.mapInArrow(_verified(percent), "u long, v long")
 
 
@@ -134,8 +137,8 @@ def _by_rare_shingles(nodes: DataFrame, texts: DataFrame, percent: int) -> DataF
     held = texts.join(nodes, "node").select("node", "component", "text")
     sets = stored(held.mapInArrow(_sets, "node long, component long, shingles array<long>").select("*", F.size("shingles").alias("n"), F.xxhash64("shingles").alias("version")), "sets")
     spread = sets.select("node", "component", "version", "n", F.explode("shingles").alias("s"))
-    often = spread.groupBy("s").agg(F.count("*").alias("often"))
-    own = spread.join(often.where("often > 1"), "s", "left").groupBy("node", "component", "version", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("often", F.lit(1)).alias("often"), "s"))).alias("order"))
+    often = stored(spread.groupBy("s").agg(F.count("*").alias("often")), "often")
+    own = join_split(spread, often.where("often > 1"), "s", often.select("s", F.col("often").alias("n")), "left").groupBy("node", "component", "version", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("often", F.lit(1)).alias("often"), "s"))).alias("order"))
     first = F.slice("order", 1, F.col("n") - F.ceil(percent * F.col("n") / 100).cast("int") + 1)
     prefix = own.select("node", "component", "n", F.posexplode(first).alias("at", "x")).where("x.often > 1").select("node", "component", "n", "at", F.col("x.s").alias("s"))
     prefix = stored(prefix, "prefixes")
@@ -166,44 +169,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     made = stored(source.mapInArrow(_features(bands, rows), "doc_id long, n_shingles long, digest binary, keys array<long>"), "minhash")
     sized = made.where("n_shingles > 0 and doc_id is not null")
     classes = stored(sized.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n")), "classes")
-    chosen = sized.select("digest", F.col("doc_id").alias("node"), "keys").join(classes.select("digest", "node"), ["digest", "node"], "left_semi")
-    spread = chosen.select("node", F.explode("keys").alias("key"))
-    pivots = spread.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last").drop("last")
-    members = stored(spread.join(pivots, "key"), "buckets")
+    # a node that repeated rows give several versions has sets of several sizes, from n0 to n
+    sizes = classes.groupBy("node").agg(F.max("n").alias("n"), F.min("n").alias("n0"))
+    chosen = sized.select("digest", F.col("doc_id").alias("node"), "keys").join(classes.select("digest", "node"), ["digest", "node"], "left_semi").join(sizes, "node")
+    spread = stored(chosen.select("node", "n", "n0", "keys"), "chosen").select("node", "n", "n0", F.explode("keys").alias("key"))
+    pivots = spread.groupBy("key").agg(F.min(F.struct("node", "n", "n0")).alias("pivot"), F.max("node").alias("last"), F.count("*").alias("held"))
+    pivots = stored(pivots.where("pivot.node < last").select("key", "pivot", "held"), "pivots")
+    members = stored(join_split(spread, pivots.select("key", "pivot"), "key", pivots.select("key", F.col("held").alias("n"))), "buckets")
 
-    sizes = classes.select("node", "n").groupBy("node").agg(F.max("n").alias("n"), F.min("n").alias("n0"))
     wanted = members.select("node").distinct()
     texts = stored(source.withColumnRenamed("doc_id", "node").join(wanted, "node", "left_semi"), "texts")
+    near_in_size = (100 * F.col("n") >= percent * F.col("pivot.n0")) & (100 * F.col("pivot.n") >= percent * F.col("n0"))
 
-    def near_in_size(pairs: DataFrame) -> DataFrame:
-        one = sizes.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("n0").alias("mu"))
-        two = sizes.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("n0").alias("mv"))
-        fits = (100 * F.col("nu") >= percent * F.col("mv")) & (100 * F.col("nv") >= percent * F.col("mu"))
-        return pairs.join(two, "v").join(one, "u").where(fits).select("u", "v")
-
-    pairs = members.where("node != pivot").select(F.col("pivot").alias("u"), F.col("node").alias("v")).distinct()
-    pairs = stored(near_in_size(pairs), "pairs")
+    pairs = members.where((F.col("node") != F.col("pivot.node")) & near_in_size).select(F.col("pivot.node").alias("u"), F.col("node").alias("v"))
+    pairs = stored(pairs.distinct(), "pairs")
     found = stored(_links(pairs, texts, percent), "links")
     tried = [pairs]
     for turn in range(1, PIVOT_ROUNDS + 1):
         labels = components(found)
-        labelled = members.select("key", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        split = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-        open_ = stored(labelled.join(split, "key", "left_semi"), "open-buckets")
+        labelled = members.select("key", "node", "n", "n0").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        # another pivot in each bucket, so that a document meets as many different ones as it has buckets
+        by = F.xxhash64("key", "node", F.lit(turn))
+        split = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by(F.struct("node", "n", "n0", "component"), by).alias("pivot"), F.count("*").alias("held"))
+        split = stored(split.where("lo < hi").select("key", "pivot", "held"), "split-buckets")
+        open_ = stored(join_split(labelled, split.select("key", "pivot"), "key", split.select("key", F.col("held").alias("n"))), "open-buckets")
         if open_.isEmpty():
             break
         members = open_
         if turn < PIVOT_ROUNDS:
-            # another pivot in each bucket, so that a document meets as many different ones as it has buckets
-            by = F.xxhash64("key", "node", F.lit(turn))
-            nexts = open_.groupBy("key").agg(F.min_by("node", by).alias("p"), F.min_by("component", by).alias("c"))
-            pairs = open_.join(nexts, "key").where("component != c").select(F.least("node", "p").alias("u"), F.greatest("node", "p").alias("v"))
+            apart = (F.col("component") != F.col("pivot.component")) & near_in_size
+            pairs = open_.where(apart).select(F.least("node", F.col("pivot.node")).alias("u"), F.greatest("node", F.col("pivot.node")).alias("v"))
         else:
             pairs = _by_rare_shingles(open_.select("node", "component").distinct(), texts, percent)
         pairs = pairs.distinct()
         for old in tried:
             pairs = pairs.join(old, ["u", "v"], "left_anti")
-        pairs = stored(near_in_size(pairs), "pairs")
+        pairs = stored(pairs, "pairs")
         tried.append(pairs)
         found = stored(found.unionByName(_links(pairs, texts, percent)), "links")
     else:
