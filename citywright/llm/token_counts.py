@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +30,8 @@ def read_pieces(path: str = VOCABULARY) -> list[str]:
     """The ordinary pieces of a sentencepiece model, most frequent first (no control, byte or unknown pieces)."""
     import sentencepiece
 
+    if not os.path.isfile(path):
+        raise FileNotFoundError(f"no sentencepiece model at {path}; pass the path of one as vocabulary")
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     return [model.id_to_piece(k) for k in range(model.get_piece_size()) if not (model.is_control(k) or model.is_byte(k) or model.is_unknown(k))]
 

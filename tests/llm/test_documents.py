@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from citywright.llm import decontamination, licenses, mixing, token_counts, words
+from citywright.llm import decontamination, hot_keys, licenses, mixing, token_counts, words
 from citywright.llm.components import components
 from citywright.llm.decontamination import drop_leaks, find_leaks
 from citywright.llm.licenses import scan_licenses
@@ -106,6 +106,34 @@ def test_near_duplicates_equal_brute_force(spark):
     assert near_duplicates(frame(spark, [])).isEmpty()
 
 
+def test_near_duplicates_with_hot_buckets_and_clashing_names(spark, monkeypatch):
+    """A large group of near copies, whose buckets and hubs are split, is one component."""
+    rng = random.Random(21)
+    base = prose(150, rng).split()
+    rows = [(10, " ".join(base), "a")]
+    for k in range(150):
+        w = list(base)
+        w[rng.randrange(150)] = f"own{k}"
+        rows.append((100 + k, " ".join(w), "a"))
+    rows += [(500 + k, prose(40, rng), "b") for k in range(20)]
+    plain = {(r.doc_id, r.component_id, r.n_shingles) for r in near_duplicates(frame(spark, rows)).collect()}
+    monkeypatch.setattr(hot_keys, "HOT_ROWS", 10)
+    docs = frame(spark, rows).selectExpr("*", *[f"{k} AS {n}" for k, n in enumerate(["n_shingles", "digest", "keys", "node", "key", "component", "hot_part"])])
+    got = near_duplicates(docs).collect()
+    assert {(r.doc_id, r.component_id, r.n_shingles) for r in got} == plain
+    assert all(r.component_id == (10 if r.doc_id < 500 else r.doc_id) for r in got)
+    assert drop_near_duplicates(docs).columns == docs.columns and sorted(r.doc_id for r in drop_near_duplicates(docs).collect()) == [10, *range(500, 520)]
+
+
+def test_split_joins_equal_plain_ones(spark, monkeypatch):
+    monkeypatch.setattr(hot_keys, "HOT_ROWS", 5)
+    rows = spark.createDataFrame([(1, k) for k in range(60)] + [(2, k) for k in range(3)] + [(3, 7), (None, 1)], "k long, x long")
+    table = spark.createDataFrame([(1, "a"), (2, "b"), (9, "c"), (None, "d")], "k long, y string")
+    for how in ("inner", "left"):
+        got = hot_keys.join_split(rows, table, "k", how=how)
+        assert got.columns == ["k", "x", "y"] and Counter(map(tuple, got.collect())) == Counter(map(tuple, rows.join(table, "k", how).collect()))
+
+
 def best_leak(text, item):
     w, q = words_of(text), words_of(item)
     if not w or not q:
@@ -391,6 +419,20 @@ def test_token_counts_equal_plain_search(spark):
         assert got[i] == (len(w), sum(slow_tokens("▁" + x, scores, byte) for x in w))
 
 
+def test_token_counts_of_empty_long_and_clashing_tables(spark):
+    assert token_counts.count_tokens(frame(spark, [])).isEmpty()
+    scores = token_counts.unigram_scores(token_counts.read_pieces())
+    byte = token_counts.Trie(scores).byte
+    long = " ".join(f"word{k % 977}" for k in range(200_000))
+    assert len(long) > words.RUN_BYTES
+    docs = frame(spark, [(1, long, "a"), (2, "a b", "a"), (2, "a b", "a")]).selectExpr("*", "1 AS n_words", "2 AS n_tokens", "3 AS word")
+    got = Counter((r.doc_id, r.n_words, r.n_tokens) for r in token_counts.count_tokens(docs).collect())
+    each = {f"word{k}": slow_tokens(f"▁word{k}", scores, byte) for k in range(977)}
+    assert got[(1, 200_000, sum(each[w] for w in long.split()))] == 1 and sum(got.values()) == 3
+    with pytest.raises(OSError):
+        token_counts.read_pieces("/nowhere/tokenizer.model")
+
+
 def test_trie_starts_anew_without_changing_counts(monkeypatch):
     scores = token_counts.unigram_scores(["▁ab", "▁a", "b", "c", "bc"])
     words_ = ["abc", "abcc", "bcbc", "zzé", "ab"]

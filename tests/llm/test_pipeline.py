@@ -53,6 +53,26 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert Counter((r.doc_id, r.text, r.copies) for r in whole) == Counter((r.doc_id, r.text, r.copies) for r in after)
 
 
+def test_empty_tables_null_ids_and_more_columns(spark, tmp_path):
+    import random
+
+    rng = random.Random(3)
+    text = lambda: "\n".join(prose(15, rng).capitalize() + "." for _ in range(5))
+    frame(spark, []).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "none" / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).isEmpty()
+    rows = [(k, text(), "a") for k in range(6)] + [(None, text(), None), (None, text(), "b"), (7, None, "a")]
+    more = ["row", "blob", "spans", "_t", "key", "component", "keys", "size", "mark", "copies"]
+    docs = frame(spark, rows).selectExpr("*", *[f"{k} AS {n}" for k, n in enumerate(more)])
+    docs.write.parquet(str(tmp_path / "more" / "documents.parquet"))
+    spark.createDataFrame([(1, None), (2, "")], "item_id long, text string").write.parquet(str(tmp_path / "more" / "benchmark.parquet"))
+    kept = corpus_pipeline.run(spark, str(tmp_path / "more"))
+    assert sorted(kept.columns) == sorted(docs.columns)
+    got = kept.collect()
+    assert {r.text for r in got} <= {t for _, t, _ in rows} and None in {r.doc_id for r in got} and 7 not in {r.doc_id for r in got}
+    assert all(tuple(r[n] for n in more[:-1]) == tuple(range(9)) and r.copies in (1, 2) for r in got)
+
+
 def test_registration():
     import __spark_entry__
 
