@@ -8,30 +8,32 @@ from pyspark.sql import functions as F
 from ..storage import checkpointed
 
 
-def _reached(links: DataFrame, start: DataFrame, forward: bool) -> DataFrame:
-    """Nodes (node) reachable from ``start`` along, or against, the links, by frontiers."""
-    a, b = ("from_node", "to_node") if forward else ("to_node", "from_node")
-    edges = links.select(F.col(a).alias("node"), F.col(b).alias("next"))
-    seen = frontier = checkpointed(start)
+def least_reaching(edges: DataFrame, ranks: DataFrame | None = None) -> DataFrame:
+    """(node, label) for every node of ``edges`` (a, b): the first node from which it can be reached, itself included, as (rank, node).
+
+    The order is by ``ranks`` (node, rank), then by node. Labels go along the edges, and from a node's label's own label to the
+    node: what reaches a node's label reaches the node too. So they jump ahead. Every round is two joins by node.
+    """
+    start = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    start = start.join(ranks, "node") if ranks is not None else start.withColumn("rank", F.lit(0).cast("long"))
+    labels = checkpointed(start.select("node", F.struct("rank", "node").alias("label")))
+    kind = labels.schema["label"].dataType
     while True:
-        fresh = edges.join(frontier, "node", "left_semi").select(F.col("next").alias("node")).distinct()
-        frontier = checkpointed(fresh.join(seen, "node", "left_anti"))
-        if frontier.isEmpty():
-            return seen
-        seen = checkpointed(seen.unionByName(frontier))
-
-
-def _trimmed(links: DataFrame) -> DataFrame:
-    """``links`` without nodes that lack an incoming or an outgoing link, again and again."""
-    n = links.count()
-    while n:
-        inner = links.select(F.col("from_node").alias("n")).distinct().join(links.select(F.col("to_node").alias("n")).distinct(), "n", "left_semi")
-        links = checkpointed(links.join(inner.withColumnRenamed("n", "from_node"), "from_node", "left_semi").join(inner.withColumnRenamed("n", "to_node"), "to_node", "left_semi"))
-        left = links.count()
-        if left == n:
-            break
-        n = left
-    return links
+        along = labels.join(edges, labels["node"] == edges["a"]).select(F.col("b").alias("node"), "label", F.lit(None).cast(kind).alias("old"))
+        new = along.unionByName(labels.select("node", "label", F.col("label").alias("old"))).groupBy("node").agg(F.min("label").alias("label"), F.min("old").alias("old"))
+        ahead = labels.select(F.col("node").alias("n"), F.col("label").alias("further"))
+        # labels of labels may be the last round's: the next one sees the new
+        jumped = checkpointed(new.join(ahead, F.col("label.node") == F.col("n")).select("node", F.least("label", "further").alias("label"), "old"))
+        labels = jumped.select("node", "label")
+        if jumped.where("label != old").isEmpty():
+            return labels
+
+
+def _between(edges: DataFrame, names: DataFrame) -> DataFrame:
+    """``edges`` between the nodes' names (node, name), each once and without loops; edges of nodes without a name fall away."""
+    one = names.select(F.col("node").alias("a"), F.col("name").alias("na"))
+    two = names.select(F.col("node").alias("b"), F.col("name").alias("nb"))
+    return edges.join(one, "a").join(two, "b").where("na != nb").select(F.col("na").alias("a"), F.col("nb").alias("b")).distinct()
 
 
 def biggest_component(labels: DataFrame) -> DataFrame:
@@ -39,42 +41,57 @@ def biggest_component(labels: DataFrame) -> DataFrame:
     return labels.groupBy("component").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "component").limit(1)
 
 
-def strong_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, component) of the components that can be the largest; a component is named after its smallest node.
+def strong_components(nodes: DataFrame, links: DataFrame, only_largest: bool = False) -> DataFrame:
+    """(node, component) of every node; a component, in which all nodes reach each other, is named after its smallest node.
 
-    Nodes without in- or outgoing links are components of their own and are set aside first. Then the node with the
-    most links, in times out, is the pivot: what it reaches both ways is a component. It is taken out, and this goes on until no more
-    nodes are left than the best component has. Frontiers are joined with links by node and checkpointed, so plans stay short.
+    Links in both directions make their ends one node first, which most streets of a road network do. Then every node gets, of the
+    nodes that reach it, the one with the most links, in times out, which is likely to be in the largest component. Where that node is reached
+    in turn, without leaving those of the same label, both are in one component: so all labels are pivots at once. Components
+    found are taken out, and this goes on with the rest. With ``only_largest`` it ends when no more nodes are left than the best
+    component has; the rest then counts as single nodes.
     """
-    every = nodes.select(F.col("node_id").alias("node")).unionByName(links.select(F.col("from_node").alias("node"))).unionByName(links.select(F.col("to_node").alias("node"))).distinct()
-    single = every.agg(F.min("node").alias("component")).where("component is not null").select(F.col("component").alias("node"), "component")
-    left = _trimmed(checkpointed(links.where("from_node != to_node").select("from_node", "to_node").distinct()))
-    found, best = None, 0
+    every = nodes.select(F.col("node_id").alias("node")).unionByName(links.select(F.explode(F.array("from_node", "to_node")).alias("node"))).where("node is not null").distinct()
+    edges = checkpointed(links.where("from_node != to_node").select(F.col("from_node").alias("a"), F.col("to_node").alias("b")).distinct())
+    both_ways = edges.join(edges.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_semi")
+    twins = least_reaching(checkpointed(both_ways))
+    names = checkpointed(every.join(twins, "node", "left").select("node", F.coalesce("label.node", "node").alias("name")))
+    weights = names.groupBy("name").agg(F.count("*").alias("n")).withColumnRenamed("name", "node")
+    left = checkpointed(_between(edges, names))
+    found, best = None, (weights.agg(F.max("n")).first()[0] or 0) if only_largest else 0
     while True:
-        rest = left.select(F.col("from_node").alias("node")).distinct().count()
-        if rest <= best or rest == 0:
+        rest = left.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        if only_largest:
+            weight = rest.join(weights, "node").agg(F.sum("n")).first()[0] or 0
+            if weight <= best:
+                break
+        elif left.isEmpty():
             break
-        outs = left.groupBy(F.col("from_node").alias("node")).agg(F.count("*").alias("o"))
-        ins = left.groupBy(F.col("to_node").alias("node")).agg(F.count("*").alias("i"))
-        pivot = outs.join(ins, "node").orderBy((F.col("o") * F.col("i")).desc(), "node").limit(1).select("node")
-        ahead = _reached(left, pivot, True)
-        # what reaches the pivot is looked for among what it reaches
-        inside = left.join(ahead.withColumnRenamed("node", "from_node"), "from_node", "left_semi")
-        both = ahead.join(_reached(inside, pivot, False), "node", "left_semi")
-        own = checkpointed(both.select("node", F.lit(1).alias("one")))
-        size = own.count()
-        if size >= max(best, 2):
-            named = own.select("node").join(F.broadcast(own.agg(F.min("node").alias("component"))))
-            found = named if found is None else found.unionByName(named)
-            best = max(best, size)
+        ends = left.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("out")), F.struct(F.col("b").alias("node"), F.lit(0).alias("out")))).alias("e"))
+        ranks = ends.groupBy("e.node").agg((-F.sum("e.out") * F.sum(1 - F.col("e.out"))).alias("rank"))
+        colours = least_reaching(left, ranks)
+        inner = left.join(colours.select(F.col("node").alias("a"), F.col("label").alias("ca")), "a").join(colours.select(F.col("node").alias("b"), F.col("label").alias("cb")), "b")
+        back = least_reaching(checkpointed(inner.where("ca = cb").select(F.col("b").alias("a"), F.col("a").alias("b"))), ranks)
+        # a label comes first among its nodes, so what reaches it has it as the first that it reaches; one without inner links is alone
+        reached = colours.join(back.select("node", F.col("label.node").alias("reached")), "node", "left").where("coalesce(reached, node) = label.node")
+        own = reached.select("node", F.col("label.node").alias("component"))
+        own = checkpointed(own)
+        found = own if found is None else found.unionByName(own)
+        if only_largest:
+            sizes = own.join(weights, "node").groupBy("component").agg(F.sum("n").alias("n"))
+            best = max(best, sizes.agg(F.max("n")).first()[0] or 0)
         gone = own.select("node")
-        left = _trimmed(checkpointed(left.join(gone.withColumnRenamed("node", "from_node"), "from_node", "left_anti").join(gone.withColumnRenamed("node", "to_node"), "to_node", "left_anti")))
-    return found if found is not None else single
+        left = checkpointed(left.join(gone.withColumnRenamed("node", "a"), "a", "left_anti").join(gone.withColumnRenamed("node", "b"), "b", "left_anti"))
+    if found is None:
+        return names.select("node", F.col("name").alias("component"))
+    pivoted = checkpointed(names.join(found.withColumnRenamed("node", "name"), "name", "left").select("node", F.coalesce("component", "name").alias("pivot")))
+    # written before it is joined, so that a component with most nodes can be split
+    smallest = checkpointed(pivoted.groupBy("pivot").agg(F.min("node").alias("component")))
+    return pivoted.join(smallest, "pivot").select("node", "component")
 
 
 def largest_scc(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(node) of the largest set of nodes that all reach each other; ties go to the smallest node."""
-    labels = strong_components(nodes, links)
+    labels = strong_components(nodes, links, only_largest=True)
     return labels.join(F.broadcast(biggest_component(labels)), "component", "left_semi").select("node")
 
 
