@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import in_bounds, point_in_polygons, web_mercator
+from ..storage import checkpointed
 
 
 def reproject_plans(points: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
@@ -32,27 +33,55 @@ def check_boundaries(acts: DataFrame, nodes: DataFrame) -> DataFrame:
     return joined.withColumn("inside", in_bounds(F.col("px"), F.col("py"), {c: F.col(c) for c in box.columns})).drop(*box.columns)
 
 
-#: Zones are broadcast up to this number of points in their rings; more are joined by cells of a grid.
+#: Zones are broadcast up to this number of points in their rings; more are shuffled by cells of a grid.
 MOST_POINTS = 1_000_000
+#: Cells of the grid that the zones' bounding boxes cover, one by one, are so many for each zone on average at most.
+TILES_A_ZONE = 32
 
 
-def assign_zone(points: DataFrame, zones: DataFrame, cell: float = 0.01) -> DataFrame:
-    """``points`` (x, y) with ``zone``, null outside of all; of overlapping zones, the first by name.
+def zone_boxes(zones: DataFrame) -> DataFrame:
+    """``zones`` (zone, polygons) with the bounding box x0, x1, y0, y1 of their rings and the number of points in them."""
+    ring = F.flatten(F.flatten("polygons"))
+    least = lambda f, k: f(F.transform(ring, lambda p: p[k]))
+    return zones.select("zone", "polygons", least(F.array_min, 0).alias("x0"), least(F.array_max, 0).alias("x1"), least(F.array_min, 1).alias("y0"), least(F.array_max, 1).alias("y1"), F.size(ring).alias("n_points"))
+
+
+def _grid(boxed: DataFrame, cell: float | None) -> tuple[float, int]:
+    """(width of a cell, points in all rings): as wide as the boxes are on average, or wider until they cover few enough cells."""
+    side = lambda a, b: F.col(b) - F.col(a)
+    base = cell or boxed.agg(F.avg(F.greatest(side("x0", "x1"), side("y0", "y1")))).first()[0] or 1.0
+    covered = lambda k: F.sum((side("x0", "x1") / (base * 2**k) + 2) * (side("y0", "y1") / (base * 2**k) + 2))
+    doublings = range(1 if cell else 40)
+    row = boxed.agg(F.sum("n_points").alias("points"), F.count("*").alias("n"), *[covered(k).alias(f"t{k}") for k in doublings]).first()
+    fits = [k for k in doublings if (row[f"t{k}"] or 0) <= TILES_A_ZONE * row["n"]]
+    return base * 2 ** (fits[0] if fits else doublings[-1]), row["points"] or 0
 
-    ``zones``: zone, polygons (MultiPolygon coordinates). A point is tested against zones whose bounding box covers its grid
-    cell; few zones are broadcast with their cells, many are shuffled by cell.
+
+def assign_zone(points: DataFrame, zones: DataFrame, cell: float | None = None) -> DataFrame:
+    """``points`` (x, y) with ``zone``, null outside of all; of overlapping zones, the first by name. A column zone is replaced.
+
+    ``zones``: zone, polygons (MultiPolygon coordinates). A point is tested against the zones whose bounding box touches its cell of a
+    grid that suits the boxes, whatever the unit; ``cell`` sets its width. With ``MOST_POINTS`` points of rings at most, the zones and the
+    lists of zones by cell are broadcast, and points stay where they are. More are shuffled by cell.
     """
-    ring = F.flatten(F.flatten("polygons"))
-    boxed = zones.select("zone", "polygons", F.array_min(F.transform(ring, lambda p: p[0])).alias("x0"), F.array_max(F.transform(ring, lambda p: p[0])).alias("x1"), F.array_min(F.transform(ring, lambda p: p[1])).alias("y0"), F.array_max(F.transform(ring, lambda p: p[1])).alias("y1"), F.size(ring).alias("_points"))
-    at = lambda c: F.floor(F.col(c) / cell)
-    tiles = boxed.withColumn("_cx", F.explode(F.sequence(at("x0"), at("x1")))).withColumn("_cy", F.explode(F.sequence(at("y0"), at("y1"))))
-    size = tiles.agg(F.sum("_points")).first()[0] or 0
-    tiles = F.broadcast(tiles) if size <= MOST_POINTS else tiles
-    numbered = points.withColumn("_row", F.monotonically_increasing_id()).withColumns({"_cx": at("x"), "_cy": at("y")})
-    inside = F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1"))
-    hits = numbered.join(tiles, ["_cx", "_cy"], "left").withColumn("zone", F.when(inside & point_in_polygons(F.col("x"), F.col("y"), F.col("polygons")), F.col("zone")))
-    names = points.columns
-    return hits.groupBy("_row").agg(*[F.first(c).alias(c) for c in names], F.min("zone").alias("zone")).drop("_row")
+    boxed = zone_boxes(zones).where("x0 is not null")
+    width, size = _grid(boxed, cell)
+    at = lambda c: F.floor(F.col(c) / width)
+    tiled = lambda df: df.withColumn("cx", F.explode(F.sequence(at("x0"), at("x1")))).withColumn("cy", F.explode(F.sequence(at("y0"), at("y1"))))
+    inside = lambda z: F.col("x").between(z["x0"], z["x1"]) & F.col("y").between(z["y0"], z["y1"]) & point_in_polygons(F.col("x"), F.col("y"), z["polygons"])
+    names = [c for c in points.columns if c != "zone"]
+    out = [F.col(f"row.`{c}`") for c in names]
+    held = points.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), "x", "y", at("x").alias("cx"), at("y").alias("cy"))
+    if size <= MOST_POINTS:
+        every = boxed.agg(F.sort_array(F.collect_list(F.struct("zone", "x0", "x1", "y0", "y1", "polygons"))).alias("zones"))
+        placed = every.select(F.posexplode("zones").alias("k", "z")).select("k", "z.x0", "z.x1", "z.y0", "z.y1")
+        tiles = tiled(placed).groupBy("cx", "cy").agg(F.sort_array(F.collect_list("k")).alias("near"))
+        found = F.filter(F.transform("near", lambda k: F.get("zones", k)), inside)
+        return held.join(F.broadcast(tiles), ["cx", "cy"], "left").join(F.broadcast(every)).select(*out, F.get(found, F.lit(0))["zone"].alias("zone"))
+    # numbers are written before they are used, so that a task run anew does not give others
+    numbered = checkpointed(held.withColumn("id", F.expr("uuid()")))
+    hits = numbered.select("id", "x", "y", "cx", "cy").join(tiled(boxed), ["cx", "cy"]).where(inside({c: F.col(c) for c in ("x0", "x1", "y0", "y1", "polygons")}))
+    return numbered.join(hits.groupBy("id").agg(F.min("zone").alias("zone")), "id", "left").select(*out, "zone")
 
 
 def activity_windows(acts: DataFrame, params: DataFrame) -> DataFrame:
