@@ -9,7 +9,7 @@ from itertools import combinations, product
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import checkpointed
@@ -18,6 +18,8 @@ from ..storage import checkpointed
 MOST_ROUNDS, FITTED, STALLED = 500, 1e-5, 1e-8
 #: Cells of one section that the vectorised helper takes, and cells of a batch of sections; beyond, use ``ipf_long``.
 MOST_CELLS, BATCH_CELLS = 2_000_000, 8_000_000
+#: Slices of a layer, over all sections, whose factors are broadcast.
+MOST_SLICES = 200_000
 
 
 @dataclass(frozen=True)
@@ -205,6 +207,15 @@ def ipf(df: DataFrame, spec: Spec, section: str | None = None, nulls: str = "err
     With ``section`` every row is fitted by itself, batch by batch where it lies, without a shuffle; without it the column
     totals are fitted. ``nulls``: "error" rejects a section with a null, "zero" counts it as 0. Zero cells are kept unless ``drop_zero``.
     """
+    fitted_rows = _fitted_rows(df, spec, section, nulls, projection, rounds, fitted, stalled)
+    spread = fitted_rows.select("section", F.posexplode("cells").alias("cell_no", "value"))
+    out = cells_long(spread, spec)
+    out = out.where("value != 0") if drop_zero else out
+    return out if section else out.drop("section")
+
+
+def _fitted_rows(df: DataFrame, spec: Spec, section: str | None, nulls: str, projection: str, rounds: int, fitted: float, stalled: float) -> DataFrame:
+    """(section, cells, rounds, error): one row for each fitted tensor."""
     cells = int(np.prod(spec.shape))
     if cells > MOST_CELLS:
         raise ValueError(f"{cells} cells for each section are too many for one task; use ipf_long")
@@ -218,14 +229,10 @@ def ipf(df: DataFrame, spec: Spec, section: str | None = None, nulls: str = "err
             for a in range(0, len(frame), step):
                 part = frame.iloc[a : a + step]
                 values = [part[list(d)].fillna(0.0).to_numpy(dtype=np.float64) for d in spec.dims]
-                joint = fit_sections(values, spec, projection, rounds, fitted, stalled)[0]
-                yield pd.DataFrame({"section": part["section"].to_numpy(), "cells": list(joint.reshape(len(part), -1))})
+                joint, ran, error = fit_sections(values, spec, projection, rounds, fitted, stalled)
+                yield pd.DataFrame({"section": part["section"].to_numpy(), "cells": list(joint.reshape(len(part), -1)), "rounds": ran, "error": error})
 
-    fitted_rows = source.mapInPandas(run, "section string, cells array<double>")
-    spread = fitted_rows.select("section", F.posexplode("cells").alias("cell_no", "value"))
-    out = cells_long(spread, spec)
-    out = out.where("value != 0") if drop_zero else out
-    return out if section else out.drop("section")
+    return source.mapInPandas(run, "section string, cells array<double>, rounds long, error double")
 
 
 def cells_long(spread: DataFrame, spec: Spec) -> DataFrame:
@@ -243,29 +250,43 @@ def order_cells(joint: DataFrame) -> DataFrame:
     return joint.sortWithinPartitions(*[c for c in ("section", "cell_no") if c in joint.columns])
 
 
-def ipf_long(cells: DataFrame, layers: list[list[str]], targets: list[DataFrame], rounds: int, by: str | None = "section", every: int = 4) -> DataFrame:
-    """``cells`` ([by,] keys, weight) with ``value`` after ``rounds`` rounds, for tensors too large for one task.
+def ipf_long(cells: DataFrame, layers: list[list[str]], targets: list[DataFrame], rounds: int = MOST_ROUNDS, by: str | None = "section", fitted: float = FITTED, stalled: float = STALLED) -> DataFrame:
+    """``cells`` ([by,] keys, weight) with ``value``, ``rounds`` and ``error``, for tensors too large for one task.
 
-    ``targets``: for each layer a table ([by,] its keys, target). With ``by`` the cells are dealt out once and all slice sums are
-    windows inside that partitioning. Without it, slice sums are aggregated and joined back. Lineage is cut in the shared
-    checkpoint folder every few rounds.
+    ``targets``: for each layer a table ([by,] its keys, target). A section's cells lie anywhere: slice sums are partial
+    aggregates that are joined back, by broadcast up to ``MOST_SLICES`` slices, so that cells are not shuffled. Each section ends by the stop
+    rule of ``fit_batch``. A round is written to the shared folder, so plans stay short.
     """
     key = [by] if by else []
     state = cells.withColumn("value", F.col("weight").cast("double"))
-    for k, (layer, target) in enumerate(zip(layers, targets, strict=True)):
-        state = state.join(target.withColumnRenamed("target", f"_t{k}"), key + layer, "left")
-    state = state.repartition(by) if by else state
-    for turn in range(1, rounds + 1):
+    marks = (cells.select(by).distinct() if by else cells.sparkSession.range(1)).withColumns({"error": F.lit(float("inf")), "rounds": F.lit(0), "live": F.lit(True)})
+    few = [t.count() <= MOST_SLICES for t in targets]
+    hinted = lambda table, short: F.broadcast(table) if short else table
+    with_section = lambda df, table: df.join(hinted(table, few[0]), by) if by else df.join(F.broadcast(table))
+    inf = float("inf")
+    for _ in range(rounds):
+        state = with_section(state, marks.select(*key, "live"))
         for k, layer in enumerate(layers):
-            if by:
-                state = state.withColumn("_sum", F.sum("value").over(Window.partitionBy(*key, *layer)))
-            else:
-                state = state.join(state.groupBy(*layer).agg(F.sum("value").alias("_sum")), layer)
-            state = state.withColumn("value", F.when(F.col("_sum") != 0, F.col("value") * F.coalesce(F.col(f"_t{k}"), F.lit(0.0)) / F.col("_sum")).otherwise(F.col("value"))).drop("_sum")
-        if turn % every == 0 and turn < rounds:
-            state = checkpointed(state)
-            state = state.repartition(by) if by else state
-    return state.drop(*[f"_t{k}" for k in range(len(layers))])
+            factor = _slices(state, targets[k], key + layer).select(*key, *layer, F.when(F.col("have") != 0, F.coalesce("target", F.lit(0.0)) / F.col("have")).otherwise(1.0).alias("factor"))
+            state = state.join(hinted(factor, few[k]), key + layer, "left").withColumn("value", F.when(F.col("live"), F.col("value") * F.coalesce("factor", F.lit(1.0))).otherwise(F.col("value"))).drop("factor")
+        state = checkpointed(state.drop("live"))
+        parts = []
+        for layer, target in zip(layers, targets, strict=True):
+            goal = F.coalesce("target", F.lit(0.0))
+            off = F.when(goal != 0, F.abs(F.col("have") / goal - 1)).otherwise(F.when(F.col("have") == 0, 0.0).otherwise(inf))
+            parts.append(_slices(state, target, key + layer).groupBy(*key).agg(F.max(off).alias("now")))
+        worst = reduce(DataFrame.unionByName, parts).groupBy(*key).agg(F.max("now").alias("now"))
+        ended = (F.col("now") <= fitted) | ((F.col("now") < inf) & (F.col("error") < inf) & (F.abs(F.col("now") - F.col("error")) <= stalled))
+        marks = with_section(marks, worst).select(*key, F.when(F.col("live"), F.col("now")).otherwise(F.col("error")).alias("error"), (F.col("rounds") + F.col("live").cast("int")).alias("rounds"), (F.col("live") & ~ended).alias("live"))
+        marks = checkpointed(marks)
+        if marks.where("live").isEmpty():
+            break
+    return with_section(state, marks.select(*key, "rounds", "error"))
+
+
+def _slices(state: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, have, target) of each slice."""
+    return state.groupBy(*keys).agg(F.sum("value").alias("have")).join(target, keys, "left")
 
 
 def independent_joint(df: DataFrame, spec: Spec, section: str) -> DataFrame:
@@ -282,14 +303,41 @@ def independent_joint(df: DataFrame, spec: Spec, section: str) -> DataFrame:
     return cells_long(out.select("section", number.alias("cell_no"), F.when(power != 0, value / power).otherwise(0.0).alias("value")), spec)
 
 
-def ipf_report(joint: DataFrame, df: DataFrame, spec: Spec, section: str) -> DataFrame:
-    """(section, max_error, converged): how far the fitted cells' sums are from the 1-D targets."""
-    parts = [joint.groupBy("section", F.lit(k).alias("dim"), F.col(f"d{k}").alias("category")).agg(F.sum("value").alias("fitted")) for k in range(1, len(spec.dims) + 1)]
-    wanted = [F.struct(F.lit(k).alias("dim"), F.lit(c).alias("category"), F.col(f"`{c}`").cast("double").alias("target")) for k, d in enumerate(spec.dims, 1) for c in d]
-    targets = df.select(F.col(f"`{section}`").cast("string").alias("section"), F.explode(F.array(*wanted)).alias("x")).select("section", "x.*")
-    both = targets.join(reduce(DataFrame.unionByName, parts), ["section", "dim", "category"], "left")
-    off = F.when(F.col("target") != 0, F.abs(F.coalesce("fitted", F.lit(0.0)) / F.col("target") - 1)).otherwise(F.when(F.coalesce("fitted", F.lit(0.0)) == 0, 0.0).otherwise(float("inf")))
-    return both.groupBy("section").agg(F.max(off).alias("max_error")).withColumn("converged", F.col("max_error") <= FITTED)
+def ipf_report(df: DataFrame, spec: Spec, section: str, nulls: str = "error", projection: str = "any", rounds: int = MOST_ROUNDS, fitted: float = FITTED, stalled: float = STALLED) -> DataFrame:
+    """(section, rounds, last_error, max_error, converged, infeasible) of each section's fit.
+
+    last_error is that of the last step's own targets when it stopped, after so many rounds; max_error is the greatest relative
+    distance of the cells' sums from the 1-D targets. A section converged if the former is small enough. It is infeasible if no fit can
+    reach its 1-D targets: its dimensions' totals differ, or a target that is not 0 has no possible cell whose other targets are not 0.
+    """
+    from_cells = _fitted_rows(df, spec, section, nulls, projection, rounds, fitted, stalled)
+    shape, gone = spec.shape, sorted(spec.valid_impossible())
+    # one fit serves for the tensor's sums and for the figures of the fit
+    wanted = F.array(*[F.array(*[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)) for c in d]) for d in spec.dims])
+    both = from_cells.join(df.select(F.col(f"`{section}`").cast("string").alias("section"), wanted.alias("wanted")), "section")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            worst, stuck = [], []
+            for cells, wants in zip(frame["cells"], frame["wanted"], strict=True):
+                tensor = np.asarray(cells).reshape(shape)
+                support = _cleared(shape, 1, set(gone))[0]
+                for k, want in enumerate(wants):
+                    support = support * (np.asarray(want) != 0).reshape([-1 if a == k else 1 for a in range(len(shape))])
+                off, none = 0.0, len({round(float(np.sum(w)), 6) for w in wants}) > 1
+                for k, want in enumerate(wants):
+                    others, want = tuple(a for a in range(len(shape)) if a != k), np.asarray(want)
+                    have = tensor.sum(axis=others)
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        apart = np.abs(have / want - 1)
+                    off = max(off, float(np.where(np.isnan(apart), 0, apart).max()))
+                    none = none or bool(((want != 0) & (support.sum(axis=others) == 0)).any())
+                worst.append(off)
+                stuck.append(none)
+            yield pd.DataFrame({"section": frame["section"], "rounds": frame["rounds"], "last_error": frame["error"], "max_error": worst, "infeasible": stuck})
+
+    figures = both.mapInPandas(run, "section string, rounds long, last_error double, max_error double, infeasible boolean")
+    return figures.select("section", "rounds", "last_error", "max_error", (F.col("last_error") <= fitted).alias("converged"), "infeasible")
 
 
 def possible_places(spec: Spec) -> list[tuple[int, ...]]:

@@ -1,3 +1,4 @@
+import math
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -69,8 +70,8 @@ def test_closed_form_and_total_mode(spark):
     assert abs(total["a", "x"] - 11 * 27 / 64) < 1e-6
     assert m.ipf(df, spec, "section", drop_zero=True).count() == 10
     assert m.type_count(m.ipf(df, spec, "section")).first()[0] == 12
-    report = m.ipf_report(m.ipf(df, spec, "section"), df, spec, "section").collect()
-    assert all(r.converged for r in report)
+    report = m.ipf_report(df, spec, "section").collect()
+    assert all(r.converged and not r.infeasible and r.rounds >= 1 and r.max_error < 1e-6 for r in report)
 
 
 def test_nulls_and_unequal_totals(spark):
@@ -122,6 +123,32 @@ def test_impossible_tables_and_long_form(spark):
     assert np.allclose([long[k] for k in range(6)], short)
 
 
+def test_long_form_stops_as_the_batch_does(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    spec = m.Spec([ABC, XY], [("b", "x")])
+    values = [rng.integers(1, 9, (6, 3)).astype(float), np.zeros((6, 2))]
+    values[1][:, 0] = values[0].sum(axis=1) * 0.25
+    values[1][:, 1] = values[0].sum(axis=1) * 0.75
+    joint, ran, error = m.fit_sections(values, spec)
+    cells = spark.createDataFrame([(k,) for k in range(6)], "section int").crossJoin(m.all_cells(spark, spec))
+    target = lambda k, names: spark.createDataFrame([(i, n, float(v)) for i in range(6) for n, v in zip(names, values[k - 1][i], strict=True)], f"section int, d{k} string, target double")
+    for most in (m.MOST_SLICES, 0):
+        monkeypatch.setattr(m, "MOST_SLICES", most)
+        got = m.ipf_long(cells, [["d1"], ["d2"]], [target(1, ABC), target(2, XY)]).collect()
+        assert len(got) == 36 and len(set(ran.tolist())) > 1
+        for r in got:
+            assert math.isclose(r.value, joint[r.section].ravel()[r.cell_no], rel_tol=1e-9, abs_tol=1e-12) and r.rounds == ran[r.section] and math.isclose(r.error, error[r.section], abs_tol=1e-12)
+
+
+def test_report_tells_what_cannot_be_fitted(spark):
+    spec = m.Spec([ABC, XY], [("a", "x"), ("a", "y")])
+    rows = [("no cell", 1.0, 2.0, 3.0, 3.0, 3.0), ("fits", 0.0, 2.0, 3.0, 1.0, 4.0), ("unequal", 0.0, 2.0, 3.0, 3.0, 4.0)]
+    df = spark.createDataFrame(rows, "section string, a double, b double, c double, x double, y double")
+    got = {r.section: r for r in m.ipf_report(df, spec, "section").collect()}
+    assert {k: r.infeasible for k, r in got.items()} == {"no cell": True, "fits": False, "unequal": True}
+    assert got["fits"].converged and got["fits"].max_error < 1e-5 and not got["unequal"].converged and got["no cell"].max_error >= 1
+
+
 def test_unique_columns(spark):
     df = spark.createDataFrame([(1, "a", None), (2, "a", "z")], "k int, same string, hole string")
     got = {r.column: (r.n_distinct, r.is_unique) for r in m.unique_columns(df).collect()}
