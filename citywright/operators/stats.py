@@ -79,6 +79,12 @@ def best_plan(plans: DataFrame) -> DataFrame:
     return best.select("person_id", (-F.col("b._minus")).alias("plan_id"), F.col("b.score").alias("score"))
 
 
+def selected_plan(plans: DataFrame) -> DataFrame:
+    """(person_id, plan_id, score): the plan that each person executes, by ``selected``; the smallest plan_id if several are marked. Others have no row."""
+    chosen = plans.where("selected").groupBy("person_id").agg(F.min(F.struct("plan_id", "score")).alias("p"))
+    return chosen.select("person_id", "p.plan_id", "p.score")
+
+
 def score_stats(plans: DataFrame) -> DataFrame:
     """(iteration, avg_executed, avg_worst, avg_avg, avg_best): means over persons, with every plan kept in memory.
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import s_to_hms, web_mercator
 from ..operators.ipf import Spec
+from ..storage import shared_path
 
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
@@ -52,7 +54,7 @@ def plan_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scored_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
-    return o.select(F.col("o_custkey").alias("person_id"), F.col("o_orderkey").alias("plan_id"), F.col("o_totalprice").alias("score"), F.year("o_orderdate").alias("iteration"))
+    return o.select(F.col("o_custkey").alias("person_id"), F.col("o_orderkey").alias("plan_id"), F.col("o_totalprice").alias("score"), F.year("o_orderdate").alias("iteration"), (F.col("o_orderstatus") == "F").alias("selected"))
 
 
 def link_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,10 +63,10 @@ def link_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From a part to the next one in its order, where few of the first were bought."""
+    """From a part to the next one in its order."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
     following = F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
-    made = li.withColumn("to_node", following).where("to_node is not null and l_quantity <= 4")
+    made = li.withColumn("to_node", following).where("to_node is not null")
     return made.select(F.concat_ws("-", "l_orderkey", "l_partkey", "to_node").alias("link_id"), F.col("l_partkey").alias("from_node"), "to_node")
 
 
@@ -75,6 +77,13 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("c_custkey", lon.alias("x"), (41.1 + (F.col("c_custkey") % 700) * 0.0002).alias("y"))
 
 
+def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as nodes of a network in EPSG:3857, some way inside of the points."""
+    s = table(spark, sf_dir, "supplier").select((F.col("s_nationkey") * 0.008 - 8.69).alias("lon"), (F.col("s_nationkey") * 0.005 + 41.11).alias("lat"))
+    x, y = web_mercator(F.col("lon"), F.col("lat"))
+    return s.select(x.alias("x"), y.alias("y"))
+
+
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf rows of commuters by area, sex, occupation and destination, from orders."""
     o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", "o_orderpriority")
@@ -99,6 +108,98 @@ def indicator(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by_area.select(F.to_json(F.struct(F.create_map(F.lit("2021"), F.col("records")).alias("Dados"))).alias("text"))
 
 
+# --- the stand-ins in the formats that the readers take, written to the shared folder ----------------------------
+
+
+def indicator_files(spark: SparkSession, sf_dir: str) -> str:
+    """A JSON file for each area."""
+    path = shared_path(spark, "indicator")
+    indicator(spark, sf_dir).write.option("maxRecordsPerFile", 1).text(path)
+    return path
+
+
+def census_files(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """The census as CSV with a header and as Parquet."""
+    csv, parquet = shared_path(spark, "census") + ".csv", shared_path(spark, "census")
+    whole = census(spark, sf_dir)
+    whole.write.option("header", True).csv(csv)
+    whole.write.parquet(parquet)
+    return csv, parquet
+
+
+def plan_files(spark: SparkSession, sf_dir: str) -> str:
+    """Plans in XML: a user's events of a week are a plan, the last week's is the selected one."""
+    elements = plan_elements(spark, sf_dir)
+    hms = lambda c: s_to_hms(F.col(c))
+    act = F.struct(F.col("type").alias("_type"), F.lit("1").alias("_link"), (F.col("distance_m") / 8).alias("_x"), F.lit(0.5).alias("_y"), hms("dep_s").alias("_end_time"))
+    attribute = F.array(F.struct(F.lit("routingMode").alias("_name"), F.col("routing_mode").alias("_VALUE")))
+    leg = F.struct(F.col("mode").alias("_mode"), hms("dep_s").alias("_dep_time"), hms("travel_s").alias("_trav_time"), F.struct(attribute.alias("attribute")).alias("attributes"))
+    inner = lambda kind, what: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("pos", what.alias("e"))))), lambda x: x["e"])
+    plans = elements.groupBy("person_id", "iteration").agg(inner("activity", act).alias("activity"), inner("leg", leg).alias("leg"), F.count("*").alias("n"))
+    last = F.max("iteration").over(Window.partitionBy("person_id"))
+    marked = plans.select("person_id", "iteration", F.struct(F.when(F.col("iteration") == last, "yes").otherwise("no").alias("_selected"), (F.col("n") / 4).alias("_score"), "activity", "leg").alias("p"))
+    persons = marked.groupBy(F.col("person_id").cast("string").alias("_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("iteration", "p"))), lambda x: x["p"]).alias("plan"))
+    path = shared_path(spark, "plans")
+    persons.write.format("xml").option("rootTag", "population").option("rowTag", "person").save(path)
+    return path
+
+
+def network_files(spark: SparkSession, sf_dir: str) -> str:
+    """Parts as nodes and the links between them in XML; the path matches both."""
+    path = shared_path(spark, "network")
+    nodes = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("_id"), (F.col("p_retailprice") / 2).alias("_x"), F.col("p_size").cast("double").alias("_y"))
+    nodes.write.format("xml").option("rootTag", "nodes").option("rowTag", "node").save(f"{path}/nodes")
+    made = links(spark, sf_dir).select(F.col("link_id").alias("_id"), F.col("from_node").cast("string").alias("_from"), F.col("to_node").cast("string").alias("_to"), (F.length("link_id") / 2).alias("_length"))
+    made.write.format("xml").option("rootTag", "links").option("rowTag", "link").save(f"{path}/links")
+    return f"{path}/*"
+
+
+def activity_files(spark: SparkSession, sf_dir: str) -> str:
+    """A configuration whose activity types are the events' types, with times from their numbers."""
+    kinds = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.floor(F.avg("event_id")).alias("m"))
+    param = lambda name, value: F.struct(F.lit(name).alias("_name"), value.alias("_value"))
+    one = F.struct(F.lit("activityParams").alias("_type"), F.array(param("activityType", F.col("event_type")), param("priority", F.col("n").cast("string")), param("typicalDuration", s_to_hms(F.col("m") % 86400)), param("openingTime", F.lit("")), param("closingTime", F.lit("undefined"))).alias("param"))
+    module = kinds.groupBy(F.lit("scoring").alias("_name")).agg(F.collect_list(one).alias("parameterset"))
+    path = shared_path(spark, "configuration")
+    module.write.format("xml").option("rootTag", "config").option("rowTag", "module").save(path)
+    return path
+
+
+def facility_files(spark: SparkSession, sf_dir: str) -> str:
+    """Customers as facilities, for work or leisure by their segment and for living."""
+    c = table(spark, sf_dir, "customer")
+    kinds = F.array(F.struct(F.lit("h").alias("_type")), F.struct(F.when(F.col("c_mktsegment") == "BUILDING", "l").otherwise("w").alias("_type")))
+    path = shared_path(spark, "facilities")
+    rows = c.select(F.col("c_custkey").alias("_id"), (F.col("c_acctbal") * 2).alias("_x"), F.col("c_nationkey").cast("double").alias("_y"), kinds.alias("activity"))
+    rows.write.format("xml").option("rootTag", "facilities").option("rowTag", "facility").save(path)
+    return path
+
+
+def zone_files(spark: SparkSession, sf_dir: str) -> str:
+    """A square for each nation as bare GeoJSON, in a folder of its name."""
+    n = F.col("n_nationkey").cast("double")
+    corner = lambda a, b: F.array(n + a, F.lit(0.0) + b)
+    square = F.array(F.array(F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1), corner(0, 0))))
+    path = shared_path(spark, "zones")
+    text = F.to_json(F.struct(F.lit("MultiPolygon").alias("type"), square.alias("coordinates")))
+    table(spark, sf_dir, "nation").select(F.col("n_name").alias("zone"), text.alias("value")).write.partitionBy("zone").text(path)
+    return path
+
+
+def iteration_files(spark: SparkSession, sf_dir: str) -> str:
+    """Events by type and hour as a tab-separated table for each week, a column for each type that the week has, and a footer."""
+    e = table(spark, sf_dir, "events").select(F.floor((F.dayofmonth("ts") - 1) / 7).cast("int").alias("iteration"), F.hour("ts").alias("hour"), "event_type").where("iteration > 0 or event_type != 'error'")
+    counts = e.groupBy("iteration", "hour", "event_type").agg(F.count("*").alias("n"))
+    names = counts.groupBy("iteration").agg(F.sort_array(F.collect_set("event_type")).alias("names"))
+    rows = counts.groupBy("iteration", "hour").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "n"))).alias("m")).join(names, "iteration")
+    line = F.concat_ws("\t", F.col("hour").cast("string"), F.array_join(F.transform("names", lambda c: F.coalesce(F.element_at("m", c), F.lit(0)).cast("string")), "\t"))
+    files = rows.groupBy("iteration").agg(F.first("names").alias("names"), F.array_join(F.sort_array(F.collect_list(line)), "\n").alias("body"))
+    text = F.concat(F.lit("hour\t"), F.array_join("names", "\t"), F.lit("\n"), F.col("body"), F.lit("\n\nall hours"))
+    path = shared_path(spark, "tables")
+    files.select("iteration", text.alias("value")).write.partitionBy("iteration").text(path)
+    return path
+
+
 def zones(spark: SparkSession) -> DataFrame:
     """A square with a square hole, and one with two parts."""
     square = lambda a, b, c, d: [[a, c], [b, c], [b, d], [a, d], [a, c]]

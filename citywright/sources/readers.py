@@ -123,18 +123,22 @@ def read_facilities(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_zones(spark: SparkSession, path: str) -> DataFrame:
-    """(zone, polygons) of bare MultiPolygon files; a zone is named by its file."""
+    """(zone, polygons) of bare MultiPolygon files; a zone is named by its file, or by its folder ``zone=name``."""
     rows = spark.read.schema("type string, coordinates array<array<array<array<double>>>>").option("multiLine", True).json(path)
-    return rows.select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.geojson$", 1).alias("zone"), F.col("coordinates").alias("polygons"))
+    path_, in_folder = F.input_file_name(), r"/zone=([^/]+)/"
+    name = F.when(path_.rlike(in_folder), F.regexp_extract(path_, in_folder, 1)).otherwise(F.regexp_extract(path_, r"([^/]+)\.geojson$", 1))
+    return rows.select(name.alias("zone"), F.col("coordinates").alias("polygons"))
 
 
 def read_iteration_table(spark: SparkSession, path: str, key: str) -> DataFrame:
     """(iteration, key, column, value) of per-iteration text tables whose columns differ.
 
-    ``path`` matches the tables of all iterations; the iteration is the number in front of the file's name. A file's first line
+    ``path`` matches the tables of all iterations; the iteration is the number in front of the file's name, or in its folder's name ``iteration=n``. A file's first line
     names its columns, lines that begin otherwise than a row (footers) and missing columns give no rows.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"(\d+)\.[^/]+$", 1).cast("int").alias("iteration"), F.split("value", "\r?\n").alias("lines"))
+    path_, in_folder = F.input_file_name(), r"/iteration=(\d+)/"
+    number = F.when(path_.rlike(in_folder), F.regexp_extract(path_, in_folder, 1)).otherwise(F.regexp_extract(path_, r"(\d+)\.[^/]+$", 1))
+    lines = spark.read.text(path, wholetext=True).select(number.cast("int").alias("iteration"), F.split("value", "\r?\n").alias("lines"))
     header = F.split(F.get("lines", F.lit(0)), "\t")
     rows = lines.select("iteration", header.alias("names"), F.explode(F.slice("lines", 2, F.size("lines"))).alias("line"))
     cells = rows.select("iteration", "names", F.split("line", "\t").alias("v")).where(F.size("v") > 2)

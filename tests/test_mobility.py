@@ -1,5 +1,6 @@
 import math
 import random
+from collections import Counter
 import sqlite3
 
 from pyspark.sql import functions as F
@@ -53,6 +54,8 @@ def test_statistics_identities(spark):
 
 def test_scores(spark):
     plans = spark.createDataFrame([(1, 1, 0, 5.0), (1, 2, 1, 3.0), (2, 3, 1, 8.0), (2, 4, 1, 8.0)], "person_id int, plan_id int, iteration int, score double")
+    marked = plans.withColumn("selected", F.col("score") == 8.0)
+    assert [tuple(r) for r in stats.selected_plan(marked).collect()] == [(2, 3, 8.0)]
     assert [tuple(r) for r in stats.best_plan(plans).orderBy("person_id").collect()] == [(1, 1, 5.0), (2, 3, 8.0)]
     rows = {r.iteration: r for r in stats.score_stats(plans).collect()}
     assert rows[0].avg_best == 5.0 and rows[1].avg_executed == 5.5 and rows[1].avg_best == 6.5 and rows[1].avg_worst == 5.5
@@ -69,14 +72,30 @@ def test_scalars(spark):
     assert one.select(*s.web_mercator(F.lit(0.0), F.lit(90.0))).first()[1] is None
 
 
-def test_zones_and_bounds(spark, tmp_path):
+def test_zones_in_metres_that_overlap(spark, monkeypatch):
+    """Cells suit the zones' size, so a zone far larger than the others has few of them too."""
+    box = lambda a, b, c, d: [[[[a, c], [b, c], [b, d], [a, d], [a, c]]]]
+    rows = [(f"z{k:03}", box(100.0 * k, 100.0 * k + 150, 0.0, 100.0)) for k in range(60)] + [("zzz", box(-1e6, 1e6, -1e6, 1e6))]
+    zones = spark.createDataFrame(rows, "zone string, polygons array<array<array<array<double>>>>")
+    width, n = geo._grid(geo.zone_boxes(zones), None)
+    assert n == 61 * 5 and (2e6 / width + 2) ** 2 <= geo.TILES_A_ZONE * 61
+    points = spark.createDataFrame([(k, 100.0 * k + 25, 50.0, "old") for k in range(60)] + [(60, 0.0, -500.0, "old"), (61, 5e6, 0.0, "old")], "id int, x double, y double, zone string")
+    want = {0: "z000", 60: "zzz", 61: None} | {k: f"z{k - 1:03}" for k in range(1, 60)}
+    for most in (geo.MOST_POINTS, 0):
+        monkeypatch.setattr(geo, "MOST_POINTS", most)
+        assert {r.id: r.zone for r in geo.assign_zone(points, zones).collect()} == want
+
+
+def test_zones_and_bounds(spark, tmp_path, monkeypatch):
     square = "[[0,0],[10,0],[10,10],[0,10],[0,0]]"
     (tmp_path / "Holed.geojson").write_text('{"type":"MultiPolygon","coordinates":[[%s,[[4,4],[6,4],[6,6],[4,6],[4,4]]]]}' % square)
     (tmp_path / "Tri.geojson").write_text('{"type":"MultiPolygon","coordinates":[[[[20,0],[30,0],[20,10],[20,0]]]]}')
     zones = readers.read_zones(spark, str(tmp_path / "*.geojson"))
     points = spark.createDataFrame([(1, 1.0, 1.0), (2, 5.0, 5.0), (3, 21.0, 1.0), (4, 29.0, 9.0), (5, None, 1.0)], "id int, x double, y double")
-    got = {r.id: r.zone for r in geo.assign_zone(points, zones, cell=5.0).collect()}
-    assert got == {1: "Holed", 2: None, 3: "Tri", 4: None, 5: None}
+    for cell, most in ((5.0, geo.MOST_POINTS), (None, geo.MOST_POINTS), (None, 0)):
+        monkeypatch.setattr(geo, "MOST_POINTS", most)
+        got = Counter((r.id, r.zone) for r in geo.assign_zone(points.unionByName(points), zones, cell=cell).collect())
+        assert got == {(1, "Holed"): 2, (2, None): 2, (3, "Tri"): 2, (4, None): 2, (5, None): 2}
     nodes = spark.createDataFrame([], "x double, y double")
     assert geo.extent(nodes).first().minx is None
     assert {r.inside for r in geo.check_boundaries(points, nodes).collect()} == {None}
@@ -107,6 +126,14 @@ def test_largest_component(spark):
         nodes = spark.createDataFrame([(k,) for k in range(12)], "node_id int")
         keep = {r.node for r in network.largest_scc(nodes, links).collect()}
         assert keep == set(brute_components(12, edges)), edges
+        named = {r.node: r.component for r in network.strong_components(nodes, links).collect()}
+        reach = {a: {a} for a in range(12)}
+        for _ in range(12):
+            for a, b in edges:
+                for r in reach.values():
+                    if a in r:
+                        r.add(b)
+        assert named == {a: min(b for b in reach[a] if a in reach[b]) for a in range(12)}, edges
     kept_nodes, kept_links = network.clean_network(nodes, links)
     assert {r.from_node for r in kept_links.collect()} | {r.to_node for r in kept_links.collect()} <= {r.node_id for r in kept_nodes.collect()}
 

@@ -39,11 +39,6 @@ def test_query_equals_sql(spark, base, name):
     assert sorted(tuple(plain(r[c]) for c in columns) for r in df.collect()) == want
 
 
-def test_fitting_with_an_impossible_triple(spark):
-    rows = QUERIES["ipf_3d_impossible"](spark, str(DATA)).collect()
-    assert rows and all(r.value == 0 for r in rows if (r.d1, r.d2, r.d3) == ("AUTOMOBILE", "1-URGENT", "P"))
-
-
 def test_entry(spark):
     import __spark_entry__
 
