@@ -28,7 +28,7 @@ HIDDEN, STEPS = 16, 32
 SLICE, TARGETS = 1 << 18, 1 << 13
 #: Training: rounds, into which all training documents are dealt by a hash of the id; pieces of documents side by side, from
 #: few to many as a task has more of them, and their tokens; Adam's rate, and lots in which the tasks' weights are averaged.
-ROUNDS, ABREAST, MOST_ABREAST, PIECE, RATE, LOTS, SEED = 2, 64, 128, 512, 0.01, 64, 11
+ROUNDS, ABREAST, MOST_ABREAST, PIECE, RATE, LOTS, SEED = 2, 64, 512, 512, 0.02, 64, 11
 
 END = np.uint64(1)
 #: Distinct words that a task gathers before it hands their counts on.
@@ -175,14 +175,20 @@ def joined(parts: list[Batch]) -> Batch:
     return Batch(*(np.concatenate([getattr(p, k) for p in parts]) for k in ("token", "group", "inner")), firsts)
 
 
-def _softmax(logits: np.ndarray, targets: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(log probability of each row's target, sums by row); ``logits`` become exponentials. Where none can overflow, as states are within -1..1, rows keep their scale."""
-    if float(np.abs(weights).sum(axis=0).max() + np.abs(bias).max()) > 60:
+def _softmax(logits: np.ndarray, targets: np.ndarray, rows: np.ndarray, small: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(log probability of each row's target, one over the sums by row); ``logits`` become exponentials. ``small`` ones cannot overflow and keep their scale."""
+    if not small:
         logits -= logits.max(axis=1, keepdims=True)
-    part = logits[np.arange(len(logits)), targets].astype(np.float64)
+    part = logits[rows, targets].astype(np.float64)
     np.exp(logits, out=logits)
     total = logits @ np.ones((logits.shape[1], 1), dtype=np.float32)
-    return part - np.log(total[:, 0]), total
+    part -= np.log(total[:, 0])
+    return part, 1 / total
+
+
+def _bounded(weights: np.ndarray, bias: np.ndarray) -> bool:
+    """Whether logits stay small for all states, which are within -1..1."""
+    return not len(bias) or float(np.abs(weights).sum(axis=0).max() + np.abs(bias).max()) <= 60
 
 
 class Network:
@@ -238,39 +244,42 @@ class Network:
         """Natural log probability of each target from its state; with ``grads``, adds the loss's gradients and returns those of ``h``."""
         c, cb, w, wb = (self.p[k] for k in ("c", "cb", "w", "wb"))
         at = np.arange(len(h))
+        ones = np.ones(len(h), dtype=np.float32)
+        small = _bounded(c, cb) and _bounded(w, wb)
         # by class, so that what a class needs lies together
         order = np.argsort(group.astype(np.int16), kind="stable")
         h, group, inner = h[order], group[order], inner[order]
         logits = h @ c
         logits += cb
-        logs, total = _softmax(logits, group, c, cb)
+        logs, over = _softmax(logits, group, at, small)
         back = None
         if grads is not None:
-            logits /= total
+            logits *= over
             logits[at, group] -= 1
             back = logits @ c.T
             grads["c"] += h.T @ logits
-            grads["cb"] += logits.sum(axis=0)
-        bounds = np.searchsorted(group, np.arange(self.classes + 1))
-        logs[bounds[-1] :] += inner[bounds[-1] :]
-        places = inner[: bounds[-1]].astype(np.int64)
+            grads["cb"] += ones @ logits
+        bounds = np.searchsorted(group, np.arange(self.classes + 1)).tolist()
+        last = bounds[-1]
+        logs[last:] += inner[last:]
+        places = inner[:last].astype(np.int64) - self.edges[group[:last]]
+        edges = self.edges.tolist()
         for k in range(self.classes):
-            a, b = bounds[k], bounds[k + 1]
-            lo, hi = self.edges[k], self.edges[k + 1]
+            a, b, lo, hi = bounds[k], bounds[k + 1], edges[k], edges[k + 1]
             if a == b or hi - lo < 2:
                 continue
-            own = h[a:b]
-            logits = own @ w[:, lo:hi]
+            own, weights = h[a:b], w[:, lo:hi]
+            logits = own @ weights
             logits += wb[lo:hi]
-            place, line = places[a:b] - lo, at[: b - a]
-            part, total = _softmax(logits, place, w[:, lo:hi], wb[lo:hi])
+            place, line = places[a:b], at[: b - a]
+            part, over = _softmax(logits, place, line, small)
             logs[a:b] += part
             if grads is not None:
-                logits /= total
+                logits *= over
                 logits[line, place] -= 1
-                back[a:b] += logits @ w[:, lo:hi].T
+                back[a:b] += logits @ weights.T
                 grads["w"][:, lo:hi] += own.T @ logits
-                grads["wb"][lo:hi] += logits.sum(axis=0)
+                grads["wb"][lo:hi] += ones[: b - a] @ logits
         out = np.empty_like(logs)
         out[order] = logs
         if back is not None:
@@ -360,7 +369,7 @@ class Trainer:
         sizes = np.diff(firsts)
         order = np.argsort(-sizes, kind="stable")
         # pieces of like length go side by side, and such groups in a seeded order
-        abreast = min(max(ABREAST, len(sizes) // 32), MOST_ABREAST)
+        abreast = min(max(ABREAST, len(sizes) // 16), MOST_ABREAST)
         for a in np.random.default_rng(SEED).permutation(np.arange(0, len(sizes), abreast)):
             docs = order[a : a + abreast]
             h = np.zeros((len(docs), HIDDEN), dtype=np.float32)
