@@ -18,6 +18,8 @@ MOST_TIMES = 2
 SEED = 17
 #: Lots that a (source, size) group is dealt to by the seeded hash, so that no task has to order a hot group.
 LOTS = 1024
+#: Levels of words for each unit of weight that are tried at once.
+LEVELS = 64
 
 
 def n_words(text: Column) -> Column:
@@ -49,25 +51,32 @@ def ranked(sources: DataFrame) -> DataFrame:
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int = PERCENT, most_times: int = MOST_TIMES) -> DataFrame:
     """(source, source_size, target) from (source, source_size): shares by weight, none above ``most_times`` its size.
 
-    What a full source cannot take is shared anew by weight among the others, until none is above. Each
-    round fills at least one source or ends; the sums of a round are all that comes to the driver.
+    What a full source cannot take is shared anew by weight among the others, until none is above. So all others get
+    the same words for each unit of weight. That level is narrowed down by summing up the table for ``LEVELS`` of them at once, until no
+    source fills up between two; the number of rounds does not grow with the sources, and only sums come to the driver.
     """
     placed = ranked(sizes)
     pick = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
     table = stored(placed.select("source", "source_size", pick.cast("double").alias("weight"), (most_times * F.col("source_size")).cast("double").alias("most")), "weights")
-    total = (table.agg(F.sum("source_size").alias("s")).first()["s"] or 0) * percent / 100
-    level = None
+    table = table.withColumn("full_at", F.col("most") / F.col("weight"))
+    row = table.agg(F.sum("source_size").alias("words"), F.sum("most").alias("most"), F.max("full_at").alias("last")).first()
+    total = (row["words"] or 0) * percent / 100
+    if total >= (row["most"] or 0):
+        return table.select("source", "source_size", F.col("most").alias("target"))
+    low, high = 0.0, row["last"]
     while True:
-        full = F.lit(False) if level is None else F.col("weight") * level >= F.col("most")
-        row = table.agg(F.sum(F.when(full, F.col("most")).otherwise(0.0)).alias("filled"), F.sum(F.when(full, 0.0).otherwise(F.col("weight"))).alias("free")).first()
-        if not row["free"]:
+        between = [low + (high - low) * k / LEVELS for k in range(1, LEVELS)]
+        sums = [F.sum(F.least(F.col("weight") * g, F.col("most"))).alias(f"at{k}") for k, g in enumerate(between)]
+        row = table.agg(F.count(F.when((F.col("full_at") > low) & (F.col("full_at") < high), 1)).alias("open"), *sums).first()
+        under = sum(row[f"at{k}"] <= total for k in range(len(between)))
+        bounds = [low, *between, high]
+        if row["open"] == 0 or bounds[under + 1] - bounds[under] >= high - low:
             break
-        now = max(total - row["filled"], 0.0) / row["free"]
-        if level is not None and now <= level:
-            break
-        level = now
-    share = F.col("most") if level is None else F.least(F.col("weight") * F.lit(float(level)), F.col("most"))
-    return table.select("source", "source_size", share.alias("target"))
+        low, high = bounds[under], bounds[under + 1]
+    full = F.col("full_at") <= low
+    row = table.agg(F.sum(F.when(full, F.col("most")).otherwise(0.0)).alias("filled"), F.sum(F.when(full, 0.0).otherwise(F.col("weight"))).alias("free")).first()
+    level = max(total - row["filled"], 0.0) / row["free"]
+    return table.select("source", "source_size", F.least(F.col("weight") * F.lit(float(level)), F.col("most")).alias("target"))
 
 
 def _nearest(lengths: list[int], more: list[int], less: list[int], lack: float, room: int) -> tuple[list[int], float]:

@@ -355,6 +355,25 @@ def test_knapsack_gives_bulk_back():
         assert abs(abs(sum(t * n for t, n in zip(take, lengths, strict=True)) - budget) - min(abs(s - budget) for s in sums)) < 1e-6
 
 
+def test_targets_of_many_sources_equal_rounds_of_sharing(spark):
+    rng = random.Random(13)
+    for sizes in ([int(1.3**k) for k in range(60)], [rng.randrange(0, 50) for _ in range(200)], [7] * 12, [0, 0], [5]):
+        names = [f"s{k:03}" for k in range(len(sizes))]
+        weight = [(5, 2, 1)[k % 3] for k in range(len(sizes))]
+        full, total = set(), 1.5 * sum(sizes)
+        while True:
+            free = [k for k in range(len(sizes)) if k not in full]
+            rest = total - sum(2 * sizes[k] for k in full)
+            over = {k for k in free if rest * weight[k] > 2 * sizes[k] * sum(weight[j] for j in free) * (1 + 1e-12)}
+            if not over:
+                break
+            full |= over
+        level = rest / sum(weight[k] for k in free) if free else 0
+        got = {r.source: r.target for r in mixing.targets(spark.createDataFrame(list(zip(names, sizes, strict=True)), "source string, source_size long")).collect()}
+        for k, n in enumerate(names):
+            assert abs(got[n] - (2 * sizes[k] if k in full else level * weight[k])) <= 1e-6 * max(1, got[n])
+
+
 def test_mixing_with_equal_ids_and_clashing_names(spark):
     rows = [(1, prose(10), "a") for _ in range(9)] + [(2, prose(40_000), "a")]
     docs = frame(spark, rows).selectExpr("*", "1 AS copies", "2 AS mark", "3 AS size", "4 AS _row", "5 AS _order")
