@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import checkpointed
+from ..storage import checkpointed, checkpointed_with_any
 
 #: Stop rule: rounds, greatest relative error that counts as fitted, and least change between rounds.
 MOST_ROUNDS, FITTED, STALLED = 500, 1e-5, 1e-8
@@ -278,8 +278,8 @@ def ipf_long(cells: DataFrame, layers: list[list[str]], targets: list[DataFrame]
         worst = reduce(DataFrame.unionByName, parts).groupBy(*key).agg(F.max("now").alias("now"))
         ended = (F.col("now") <= fitted) | ((F.col("now") < inf) & (F.col("error") < inf) & (F.abs(F.col("now") - F.col("error")) <= stalled))
         marks = with_section(marks, worst).select(*key, F.when(F.col("live"), F.col("now")).otherwise(F.col("error")).alias("error"), (F.col("rounds") + F.col("live").cast("int")).alias("rounds"), (F.col("live") & ~ended).alias("live"))
-        marks = checkpointed(marks)
-        if marks.where("live").isEmpty():
+        marks, going = checkpointed_with_any(marks, F.col("live"))
+        if not going:
             break
     return with_section(state, marks.select(*key, "rounds", "error"))
 

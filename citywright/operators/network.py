@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import checkpointed
+from ..storage import checkpointed, checkpointed_with_any
 
 
 def least_reaching(edges: DataFrame, ranks: DataFrame | None = None) -> DataFrame:
@@ -23,9 +23,10 @@ def least_reaching(edges: DataFrame, ranks: DataFrame | None = None) -> DataFram
         new = along.unionByName(labels.select("node", "label", F.col("label").alias("old"))).groupBy("node").agg(F.min("label").alias("label"), F.min("old").alias("old"))
         ahead = labels.select(F.col("node").alias("n"), F.col("label").alias("further"))
         # labels of labels may be the last round's: the next one sees the new
-        jumped = checkpointed(new.join(ahead, F.col("label.node") == F.col("n")).select("node", F.least("label", "further").alias("label"), "old"))
+        jumped = new.join(ahead, F.col("label.node") == F.col("n")).select("node", F.least("label", "further").alias("label"), "old")
+        jumped, changed = checkpointed_with_any(jumped, F.col("label") != F.col("old"))
         labels = jumped.select("node", "label")
-        if jumped.where("label != old").isEmpty():
+        if not changed:
             return labels
 
 

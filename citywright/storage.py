@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,3 +34,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     path = shared_path(spark, "step")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def checkpointed_with_any(df: DataFrame, condition: Column) -> tuple[DataFrame, bool]:
+    """``checkpointed``, and whether ``condition`` holds for any row, which is counted while rows are written."""
+    seen = Observation()
+    out = checkpointed(df.observe(seen, F.count(F.when(condition, 1)).alias("n")))
+    return out, seen.get["n"] > 0
