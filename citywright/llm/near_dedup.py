@@ -133,6 +133,10 @@ def _by_rare_shingles(nodes: DataFrame, texts: DataFrame, percent: int) -> DataF
     their first size - least overlap + 1 shingles, and what stands behind it in both leaves room for the overlap. So
     texts that have only a common passage meet at none of their rare shingles, and sets that differ by
     too much of their own wording meet nobody. None that is similar enough is lost.
+
+    A shared shingle that stands late in both orders, behind (1 - t) / (1 + t) of each set for a threshold t, leaves too little room for
+    the overlap whatever the sizes are. So late ones are joined with early ones only: pages of one template, whose common shingles
+    all stand behind each page's own, are not compared with each other.
     """
     held = texts.join(nodes, "node").select("node", "component", "text")
     sets = stored(held.mapInArrow(_sets, "node long, component long, shingles array<long>").select("*", F.size("shingles").alias("n"), F.xxhash64("shingles").alias("version")), "sets")
@@ -141,12 +145,15 @@ def _by_rare_shingles(nodes: DataFrame, texts: DataFrame, percent: int) -> DataF
     own = join_split(spread, often.where("often > 1"), "s", often.select("s", F.col("often").alias("n")), "left").groupBy("node", "component", "version", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("often", F.lit(1)).alias("often"), "s"))).alias("order"))
     first = F.slice("order", 1, F.col("n") - F.ceil(percent * F.col("n") / 100).cast("int") + 1)
     prefix = own.select("node", "component", "n", F.posexplode(first).alias("at", "x")).where("x.often > 1").select("node", "component", "n", "at", F.col("x.s").alias("s"))
-    prefix = stored(prefix, "prefixes")
-    other = prefix.select("s", F.col("node").alias("v"), F.col("component").alias("c"), F.col("n").alias("m"), F.col("at").alias("to"))
+    prefix = stored(prefix.withColumn("early", (100 + percent) * (F.col("n") - F.col("at")) >= 2 * percent * F.col("n")), "prefixes")
+    other = prefix.where("early").select("s", F.col("node").alias("v"), F.col("component").alias("c"), F.col("n").alias("m"), F.col("at").alias("to"))
     least = percent * (F.col("n") + F.col("m"))
     room = 1 + F.least(F.col("n") - 1 - F.col("at"), F.col("m") - 1 - F.col("to"))
-    fits = (F.col("node") < F.col("v")) & (F.col("component") != F.col("c")) & ((100 + percent) * room >= least)
-    return prefix.alias("p").join(other, (F.col("p.s") == other["s"]) & fits).select(F.col("node").alias("u"), "v")
+    # two early ones meet from both sides, of which one is enough
+    once = (F.col("node") < F.col("v")) | (~F.col("early") & (F.col("node") != F.col("v")))
+    fits = once & (F.col("component") != F.col("c")) & ((100 + percent) * room >= least)
+    met = prefix.alias("p").join(other, (F.col("p.s") == other["s"]) & fits)
+    return met.select(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS, percent: int = PERCENT) -> DataFrame:

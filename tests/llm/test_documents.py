@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from citywright.llm import decontamination, hot_keys, licenses, mixing, token_counts, words
+from citywright.llm import decontamination, hot_keys, licenses, mixing, near_dedup, token_counts, words
 from citywright.llm.components import components
 from citywright.llm.decontamination import drop_leaks, find_leaks
 from citywright.llm.licenses import scan_licenses
@@ -125,6 +125,26 @@ def test_near_duplicates_with_hot_buckets_and_clashing_names(spark, monkeypatch)
     assert drop_near_duplicates(docs).columns == docs.columns and sorted(r.doc_id for r in drop_near_duplicates(docs).collect()) == [10, *range(500, 520)]
 
 
+def test_rare_shingles_lose_no_pair_and_skip_templates(spark):
+    """Against all pairs, over sets of unlike sizes that share a part; pages of one template give no row to the join."""
+    rng = random.Random(30)
+    pool = [prose(60, rng) for _ in range(3)]
+    rows = []
+    for k in range(60):
+        shared = pool[k % 3].split()[: rng.randrange(40, 61)]
+        own = prose(rng.randrange(0, 14), rng).split()
+        rows.append((k, " ".join(shared + own) if k % 2 else " ".join(own + shared), "a"))
+    docs = spark.createDataFrame([(i, t, i) for i, t, _ in rows], "node long, text string, component long")
+    pairs = near_dedup._by_rare_shingles(docs.select("node", "component"), docs.select("node", "text"), 75)
+    met = {(r.u, r.v) for r in pairs.collect()}
+    sets = {i: shingle_set(t) for i, t, _ in rows}
+    want = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    assert want and want <= met and all(u < v for u, v in met)
+    template = prose(160, rng)
+    pages = spark.createDataFrame([(k, f"{template} {prose(40, rng)}", k) for k in range(100)], "node long, text string, component long")
+    assert near_dedup._by_rare_shingles(pages.select("node", "component"), pages.select("node", "text"), 75).isEmpty()
+
+
 def test_split_joins_equal_plain_ones(spark, monkeypatch):
     monkeypatch.setattr(hot_keys, "HOT_ROWS", 5)
     rows = spark.createDataFrame([(1, k) for k in range(60)] + [(2, k) for k in range(3)] + [(3, 7), (None, 1)], "k long, x long")
