@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import licenses, quality, secrets, toxicity
+from .alignment import COUNTS, align, link_figures
 from .decontamination import find_leaks
 from .html_content import extract_text
 from .lm_scoring import score_texts
@@ -88,9 +89,16 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_read(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256."""
+    aligned = align(_read(spark, sf_dir, "documents"))
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256")
+    return link_figures(aligned.select("doc_id", *COUNTS, digest, "pairs", "pair_links")).select("doc_id", *COUNTS, "n_best", "count_sum", "groups_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_minhash_near_dedup, op2_benchmark_decontamination, op3_quality_rules, op4_toxicity, op5_license_scan, op6_lm_scoring, op7_html_extraction, op8_source_mixing, op9_secret_scan, op10_token_counts)
+    for f in (op1_minhash_near_dedup, op2_benchmark_decontamination, op3_quality_rules, op4_toxicity, op5_license_scan, op6_lm_scoring, op7_html_extraction, op8_source_mixing, op9_secret_scan, op10_token_counts, op11_token_alignment)
 }
 
 ORACLE_SQL: dict[str, str] = {
