@@ -18,6 +18,7 @@ from .quality import clean_lines
 from .scratch import stored
 from .secrets import BASE_KINDS, findings, joined, scan_blobs
 from .token_counts import count_tokens
+from .whitening import whiten
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -96,9 +97,14 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_figures(aligned.select("doc_id", *COUNTS, digest, "pairs", "pair_links")).select("doc_id", *COUNTS, "n_best", "count_sum", "groups_sha256")
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, component, n, deviation, whitened, explained, identity_error."""
+    return whiten(_read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_minhash_near_dedup, op2_benchmark_decontamination, op3_quality_rules, op4_toxicity, op5_license_scan, op6_lm_scoring, op7_html_extraction, op8_source_mixing, op9_secret_scan, op10_token_counts, op11_token_alignment)
+    for f in (op1_minhash_near_dedup, op2_benchmark_decontamination, op3_quality_rules, op4_toxicity, op5_license_scan, op6_lm_scoring, op7_html_extraction, op8_source_mixing, op9_secret_scan, op10_token_counts, op11_token_alignment, op12_embedding_whitening)
 }
 
 ORACLE_SQL: dict[str, str] = {
