@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, quality, secrets, toxicity
+from . import licenses, quality, quality_model, secrets, toxicity
 from .alignment import COUNTS, align, link_figures
 from .decontamination import find_leaks
 from .html_content import extract_text
@@ -102,9 +102,17 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(_read(spark, sf_dir, "embeddings"))
 
 
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted; documents with crc32(doc_id) mod 5 = 0 are held out of training."""
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    model = quality_model.fit(docs, labels.where(_remainder(labels, 5) != 0))
+    scored = quality_model.score(docs, model)
+    return scored.select("doc_id", (_remainder(scored, 5) == 0).alias("held_out"), "score", F.when(F.col("score") >= quality_model.THRESHOLD, 1).otherwise(0).alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_minhash_near_dedup, op2_benchmark_decontamination, op3_quality_rules, op4_toxicity, op5_license_scan, op6_lm_scoring, op7_html_extraction, op8_source_mixing, op9_secret_scan, op10_token_counts, op11_token_alignment, op12_embedding_whitening)
+    for f in (op1_minhash_near_dedup, op2_benchmark_decontamination, op3_quality_rules, op4_toxicity, op5_license_scan, op6_lm_scoring, op7_html_extraction, op8_source_mixing, op9_secret_scan, op10_token_counts, op11_token_alignment, op12_embedding_whitening, op13_quality_classifier)
 }
 
 ORACLE_SQL: dict[str, str] = {
