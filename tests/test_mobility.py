@@ -72,18 +72,63 @@ def test_scalars(spark):
     assert one.select(*s.web_mercator(F.lit(0.0), F.lit(90.0))).first()[1] is None
 
 
-def test_zones_in_metres_that_overlap(spark, monkeypatch):
-    """Cells suit the zones' size, so a zone far larger than the others has few of them too."""
-    box = lambda a, b, c, d: [[[[a, c], [b, c], [b, d], [a, d], [a, c]]]]
-    rows = [(f"z{k:03}", box(100.0 * k, 100.0 * k + 150, 0.0, 100.0)) for k in range(60)] + [("zzz", box(-1e6, 1e6, -1e6, 1e6))]
-    zones = spark.createDataFrame(rows, "zone string, polygons array<array<array<array<double>>>>")
-    width, n = geo._grid(geo.zone_boxes(zones), None)
-    assert n == 61 * 5 and (2e6 / width + 2) ** 2 <= geo.TILES_A_ZONE * 61
-    points = spark.createDataFrame([(k, 100.0 * k + 25, 50.0, "old") for k in range(60)] + [(60, 0.0, -500.0, "old"), (61, 5e6, 0.0, "old")], "id int, x double, y double, zone string")
-    want = {0: "z000", 60: "zzz", 61: None} | {k: f"z{k - 1:03}" for k in range(1, 60)}
-    for most in (geo.MOST_POINTS, 0):
-        monkeypatch.setattr(geo, "MOST_POINTS", most)
-        assert {r.id: r.zone for r in geo.assign_zone(points, zones).collect()} == want
+def star(rng, n, at=(0.0, 0.0), size=100.0, whole=False):
+    """A closed ring of n corners around a point, in turn far and near."""
+    out = []
+    for k in range(n):
+        r, turn = size * (0.3 + 0.7 * rng.random()), 2 * math.pi * k / n
+        p = [at[0] + r * math.cos(turn), at[1] + r * math.sin(turn)]
+        out.append([float(round(c)) for c in p] if whole else p)
+    return [*out, out[0]]
+
+
+def comb(n, high=50.0):
+    """A ring of n tall teeth, all with tips at one height."""
+    teeth = [p for k in range(n) for p in ([float(k), 1.0], [k + 0.5, high])]
+    return [[0.0, 0.0], *teeth, [float(n), 0.0], [0.0, 0.0]]
+
+
+def test_zones_equal_the_plain_test_on_rings_of_any_shape(spark, monkeypatch):
+    """Whole coordinates put corners and points on each other's lines and on the cells' borders."""
+    for seed in range(6):
+        rng, whole = random.Random(seed), seed % 2 == 0
+        rows = []
+        for k in range(7):
+            at = (rng.randrange(-80, 80), rng.randrange(-80, 80))
+            outer, hole = star(rng, rng.choice([3, 5, 40, 700]), at, 90.0, whole), star(rng, 6, at, 25.0, whole)
+            polygons = [[outer, hole], [star(rng, 9, (at[0] + 60, at[1]), 50.0, whole)]]
+            rows.append((f"z{k}", polygons))
+        rows += [("z8", [[comb(rng.choice([4, 300]))]]), ("z9", [[[[0.0, 0.0], [1.0, 1.0], [0.0, 0.0]]], []]), ("zz", [[star(rng, 200, (0, 0), 1000.0, whole)]])]
+        zones = spark.createDataFrame(rows, "zone string, polygons array<array<array<array<double>>>>")
+        value = (lambda: float(rng.randrange(-150, 150))) if whole else (lambda: rng.uniform(-150, 150))
+        points = [(k, value(), value()) for k in range(400)] + [(500, None, 1.0), (501, float("nan"), 0.0), (502, 1e300, 0.0), (503, 0.0, float("-inf"))]
+        points += [(600 + k, p[0], p[1]) for k, p in enumerate(rows[0][1][0][0][:20])]
+        frame = spark.createDataFrame(points, "id int, x double, y double").selectExpr("*", "'old' AS zone", "1 AS near", "2 AS odd", "3 AS cx")
+        plain = frame.drop("zone").crossJoin(zones).where(s.point_in_polygons(F.col("x"), F.col("y"), F.col("polygons"))).groupBy("id").agg(F.min("zone").alias("zone"))
+        want = {r.id: r.zone for r in plain.collect()}
+        for most in (geo.MOST_EDGES, 0):
+            monkeypatch.setattr(geo, "MOST_EDGES", most)
+            got = geo.assign_zone(frame, zones)
+            assert got.columns == ["id", "x", "y", "near", "odd", "cx", "zone"]
+            assert {r.id: r.zone for r in got.collect()} == {p[0]: want.get(p[0]) for p in points}
+
+
+def test_cells_of_the_index_hold_few_edges_and_their_number_is_bounded(spark):
+    for ring in (star(random.Random(1), 20_000), comb(10_000)):
+        edges = geo.zone_edges(spark.createDataFrame([("z", [[ring]])], "zone string, polygons array<array<array<array<double>>>>"))
+        grid, n = geo.zone_grid(edges)
+        sizes = [len(r.near[0].edges) // 4 for r in geo.zone_index(edges, grid).collect()]
+        assert n == len(ring) - 1 and sum(sizes) < 10 * n and max(sizes) < n / 20
+        assert len(sizes) < 2 * max(geo.LEAST_CELLS, n / geo.EDGES_A_CELL) + n
+
+
+def test_open_rings_are_closed_and_no_zones_give_no_zone(spark):
+    kind = "zone string, polygons array<array<array<array<double>>>>"
+    points = spark.createDataFrame([(1, 1.0, 1.0), (2, 9.0, 9.0)], "id int, x double, y double")
+    zones = spark.createDataFrame([("a", [[[[0.0, 0.0], [4.0, 0.0], [None, 1.0], [0.0, 4.0]]]]), ("b", None), ("c", []), ("d", [[[[8.0, 8.0], [10.0, 10.0]]]])], kind)
+    assert {r.id: r.zone for r in geo.assign_zone(points, zones).collect()} == {1: "a", 2: None}
+    assert {r.zone for r in geo.assign_zone(points, spark.createDataFrame([], kind)).collect()} == {None}
+    assert geo.assign_zone(points.limit(0), zones).isEmpty()
 
 
 def test_zones_and_bounds(spark, tmp_path, monkeypatch):
@@ -92,9 +137,9 @@ def test_zones_and_bounds(spark, tmp_path, monkeypatch):
     (tmp_path / "Tri.geojson").write_text('{"type":"MultiPolygon","coordinates":[[[[20,0],[30,0],[20,10],[20,0]]]]}')
     zones = readers.read_zones(spark, str(tmp_path / "*.geojson"))
     points = spark.createDataFrame([(1, 1.0, 1.0), (2, 5.0, 5.0), (3, 21.0, 1.0), (4, 29.0, 9.0), (5, None, 1.0)], "id int, x double, y double")
-    for cell, most in ((5.0, geo.MOST_POINTS), (None, geo.MOST_POINTS), (None, 0)):
-        monkeypatch.setattr(geo, "MOST_POINTS", most)
-        got = Counter((r.id, r.zone) for r in geo.assign_zone(points.unionByName(points), zones, cell=cell).collect())
+    for most in (geo.MOST_EDGES, 0):
+        monkeypatch.setattr(geo, "MOST_EDGES", most)
+        got = Counter((r.id, r.zone) for r in geo.assign_zone(points.unionByName(points), zones).collect())
         assert got == {(1, "Holed"): 2, (2, None): 2, (3, "Tri"): 2, (4, None): 2, (5, None): 2}
     nodes = spark.createDataFrame([], "x double, y double")
     assert geo.extent(nodes).first().minx is None
