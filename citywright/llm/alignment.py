@@ -6,6 +6,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -90,8 +91,10 @@ def chunk_starts(offsets: np.ndarray, data: np.ndarray, chunked: bool) -> np.nda
     white[2:] |= second[:-2]
     white[:-1] |= follows[1:]
     solid &= ~white
-    inner = np.flatnonzero((data[1:-1] == 0x20) & solid[:-2] & solid[2:]) + 1
-    return np.union1d(inner, starts)
+    begins = np.zeros(len(data), dtype=bool)
+    begins[1:-1] = (data[1:-1] == 0x20) & solid[:-2] & solid[2:]
+    begins[starts] = True
+    return np.flatnonzero(begins)
 
 
 class Encoded:
@@ -117,12 +120,16 @@ class Encoded:
                 self.row[c] = len(self.row)
             raw = [c.encode() for c in new]
             exact = np.ones(len(new), dtype=bool)
-            for k, (ids, table) in enumerate(zip(self.of.encode(new), (self.of.a_bytes, self.of.b_bytes), strict=True)):
-                sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-                flat = np.fromiter((i for one in ids for i in one), np.int32, int(sizes.sum()))
+            for k, (ids, table, size) in enumerate(zip(self.of.encode(new), (self.of.a_bytes, self.of.b_bytes), (self.of.a_size, self.of.b_size), strict=True)):
+                edges = np.concatenate(([0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))))
+                flat = np.fromiter(chain.from_iterable(ids), np.int32, int(edges[-1]))
+                reach = np.concatenate(([0], np.cumsum(size[flat])))[edges]
+                # all chunks at once, and one by one only if some differ
+                same = np.array_equal(np.diff(reach), np.fromiter(map(len, raw), np.int64, len(raw))) and b"".join([table[i] for i in flat.tolist()]) == b"".join(raw)
+                if not same:
+                    exact &= np.fromiter((b"".join([table[i] for i in one]) == r for one, r in zip(ids, raw, strict=True)), bool, len(new))
                 self.ids[k] = np.concatenate((self.ids[k], flat))
-                self.edges[k] = np.concatenate((self.edges[k], self.edges[k][-1] + np.cumsum(sizes)))
-                exact &= np.fromiter((b"".join([table[i] for i in one]) == r for one, r in zip(ids, raw, strict=True)), bool, len(new))
+                self.edges[k] = np.concatenate((self.edges[k], self.edges[k][-1] + edges[1:]))
             self.exact = np.concatenate((self.exact, exact))
         return np.fromiter((self.row[c] for c in chunks), np.int64, len(chunks))
 
@@ -149,21 +156,24 @@ def split_at_shared_cuts(a_ends: np.ndarray, b_ends: np.ndarray, a_cuts: np.ndar
     lo, hi, b_lo, b_hi = a_cuts[:-1], a_cuts[1:], b_cuts[:-1], b_cuts[1:]
     leaves_a, leaves_b = [], []
     while len(lo):
-        middle, cut, b_cut = (lo + hi - 1) // 2, np.full(len(lo), -1), np.full(len(lo), -1)
+        middle, cut = (lo + hi - 1) // 2, np.full(len(lo), -1)
         trying = np.flatnonzero((hi - lo > 1) & (b_hi - b_lo > 1))
-        near, width = 0, 1
+        b_cut = np.searchsorted(b_ends, a_ends[middle])
+        hit = b_ends[b_cut[trying]] == a_ends[middle[trying]]
+        cut[trying[hit]] = middle[trying[hit]]
+        trying, near, width = trying[~hit], 1, 2
         while len(trying):
             left = np.maximum(lo[trying], middle[trying] - near - width + 1)
             right = np.minimum(hi[trying] - 2, middle[trying] + near + width - 1)
             n_left = np.maximum(middle[trying] - near - left + 1, 0)
-            n_right = np.maximum(right - (middle[trying] + max(near, 1)) + 1, 0)
+            n_right = np.maximum(right - (middle[trying] + near) + 1, 0)
             many = n_left + n_right
             at = np.empty(int(many.sum()), dtype=np.int64)
             begin = np.cumsum(many) - many
             at[_ranges(begin, n_left)] = _ranges(left, n_left)
-            at[_ranges(begin + n_left, n_right)] = _ranges(middle[trying] + max(near, 1), n_right)
+            at[_ranges(begin + n_left, n_right)] = _ranges(middle[trying] + near, n_right)
             found = np.searchsorted(b_ends, a_ends[at])
-            shared = b_ends[np.minimum(found, len(b_ends) - 1)] == a_ends[at]
+            shared = b_ends[found] == a_ends[at]
             owner = np.repeat(np.arange(len(trying)), many)[shared]
             at, found = at[shared], found[shared]
             # of an interval's shared ends the one nearest to the middle, the left one of two
@@ -178,8 +188,9 @@ def split_at_shared_cuts(a_ends: np.ndarray, b_ends: np.ndarray, a_cuts: np.ndar
         leaves_a.append(lo[leaf])
         leaves_b.append(b_lo[leaf])
         go = ~leaf
-        lo, hi = np.concatenate((lo[go], cut[go] + 1)), np.concatenate((cut[go] + 1, hi[go]))
-        b_lo, b_hi = np.concatenate((b_lo[go], b_cut[go] + 1)), np.concatenate((b_cut[go] + 1, b_hi[go]))
+        # both halves side by side, so that intervals stay in order
+        lo, hi = np.stack((lo[go], cut[go] + 1), axis=1).ravel(), np.stack((cut[go] + 1, hi[go]), axis=1).ravel()
+        b_lo, b_hi = np.stack((b_lo[go], b_cut[go] + 1), axis=1).ravel(), np.stack((b_cut[go] + 1, b_hi[go]), axis=1).ravel()
     a = np.concatenate(leaves_a) if leaves_a else np.zeros(0, np.int64)
     b = np.concatenate(leaves_b) if leaves_b else np.zeros(0, np.int64)
     order = np.argsort(a, kind="stable")
@@ -234,11 +245,12 @@ def _aligned(offsets: np.ndarray, data: np.ndarray, encoded: Encoded, labels: np
     n_groups = np.diff(np.searchsorted(a_first, a_cuts))
     a_at, b_at = _links(a_ends, b_ends)
     owner = np.searchsorted(a_cuts, a_at, side="right") - 1
-    pairs, number = np.unique((a_ids[a_at].astype(np.int64) << 32) | b_ids[b_at], return_inverse=True)
-    each, links = np.unique(owner * max(1, len(pairs)) + number, return_counts=True)
-    owner_of, number = np.divmod(each, max(1, len(pairs)))
+    # text, A's id and B's id in one number: no run has enough texts for that to overflow
+    each, links = np.unique((owner * len(of.a_bytes) + a_ids[a_at]) * len(of.b_bytes) + b_ids[b_at], return_counts=True)
+    each, pair_b = np.divmod(each, len(of.b_bytes))
+    owner_of, pair_a = np.divmod(each, len(of.a_bytes))
     figures = {"n_a": n_a, "n_b": n_b, "n_groups": n_groups, "n_links": np.bincount(owner, minlength=docs)}
-    return figures, groups, np.searchsorted(owner_of, np.arange(docs + 1)), pairs[number], links
+    return figures, groups, np.searchsorted(owner_of, np.arange(docs + 1)), (pair_a << 32) | pair_b, links
 
 
 def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", byte_level: str = BYTE_LEVEL, pieces: str = PIECES) -> DataFrame:
