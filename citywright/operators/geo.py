@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import in_bounds, web_mercator
+from ..storage import checkpointed
 
 
 def reproject_plans(points: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
@@ -152,7 +153,7 @@ def assign_zone(points: DataFrame, zones: DataFrame) -> DataFrame:
     where they are; a larger one is joined by cell.
     """
     names = [c for c in points.columns if c != "zone"]
-    edges = zone_edges(zones)
+    edges = checkpointed(zone_edges(zones))
     grid, size = zone_grid(edges)
     if grid is None:
         return points.select(*names, F.lit(None).cast(zones.schema["zone"].dataType).alias("zone"))
