@@ -303,41 +303,109 @@ def independent_joint(df: DataFrame, spec: Spec, section: str) -> DataFrame:
     return cells_long(out.select("section", number.alias("cell_no"), F.when(power != 0, value / power).otherwise(0.0).alias("value")), spec)
 
 
+def blocked_categories(rows: np.ndarray, cols: np.ndarray, allowed: np.ndarray) -> tuple[float, np.ndarray]:
+    """(what of ``rows`` no table can place, the rows that cause it): the least set whose sum exceeds most that of all columns it can go to.
+
+    A greatest flow from rows to columns along ``allowed`` cells: greedy first, then along shortest augmenting paths. What it
+    cannot place is the least cut's excess, and the rows that can still be reached from unplaced ones are the cut's least set.
+    """
+    left, room, flow = rows.astype(np.float64), cols.astype(np.float64), np.zeros(allowed.shape)
+    least = 1e-12 * max(left.sum(), room.sum(), 1.0)
+    for i, j in zip(*np.nonzero(allowed), strict=True):
+        moved = min(left[i], room[j])
+        flow[i, j], left[i], room[j] = moved, left[i] - moved, room[j] - moved
+    while True:
+        reached = left > least
+        from_row, from_col = np.full(len(cols), -1), np.full(len(rows), -1)
+        fresh, end = np.flatnonzero(reached), -1
+        while len(fresh) and end < 0:
+            news = np.flatnonzero(allowed[fresh].any(axis=0) & (from_row < 0))
+            if not len(news):
+                break
+            from_row[news] = fresh[allowed[np.ix_(fresh, news)].argmax(axis=0)]
+            open_ = news[room[news] > least]
+            if len(open_):
+                end = int(open_[0])
+                break
+            back = flow[:, news] > least
+            fresh = np.flatnonzero(back.any(axis=1) & ~reached)
+            from_col[fresh] = news[back[fresh].argmax(axis=1)]
+            reached[fresh] = True
+        if end < 0:
+            return float(left[left > least].sum()), reached
+        path, j = [], end
+        while True:
+            i = int(from_row[j])
+            path.append((i, j))
+            if from_col[i] < 0:
+                break
+            j = int(from_col[i])
+            path.append((i, j))
+        moved = min(left[path[-1][0]], room[end], *[flow[c] for c in path[1::2]])
+        for k, c in enumerate(path):
+            flow[c] += moved if k % 2 == 0 else -moved
+        left[path[-1][0]] -= moved
+        room[end] -= moved
+
+
+def feasibility(wants: Sequence[np.ndarray], support: np.ndarray, max_error: float, fitted: float = FITTED) -> tuple[bool | None, list[tuple[int, int]]]:
+    """(whether no table has these 1-D sums, the categories that show it, as (dimension, place)).
+
+    ``support`` is true for the cells that can occur. For two dimensions the answer is exact. For more, each pair of dimensions must have
+    a table, which is necessary; a fit that meets the sums (``max_error``), or no cell ruled out, is sufficient; else it is None.
+    """
+    totals, n = [float(np.sum(w)) for w in wants], len(wants)
+    small = 1e-9 * max(*totals, 1.0)
+    bad: set[tuple[int, int]] = set()
+    shown = max(totals) - min(totals) > small
+    live = support & reduce(np.logical_and, [(np.asarray(w) != 0).reshape([-1 if a == k else 1 for a in range(n)]) for k, w in enumerate(wants)])
+    for k, other in combinations(range(n), 2):
+        allowed = live.any(axis=tuple(a for a in range(n) if a not in (k, other)))
+        for one, two, cells in ((k, other, allowed), (other, k, allowed.T)):
+            excess, rows = blocked_categories(np.asarray(wants[one]), np.asarray(wants[two]), cells)
+            if excess > small:
+                shown = True
+                bad |= {(one, int(p)) for p in np.flatnonzero(rows)}
+    if shown:
+        return True, sorted(bad)
+    return (False if n == 2 or support.all() or max_error <= fitted else None), []
+
+
 def ipf_report(df: DataFrame, spec: Spec, section: str, nulls: str = "error", projection: str = "any", rounds: int = MOST_ROUNDS, fitted: float = FITTED, stalled: float = STALLED) -> DataFrame:
-    """(section, rounds, last_error, max_error, converged, infeasible) of each section's fit.
+    """(section, rounds, last_error, max_error, converged, infeasible, blocked) of each section's fit.
 
     last_error is that of the last step's own targets when it stopped, after so many rounds; max_error is the greatest relative
-    distance of the cells' sums from the 1-D targets. A section converged if the former is small enough. It is infeasible if no fit can
-    reach its 1-D targets: its dimensions' totals differ, or a target that is not 0 has no possible cell whose other targets are not 0.
+    distance of the cells' sums from the 1-D targets. A section converged if the former is small enough. ``infeasible`` says whether no table
+    of possible cells has the section's 1-D targets as its sums, which a greatest flow decides for two dimensions; for more it is null where
+    neither the fit nor a pair of dimensions settles it. ``blocked`` names the categories, in the order of the dimensions, whose targets
+    are together greater than those of all categories they can occur with.
     """
     from_cells = _fitted_rows(df, spec, section, nulls, projection, rounds, fitted, stalled)
-    shape, gone = spec.shape, sorted(spec.valid_impossible())
+    shape = spec.shape
+    support = _cleared(shape, 1, spec.valid_impossible())[0] != 0
     # one fit serves for the tensor's sums and for the figures of the fit
     wanted = F.array(*[F.array(*[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)) for c in d]) for d in spec.dims])
     both = from_cells.join(df.select(F.col(f"`{section}`").cast("string").alias("section"), wanted.alias("wanted")), "section")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            worst, stuck = [], []
+            worst, stuck, names = [], [], []
             for cells, wants in zip(frame["cells"], frame["wanted"], strict=True):
-                tensor = np.asarray(cells).reshape(shape)
-                support = _cleared(shape, 1, set(gone))[0]
-                for k, want in enumerate(wants):
-                    support = support * (np.asarray(want) != 0).reshape([-1 if a == k else 1 for a in range(len(shape))])
-                off, none = 0.0, len({round(float(np.sum(w)), 6) for w in wants}) > 1
+                tensor, wants = np.asarray(cells).reshape(shape), [np.asarray(w) for w in wants]
+                off = 0.0
                 for k, want in enumerate(wants):
-                    others, want = tuple(a for a in range(len(shape)) if a != k), np.asarray(want)
-                    have = tensor.sum(axis=others)
+                    have = tensor.sum(axis=tuple(a for a in range(len(shape)) if a != k))
                     with np.errstate(divide="ignore", invalid="ignore"):
                         apart = np.abs(have / want - 1)
                     off = max(off, float(np.where(np.isnan(apart), 0, apart).max()))
-                    none = none or bool(((want != 0) & (support.sum(axis=others) == 0)).any())
+                none, bad = feasibility(wants, support, off, fitted)
                 worst.append(off)
                 stuck.append(none)
-            yield pd.DataFrame({"section": frame["section"], "rounds": frame["rounds"], "last_error": frame["error"], "max_error": worst, "infeasible": stuck})
+                names.append([spec.dims[k][p] for k, p in bad])
+            yield pd.DataFrame({"section": frame["section"], "rounds": frame["rounds"], "last_error": frame["error"], "max_error": worst, "infeasible": pd.Series(stuck, dtype="boolean", index=frame.index), "blocked": names})
 
-    figures = both.mapInPandas(run, "section string, rounds long, last_error double, max_error double, infeasible boolean")
-    return figures.select("section", "rounds", "last_error", "max_error", (F.col("last_error") <= fitted).alias("converged"), "infeasible")
+    figures = both.mapInPandas(run, "section string, rounds long, last_error double, max_error double, infeasible boolean, blocked array<string>")
+    return figures.select("section", "rounds", "last_error", "max_error", (F.col("last_error") <= fitted).alias("converged"), "infeasible", "blocked")
 
 
 def possible_places(spec: Spec) -> list[tuple[int, ...]]:

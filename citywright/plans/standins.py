@@ -14,6 +14,8 @@ PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 STATUSES = ["F", "O", "P"]
 IMPOSSIBLE = [("AUTOMOBILE", "1-URGENT"), ("BUILDING", "nowhere")]
 SPEC_2D = Spec([SEGMENTS, PRIORITIES], IMPOSSIBLE)
+#: Two segments that can only have the two first priorities.
+SPEC_BLOCKED = Spec([SEGMENTS, PRIORITIES], [(a, b) for a in SEGMENTS[:2] for b in PRIORITIES[2:]])
 SPEC_FREE = Spec([SEGMENTS, PRIORITIES])
 SPEC_3D = Spec([SEGMENTS, PRIORITIES, STATUSES])
 SPEC_3D_IMPOSSIBLE = Spec([SEGMENTS, PRIORITIES, STATUSES], [("AUTOMOBILE", "1-URGENT", "P")])

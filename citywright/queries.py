@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from itertools import permutations, product
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -167,16 +168,49 @@ def type_count(spark, sf_dir):
     return fitting.type_count(fitting.ipf(st.census(spark, sf_dir), st.SPEC_3D, "section"))
 
 
+def _feasible(spec: fitting.Spec) -> str:
+    """CTEs up to ``feasible`` (section, shown, blocked): for every pair of dimensions, the set of categories whose sum exceeds most that of all it can meet, of all sets."""
+    dims, gone = spec.dims, spec.valid_impossible()
+    parts, ctes = [], []
+    for one, two in permutations(range(len(dims)), 2):
+        rest = [a for a in range(len(dims)) if a not in (one, two)]
+
+        def allowed(i: int, j: int) -> str:
+            place = {one: i, two: j}
+            ways = [dict(zip(rest, p, strict=True)) for p in product(*[range(len(dims[a])) for a in rest])]
+            possible = [w for w in ways if tuple((place | w)[a] for a in range(len(dims))) not in gone]
+            return "(" + " OR ".join(" AND ".join(["true", *[f'"{dims[a][k]}" <> 0' for a, k in w.items()]]) for w in possible) + ")" if possible else "false"
+
+        own = " + ".join(f'CASE WHEN m & {1 << i} <> 0 THEN "{c}" ELSE 0 END' for i, c in enumerate(dims[one]))
+        met = " + ".join(f'CASE WHEN {" OR ".join(f"(m & {1 << i} <> 0 AND {allowed(i, j)})" for i in range(len(dims[one])))} THEN "{c}" ELSE 0 END' for j, c in enumerate(dims[two]))
+        name = f"set{one}{two}"
+        ctes.append(f"{name} AS (SELECT section, m, {own} - ({met}) AS excess FROM census, range(1, {1 << len(dims[one])}) AS r(m)), {name}_best AS (SELECT section, max(excess) AS excess, arg_min(m, (-excess, bit_count(m))) AS m FROM {name} GROUP BY section)")
+        parts += [f"SELECT section, {one} AS dim, {i} AS place, '{c}' AS name FROM {name}_best WHERE excess > 0 AND m & {1 << i} <> 0" for i, c in enumerate(dims[one])]
+    totals = [" + ".join(f'"{c}"' for c in d) for d in dims]
+    unequal = " OR ".join(f"{totals[0]} <> {t}" for t in totals[1:])
+    return f""", {', '.join(ctes)}, bad AS ({' UNION '.join(parts)}),
+feasible AS (SELECT c.section, any_value({unequal}) OR count(name) > 0 AS shown, coalesce(string_agg(name, ',' ORDER BY dim, place), '') AS blocked FROM census c LEFT JOIN bad b ON b.section = c.section GROUP BY c.section)"""
+
+
 _TRIPLE_SUMS = "SELECT section, max(greatest(o1, o2, o3)) AS e FROM (SELECT section, " + ", ".join(
     f"CASE WHEN t{k} <> 0 THEN abs(sum(v) OVER (PARTITION BY section, d{k}) / t{k} - 1) ELSE 0 END AS o{k}" for k in (1, 2, 3)
 ) + " FROM fit JOIN d1 USING (section, d1) JOIN d2 USING (section, d2) JOIN d3 USING (section, d3)) GROUP BY section"
 
 
 @query(f"""{IMPOSSIBLE_3D}, off AS ({_TRIPLE_SUMS}), ends AS (SELECT section, max(rnd) AS rnd, max(err) AS err FROM fit GROUP BY section)
-SELECT section, rnd AS rounds, round(err, 5) AS last_error, round(off.e, 5) AS max_error, err <= {fitting.FITTED} AS converged, false AS infeasible FROM ends JOIN off USING (section)""")
+{_feasible(st.SPEC_3D_IMPOSSIBLE)}
+SELECT section, rnd AS rounds, round(err, 5) AS last_error, round(off.e, 5) AS max_error, err <= {fitting.FITTED} AS converged, CASE WHEN shown THEN true WHEN off.e <= {fitting.FITTED} THEN false END AS infeasible, blocked FROM ends JOIN off USING (section) JOIN feasible USING (section)""")
 def ipf_report(spark, sf_dir):
     """Rounds, last errors, and distance of the fitted sums from the 1-D targets, where the impossible triple leaves no exact fit of its projections."""
-    return _rounded(fitting.ipf_report(st.census(spark, sf_dir), st.SPEC_3D_IMPOSSIBLE, "section"), 5)
+    report = fitting.ipf_report(st.census(spark, sf_dir), st.SPEC_3D_IMPOSSIBLE, "section")
+    return _rounded(report.withColumn("blocked", F.array_join("blocked", ",")), 5)
+
+
+@query(f"WITH {CENSUS}{_feasible(st.SPEC_BLOCKED)} SELECT section, shown AS infeasible, blocked FROM feasible")
+def ipf_feasibility(spark, sf_dir):
+    """Sections in which two segments have more orders than the two priorities they can have, by a greatest flow."""
+    report = fitting.ipf_report(st.census(spark, sf_dir), st.SPEC_BLOCKED, "section", rounds=50)
+    return report.select("section", "infeasible", F.array_join("blocked", ",").alias("blocked"))
 
 
 _PAIRS = " UNION ALL ".join(f"SELECT '{a}' AS d1, '{b}' AS d2" for a in st.SEGMENTS for b in st.PRIORITIES)

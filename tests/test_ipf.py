@@ -1,4 +1,5 @@
 import math
+from itertools import combinations
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -149,6 +150,43 @@ def test_report_tells_what_cannot_be_fitted(spark):
     assert got["fits"].converged and got["fits"].max_error < 1e-5 and not got["unequal"].converged and got["no cell"].max_error >= 1
 
 
+def test_report_finds_categories_that_have_too_little_to_go_to(spark):
+    spec = m.Spec([["a", "b"], XY], [("a", "y")])
+    rows = [("too much", 10.0, 5.0, 5.0, 10.0), ("just", 5.0, 10.0, 5.0, 10.0), ("zero", 0.0, 0.0, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "section string, a double, b double, x double, y double")
+    got = {r.section: (r.infeasible, r.blocked) for r in m.ipf_report(df, spec, "section").collect()}
+    assert got == {"too much": (True, ["a", "y"]), "just": (False, []), "zero": (False, [])}
+
+
+def test_greatest_flow_equals_a_search_over_all_sets():
+    rng = np.random.default_rng(11)
+    for _ in range(300):
+        n, k = rng.integers(1, 7), rng.integers(1, 6)
+        rows, cols = rng.integers(0, 12, n).astype(float), rng.integers(0, 12, k).astype(float)
+        allowed = rng.random((n, k)) < 0.45
+        best, least = 0.0, ()
+        for size in range(1, n + 1):
+            for some in combinations(range(n), size):
+                excess = rows[list(some)].sum() - cols[allowed[list(some)].any(axis=0)].sum()
+                if excess > best:
+                    best, least = excess, some
+        excess, blocked = m.blocked_categories(rows, cols, allowed)
+        assert abs(excess - best) < 1e-9
+        assert tuple(np.flatnonzero(blocked)) == least
+
+
+def test_feasibility_of_more_dimensions_is_unknown_where_nothing_settles_it():
+    support = np.ones((2, 2, 2), dtype=bool)
+    wants = [np.array([3.0, 5.0])] * 3
+    assert m.feasibility(wants, support, 1.0) == (False, [])
+    support[0, 0, 0] = False
+    assert m.feasibility(wants, support, 1.0) == (None, []) and m.feasibility(wants, support, 1e-9) == (False, [])
+    support[0, 0, 1] = support[0, 1, 0] = False
+    # of the first categories, only 0, 1, 1 is left: the first of a dimension has to go with the second of the others
+    assert m.feasibility([np.array([6.0, 2.0])] * 3, support, 1.0)[0] is True
+    assert m.feasibility([np.array([3.0, 5.0]), np.array([3.0, 4.0]), np.array([3.0, 5.0])], support, 1.0)[0] is True
+
+
 def test_unique_columns(spark):
     df = spark.createDataFrame([(1, "a", None), (2, "a", "z")], "k int, same string, hole string")
     got = {r.column: (r.n_distinct, r.is_unique) for r in m.unique_columns(df).collect()}
