@@ -253,40 +253,53 @@ def order_cells(joint: DataFrame) -> DataFrame:
 def ipf_long(cells: DataFrame, layers: list[list[str]], targets: list[DataFrame], rounds: int = MOST_ROUNDS, by: str | None = "section", fitted: float = FITTED, stalled: float = STALLED) -> DataFrame:
     """``cells`` ([by,] keys, weight) with ``value``, ``rounds`` and ``error``, for tensors too large for one task.
 
-    ``targets``: for each layer a table ([by,] its keys, target). A section's cells lie anywhere: slice sums are partial
-    aggregates that are joined back, by broadcast up to ``MOST_SLICES`` slices, so that cells are not shuffled. Each section ends by the stop
-    rule of ``fit_batch``. A round is written to the shared folder, so plans stay short.
+    ``targets``: for each layer a table ([by,] its keys, target); a slice without a target has 0. Cells lie anywhere and are never written or
+    changed: a fitted value is the weight times a factor for each layer's slice, so a round reads the cells once for each layer and once more
+    for each but the last, to sum them by slice, and writes only the tables of slices with their factors, as logarithms, since factors of a fit
+    without end grow beyond all bounds. Factors are broadcast up to ``MOST_SLICES`` slices, so that cells are not shuffled; sums are partial
+    aggregates. Each section ends by the stop rule of ``fit_batch``. Cells should be a stored table, as they are read in every round.
     """
-    key = [by] if by else []
-    state = cells.withColumn("value", F.col("weight").cast("double"))
-    marks = (cells.select(by).distinct() if by else cells.sparkSession.range(1)).withColumns({"error": F.lit(float("inf")), "rounds": F.lit(0), "live": F.lit(True)})
+    key, last = [by] if by else [], len(layers) - 1
     few = [t.count() <= MOST_SLICES for t in targets]
     hinted = lambda table, short: F.broadcast(table) if short else table
     with_section = lambda df, table: df.join(hinted(table, few[0]), by) if by else df.join(F.broadcast(table))
     inf = float("inf")
+    tables: dict[int, DataFrame] = {}
+
+    def valued() -> DataFrame:
+        df, power = cells, F.lit(0.0)
+        for k, table in tables.items():
+            df = df.join(hinted(table.select(*key, *layers[k], F.col("log").alias(f"_log{k}")), few[k]), key + layers[k], "left")
+            power = power + F.coalesce(f"_log{k}", F.lit(0.0))
+        return df.withColumn("value", F.col("weight").cast("double") * F.exp(power)).drop(*[f"_log{k}" for k in tables])
+
+    def summed(k: int) -> DataFrame:
+        """(keys, goal, log, have) of the layer's slices at the present factors."""
+        known = tables[k].select(*key, *layers[k], "goal", "log") if k in tables else targets[k].select(*key, *layers[k], F.col("target").alias("goal"), F.lit(0.0).alias("log"))
+        sums = valued().groupBy(*key, *layers[k]).agg(F.sum("value").alias("have"))
+        return sums.join(hinted(known, few[k]), key + layers[k], "left").select(*key, *layers[k], F.coalesce("goal", F.lit(0.0)).alias("goal"), F.coalesce("log", F.lit(0.0)).alias("log"), "have")
+
+    sums = [checkpointed(summed(0))]
+    marks = (sums[0].select(by).distinct() if by else cells.sparkSession.range(1)).withColumns({"error": F.lit(inf), "rounds": F.lit(0), "live": F.lit(True)})
     for _ in range(rounds):
-        state = with_section(state, marks.select(*key, "live"))
-        for k, layer in enumerate(layers):
-            factor = _slices(state, targets[k], key + layer).select(*key, *layer, F.when(F.col("have") != 0, F.coalesce("target", F.lit(0.0)) / F.col("have")).otherwise(1.0).alias("factor"))
-            state = state.join(hinted(factor, few[k]), key + layer, "left").withColumn("value", F.when(F.col("live"), F.col("value") * F.coalesce("factor", F.lit(1.0))).otherwise(F.col("value"))).drop("factor")
-        state = checkpointed(state.drop("live"))
-        parts = []
-        for layer, target in zip(layers, targets, strict=True):
-            goal = F.coalesce("target", F.lit(0.0))
-            off = F.when(goal != 0, F.abs(F.col("have") / goal - 1)).otherwise(F.when(F.col("have") == 0, 0.0).otherwise(inf))
-            parts.append(_slices(state, target, key + layer).groupBy(*key).agg(F.max(off).alias("now")))
+        for k in range(last + 1):
+            have = sums[0] if k == 0 else summed(k)
+            step = F.when(F.col("goal") == 0, -inf).otherwise(F.log(F.col("goal") / F.col("have")))
+            moved = with_section(have, marks.select(*key, "live")).withColumn("log", F.when(F.col("live") & (F.col("have") != 0), F.col("log") + step).otherwise(F.col("log"))).drop("live")
+            # the first layer's follow from sums that are written already
+            tables[k] = moved if k == 0 < last else checkpointed(moved)
+        sums = [checkpointed(summed(k)) for k in range(max(1, last))]
+        goal, now = F.col("goal"), F.col("have")
+        off = F.when(goal != 0, F.abs(now / goal - 1)).otherwise(F.when(now == 0, 0.0).otherwise(inf))
+        # the last layer meets its goals, but for slices that are empty
+        parts = [t.select(*key, off.alias("now")) for t in sums[:last]] + [tables[last].select(*key, F.when((now == 0) & (goal != 0), inf).otherwise(0.0).alias("now"))]
         worst = reduce(DataFrame.unionByName, parts).groupBy(*key).agg(F.max("now").alias("now"))
         ended = (F.col("now") <= fitted) | ((F.col("now") < inf) & (F.col("error") < inf) & (F.abs(F.col("now") - F.col("error")) <= stalled))
         marks = with_section(marks, worst).select(*key, F.when(F.col("live"), F.col("now")).otherwise(F.col("error")).alias("error"), (F.col("rounds") + F.col("live").cast("int")).alias("rounds"), (F.col("live") & ~ended).alias("live"))
         marks, going = checkpointed_with_any(marks, F.col("live"))
         if not going:
             break
-    return with_section(state, marks.select(*key, "rounds", "error"))
-
-
-def _slices(state: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, have, target) of each slice."""
-    return state.groupBy(*keys).agg(F.sum("value").alias("have")).join(target, keys, "left")
+    return with_section(valued(), marks.select(*key, "rounds", "error"))
 
 
 def independent_joint(df: DataFrame, spec: Spec, section: str) -> DataFrame:

@@ -16,7 +16,7 @@ from .plans import standins as st
 from .plans.workloads import collected_flows, joint_distribution, legs_and_trips
 from .sources import readers, writers
 from .sources.readers import INDICATOR, union_iterations
-from .storage import shared_path
+from .storage import checkpointed, shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -75,10 +75,10 @@ def ipf_2d_impossible(spark, sf_dir):
 
 
 def _long_fit(spark, sf_dir):
-    census = st.census(spark, sf_dir)
+    census = checkpointed(st.census(spark, sf_dir))
     spec = st.SPEC_2D
     target = lambda k: census.select("section", F.explode(F.array(*[F.struct(F.lit(c).alias(f"d{k}"), F.col(f"`{c}`").alias("target")) for c in spec.dims[k - 1]])).alias("x")).select("section", "x.*")
-    cells = census.select("section").join(F.broadcast(fitting.all_cells(spark, spec)))
+    cells = checkpointed(census.select("section").join(F.broadcast(fitting.all_cells(spark, spec))))
     return fitting.ipf_long(cells, [["d1"], ["d2"]], [target(1), target(2)])
 
 

@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 
 from citywright.operators import ipf as m
 from citywright.plans.workloads import joint_distribution
+from citywright.storage import checkpointed
 
 ABC, XY, PQ = ["a", "b", "c"], ["x", "y"], ["p", "q"]
 
@@ -141,6 +142,32 @@ def test_long_form_stops_as_the_batch_does(spark, monkeypatch):
             assert math.isclose(r.value, joint[r.section].ravel()[r.cell_no], rel_tol=1e-9, abs_tol=1e-12) and r.rounds == ran[r.section] and math.isclose(r.error, error[r.section], abs_tol=1e-12)
 
 
+def test_long_form_never_writes_cells(spark, monkeypatch):
+    """Only tables of slices are written, and one total of all cells needs no section."""
+    spec = m.Spec([ABC, XY], [("b", "x")])
+    written = []
+    monkeypatch.setattr(m, "checkpointed", lambda df: (written.append(set(df.columns)), checkpointed(df))[1])
+    cells = m.all_cells(spark, spec)
+    target = lambda k, names, values: spark.createDataFrame(list(zip(names, values, strict=True)), f"d{k} string, target double")
+    got = m.ipf_long(cells, [["d1"], ["d2"]], [target(1, ABC, [3.0, 2.0, 5.0]), target(2, XY, [4.0, 6.0])], by=None).collect()
+    want = m.fit_sections([np.array([[3.0, 2.0, 5.0]]), np.array([[4.0, 6.0]])], spec)[0].ravel()
+    assert all(math.isclose(r.value, want[r.cell_no], abs_tol=1e-9) for r in got) and len(got) == 6
+    assert all(c in ({"d1", "goal", "log", "have"}, {"d2", "goal", "log", "have"}) for c in written)
+
+
+def test_long_form_with_three_layers_and_targets_that_cannot_be_met(spark):
+    spec = m.Spec([ABC, XY, PQ], [("a", "x", "p")])
+    rng = np.random.default_rng(3)
+    joint = rng.integers(1, 9, (3, 2, 2)).astype(float)
+    joint[0, 0, 0] = 0
+    wants = [joint.sum(axis=tuple(a for a in range(3) if a != k)) for k in range(3)]
+    wants[2] = wants[2] * np.array([1.0, 0.0])  # no q: totals differ, and cells with q die out
+    want, ran, error = m.fit_batch(m._cleared(spec.shape, 1, spec.valid_impossible()), [w[None] for w in wants], [(0,), (1,), (2,)], rounds=8)
+    target = lambda k: spark.createDataFrame(list(zip(spec.dims[k - 1], wants[k - 1].tolist(), strict=True)), f"d{k} string, target double")
+    got = m.ipf_long(m.all_cells(spark, spec), [["d1"], ["d2"], ["d3"]], [target(1), target(2), target(3)], by=None, rounds=8).collect()
+    assert all(math.isclose(r.value, want.ravel()[r.cell_no], rel_tol=1e-9, abs_tol=1e-9) and r.rounds == ran[0] for r in got)
+
+
 def test_report_tells_what_cannot_be_fitted(spark):
     spec = m.Spec([ABC, XY], [("a", "x"), ("a", "y")])
     rows = [("no cell", 1.0, 2.0, 3.0, 3.0, 3.0), ("fits", 0.0, 2.0, 3.0, 1.0, 4.0), ("unequal", 0.0, 2.0, 3.0, 3.0, 4.0)]
