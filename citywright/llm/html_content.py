@@ -11,9 +11,10 @@ from __future__ import annotations
 import html as entities
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from hashlib import blake2b
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,7 +22,11 @@ from pyspark.sql import functions as F
 from .scratch import stored
 
 # Elements by what they do to text.
-RAW = frozenset("script style noscript template iframe textarea select svg math object title".split())
+RAW = frozenset("script style noscript template iframe textarea select svg object title annotation annotation-xml".split())
+#: Of these, elements that can hold others of their kind, and those that an end at their opening tag (``/>``) closes.
+NESTED, EMPTY_TAG = frozenset("svg object template noscript".split()), frozenset("svg annotation annotation-xml".split())
+#: An element of these that is never closed holds the rest of the page; of others without an end only the tag goes.
+TO_THE_END = frozenset("script style textarea title".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul head".split())
 #: Elements that an opening tag of one of these ends, if they are open inside the nearest of the given ancestors.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table", "tbody", "thead", "tfoot"}), "td": ({"td", "th"}, {"tr"}), "th": ({"td", "th"}, {"tr"}), "option": ({"option"}, {"select"})}
@@ -43,8 +48,10 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>\"']*(?:
 #: Name and value of every attribute in turn, so that nothing is found inside a value or as a part of a name.
 ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
-#: References of a host: the smallest page of each of its commonest layouts. Pages of other layouts are aligned with the nearest one.
-REFERENCES = 4
+#: References of a host: the smallest page of each of its commonest layouts. Pages of other layouts are aligned with the nearest of the first few.
+REFERENCES, COMPARED = 64, 4
+#: Lists with more kinds of items than this on both sides are aligned by the items' shapes and by equal items.
+MOST_KINDS = 200
 #: A layout is the set of paths to containers of this depth at most.
 LAYOUT_DEPTH = 5
 #: The article is the smallest container with this share of all varying text. A long page's text counts as so many characters.
@@ -55,7 +62,7 @@ SAME_SHARE, LEAST_PAGES = 0.9, 3
 LIKE_SHARE = 0.7
 #: What a pair of nodes counts in alignment, and what the same text adds to it; the same classes add 1.
 PAIR, SAME_TEXT = 1 << 40, 1 << 20
-#: Outside of articles, blocks with more than this share of their characters in links are menus.
+#: Outside of articles, several links that make up more than this share of their blocks are a menu.
 LINK_SHARE = 0.6
 #: Wrappers are broadcast up to this many bytes for all hosts together, and joined by shuffling beyond.
 MOST_BROADCAST = 32 << 20
@@ -71,6 +78,7 @@ class Tree:
 
     def __init__(self, parent: list[int], tag: list[str], names: list[str], digest: list[int]):
         self.parent, self.tag, self.names, self.digest = parent, tag, names, digest
+        self._layout: int | None = None
         self.kids: list[list[int]] = [[] for _ in tag]
         for k in range(1, len(parent)):
             self.kids[parent[k]].append(k)
@@ -80,6 +88,11 @@ class Tree:
 
     def layout(self) -> int:
         """A hash of the paths to containers near the top, without the numbers that names hold."""
+        if self._layout is None:
+            self._layout = self._hashed_layout()
+        return self._layout
+
+    def _hashed_layout(self) -> int:
         paths, depth, seen = [""] * len(self), [0] * len(self), set()
         for k in range(1, len(self)):
             p = self.parent[k]
@@ -94,18 +107,31 @@ class Tree:
 
 
 class Block:
-    """A piece of text: its element, and what the element's name, role and classes say of it."""
+    """A piece of text: its element, what the element's name, role and classes say of it, the share of it in links and their number."""
 
-    __slots__ = ("node", "text", "outside", "perhaps", "article", "form", "linked")
+    __slots__ = ("node", "text", "outside", "perhaps", "article", "form", "linked", "links")
 
-    def __init__(self, node: int, text: str, outside: bool, perhaps: bool, article: int, form: int, linked: float):
-        self.node, self.text, self.outside, self.perhaps, self.article, self.form, self.linked = node, text, outside, perhaps, article, form, linked
+    def __init__(self, node: int, text: str, outside: bool, perhaps: bool, article: int, form: int, linked: float, links: int):
+        self.node, self.text, self.outside, self.perhaps, self.article, self.form, self.linked, self.links = node, text, outside, perhaps, article, form, linked, links
 
     @property
     def inside(self) -> bool:
         return self.article >= 0
 
 
+def _end_of(tag: str, html: str, end: int) -> int:
+    """Where the raw element whose opening tag ends at ``end`` is over."""
+    depth = 1
+    for m in re.compile(rf"<(/?){tag}(?![\w:-])[^>]*?(/?)>", re.I).finditer(html, end):
+        if m.group(1):
+            depth -= 1
+        elif tag in NESTED and not (m.group(2) and tag in EMPTY_TAG):
+            depth += 1
+        if depth == 0:
+            return m.end()
+    return len(html) if tag in TO_THE_END else end
+
+
 def parse(html: str) -> tuple[Tree, list[Block]]:
     """The tree of block elements and the blocks of text in page order."""
     parents, tags, classes, own = [-1], ["root"], [""], [[]]
@@ -113,18 +139,19 @@ def parse(html: str) -> tuple[Tree, list[Block]]:
     stack = [("", 0, False, False, -1, -1)]
     blocks: list[Block] = []
     text: list[str] = []
-    links, in_link = 0, 0
+    # characters in links and number of links of the open block, and whether a link is open
+    links, n_links, in_link = 0, 0, False
 
     def flush() -> None:
-        nonlocal links
+        nonlocal links, n_links
         if text:
             whole = " ".join("".join(text).split())
             text.clear()
             if whole:
                 _, node, outside, perhaps, article, form = stack[-1]
                 own[node].append(whole)
-                blocks.append(Block(node, whole, outside, perhaps, article, form, links / len(whole)))
-            links = 0
+                blocks.append(Block(node, whole, outside, perhaps, article, form, links / len(whole), n_links))
+            links, n_links = 0, int(in_link)
 
     def add(piece: str) -> None:
         nonlocal links
@@ -150,29 +177,34 @@ def parse(html: str) -> tuple[Tree, list[Block]]:
         tag = tag.lower()
         if m.group(1):
             if tag == "a":
-                in_link = 0
+                in_link = False
             elif tag in BLOCK:
                 for depth in range(len(stack) - 1, 0, -1):
                     if stack[depth][0] == tag:
+                        # a link that is not closed ends with the block around it
+                        in_link = False
                         flush()
                         del stack[depth:]
                         break
             continue
         if tag in RAW:
-            close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, end)
-            at = end = close.end() if close else size
+            if not (tag in EMPTY_TAG and m.group(3).endswith("/")):
+                at = end = _end_of(tag, html, end)
             continue
         if tag == "br":
             text.append(" ")
             continue
         if tag == "a":
-            in_link = 1
+            # a link ends the one before; an anchor without an address is none
+            in_link = any(name.lower() == "href" for name, *_ in ATTRIBUTE.findall(m.group(3)))
+            n_links += in_link
             continue
         if tag not in BLOCK:
             continue
         # a block element ends an open paragraph
         for depth in range(len(stack) - 1, 0, -1):
             if stack[depth][0] == "p":
+                in_link = False
                 flush()
                 del stack[depth:]
                 break
@@ -235,48 +267,164 @@ def _judge_forms(blocks: list[Block]) -> None:
             b.outside = True
 
 
+class _Kinds:
+    """Subtrees of two trees by number: equal numbers are equal subtrees, and ``score`` compares two numbers.
+
+    Texts and class names that only one of the trees has can match nothing, so they are left out first: rows
+    of a list that differ in such texts only are of one kind.
+    """
+
+    def __init__(self, a: Tree, b: Tree):
+        texts, names = set(a.digest) & set(b.digest) - {0}, set(a.names) & set(b.names)
+        self.number: dict[tuple, int] = {}
+        self.tag, self.text, self.name, self.kids, self.whole, self.shape = [], [], [], [], [], []
+        self.of = [self._numbered(t, side, texts, names) for side, t in enumerate((a, b))]
+        self.known: dict[tuple[int, int], int] = {}
+
+    def _numbered(self, tree: Tree, side: int, texts: set[int], names: set[str]) -> list[int]:
+        out = [0] * len(tree)
+        for k in range(len(tree) - 1, -1, -1):
+            text = tree.digest[k] if tree.digest[k] in texts else 0
+            name = tree.names[k] if tree.names[k] in names else side
+            out[k] = self._of(tree.tag[k], text, name, tuple([out[c] for c in tree.kids[k]]))
+        return out
+
+    def _of(self, tag: str, text: int, name: str | int, kids: tuple[int, ...]) -> int:
+        key = (tag, text, name, kids)
+        n = self.number.get(key)
+        if n is None:
+            bare = all(self.shape[c] == c for c in kids) and not text
+            n = self.number[key] = len(self.tag)
+            self.tag.append(tag)
+            self.text.append(text)
+            self.name.append(name)
+            self.kids.append(kids)
+            self.whole.append(PAIR + (SAME_TEXT if text else 0) + 1 + sum([self.whole[c] for c in kids]))
+            self.shape.append(n)
+            if not bare:
+                self.shape[n] = self._of(tag, 0, name, tuple([self.shape[c] for c in kids]))
+        return n
+
+    def alone(self, x: int, y: int) -> int:
+        return PAIR + (SAME_TEXT if self.text[x] and self.text[x] == self.text[y] else 0) + (self.name[x] == self.name[y])
+
+    def score(self, x: int, y: int) -> int:
+        """The best alignment's score of two kinds of one tag, without recursion."""
+        todo = [(x, y)]
+        while todo:
+            u, v = todo[-1]
+            if self._ready(u, v) is not None:
+                todo.pop()
+                continue
+            mine, yours = _trimmed(self.kids[u], self.kids[v])[2:]
+            need = [p for p in self.needed(mine, yours) if self._ready(*p) is None]
+            if need:
+                todo += need
+                continue
+            total = self.alone(u, v) + sum([self.whole[c] for c in self.kids[u]]) - sum([self.whole[c] for c in mine])
+            if len(mine) == len(yours) == 1:
+                total += self._ready(mine[0], yours[0])
+            elif mine and yours:
+                for _, row in _rows(mine, self.gains(mine, yours)):
+                    pass
+                total += int(row[-1])
+            self.known[u, v] = total
+            todo.pop()
+        return self._ready(x, y)
+
+    def needed(self, mine: Sequence[int], yours: Sequence[int]) -> list[tuple[int, int]]:
+        """Pairs of kinds whose scores a table of these children takes."""
+        one, two = set(mine), set(yours)
+        if len(one) * len(two) > MOST_KINDS**2:
+            one, two = {self.shape[k] for k in one}, {self.shape[k] for k in two}
+        return [(u, v) for u in one for v in two if self.tag[u] == self.tag[v]]
+
+    def gains(self, mine: Sequence[int], yours: Sequence[int]) -> Callable[[int], np.ndarray]:
+        """For a kind, what it gains with each of ``yours``; scores that are needed have to be known."""
+        coarse = len(set(mine)) * len(set(yours)) > MOST_KINDS**2
+        exact = np.array(yours)
+        kinds, where = np.unique(np.array([self.shape[k] for k in yours]) if coarse else exact, return_inverse=True)
+        order = np.argsort(exact, kind="stable")
+        by_kind: dict[int, np.ndarray] = {}
+
+        def of(x: int) -> np.ndarray:
+            own = self.shape[x] if coarse else x
+            if own not in by_kind:
+                by_kind[own] = np.array([self._ready(own, k) for k in kinds.tolist()], dtype=np.int64)[where]
+            gain = by_kind[own]
+            if coarse:
+                same = order[np.searchsorted(exact, x, "left", sorter=order) : np.searchsorted(exact, x, "right", sorter=order)]
+                if len(same):
+                    gain = gain.copy()
+                    gain[same] = self.whole[x]
+            return gain
+
+        return of
+
+    def _ready(self, x: int, y: int) -> int | None:
+        """The score of two kinds, 0 where their tags differ, None if it has to be worked out first."""
+        if self.tag[x] != self.tag[y]:
+            return 0
+        if x == y and self.name[x] == self.name[y]:
+            return self.whole[x]
+        if not self.kids[x] or not self.kids[y]:
+            return self.alone(x, y)
+        return self.known.get((x, y))
+
+
+def _trimmed(mine: Sequence[int], yours: Sequence[int]) -> tuple[int, int, Sequence[int], Sequence[int]]:
+    """(equal children in front, equal ones behind, what is left of both): a child matches an equal one as well as any."""
+    least, front, behind = min(len(mine), len(yours)), 0, 0
+    while front < least and mine[front] == yours[front]:
+        front += 1
+    while behind < least - front and mine[-1 - behind] == yours[-1 - behind]:
+        behind += 1
+    return front, behind, mine[front : len(mine) - behind], yours[front : len(yours) - behind]
+
+
+def _rows(mine: Sequence[int], gains: Callable[[int], np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row above, row) of the table of best scores of the first i children of one and j of the other, row by row."""
+    above = None
+    for x in mine:
+        gain = gains(x)
+        above = np.zeros(len(gain) + 1, dtype=np.int64) if above is None else above
+        row = np.zeros_like(above)
+        np.maximum.accumulate(np.maximum(above[1:], above[:-1] + gain), out=row[1:])
+        yield above, row
+        above = row
+
+
+def _matched(mine: Sequence[int], gains: Callable[[int], np.ndarray]) -> list[tuple[int, int]]:
+    """Places of the pairs of the best alignment; a bit a cell says where the table does not grow."""
+    up, left = [], []
+    for above, row in _rows(mine, gains):
+        up.append(np.packbits(row[1:] == above[1:]))
+        left.append(np.packbits(row[1:] == row[:-1]))
+    out, i, j = [], len(mine), len(row) - 1
+    while i and j:
+        byte, bit = divmod(j - 1, 8)
+        if up[i - 1][byte] >> (7 - bit) & 1:
+            i -= 1
+        elif left[i - 1][byte] >> (7 - bit) & 1:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            out.append((i, j))
+    return out[::-1]
+
+
 def align(reference: Tree, page: Tree) -> list[int]:
     """For each element of ``page`` its counterpart in ``reference``, or -1, by simple tree matching.
 
     The largest set of pairs of equal tags that keeps parents and the order of siblings; between sets of one size, more
-    pairs with the same text decide, then with the same classes. Pairs are scored from the deepest up, without recursion.
+    pairs with the same text decide, then with the same classes. Equal subtrees at the ends of two lists of siblings are matched at once,
+    scores are worked out once for each pair of kinds of subtree, and a table of siblings takes a bit a cell. Where a list has more kinds
+    than ``MOST_KINDS`` on both sides, single texts inside of its items no longer decide between sets of one size, equal items do.
     """
-
-    def alone(a: int, b: int) -> int:
-        return PAIR + (SAME_TEXT if reference.digest[a] and reference.digest[a] == page.digest[b] else 0) + (reference.names[a] == page.names[b])
-
     found = [-1] * len(page)
     if reference.tag[0] != page.tag[0]:
         return found
-    score: dict[tuple[int, int], int] = {}
-    order, at = [(0, 0)], 0
-    while at < len(order):
-        a, b = order[at]
-        at += 1
-        for x in reference.kids[a]:
-            for y in page.kids[b]:
-                if reference.tag[x] == page.tag[y]:
-                    if reference.kids[x] and page.kids[y]:
-                        order.append((x, y))
-                    else:
-                        score[x, y] = alone(x, y)
-
-    def table(a: int, b: int) -> list[list[int]]:
-        """Best scores of the first i children of one and j of the other."""
-        rows = [[0] * (len(page.kids[b]) + 1)]
-        for x in reference.kids[a]:
-            above, row = rows[-1], [0]
-            for j, y in enumerate(page.kids[b]):
-                best = above[j + 1] if above[j + 1] > row[j] else row[j]
-                s = score.get((x, y))
-                if s is not None and above[j] + s > best:
-                    best = above[j] + s
-                row.append(best)
-            rows.append(row)
-        return rows
-
-    for a, b in reversed(order):
-        score[a, b] = alone(a, b) + table(a, b)[-1][-1]
+    kinds = _Kinds(reference, page)
     todo = [(0, 0)]
     while todo:
         a, b = todo.pop()
@@ -284,27 +432,26 @@ def align(reference: Tree, page: Tree) -> list[int]:
         mine, yours = reference.kids[a], page.kids[b]
         if not mine or not yours:
             continue
-        rows, i, j = table(a, b), len(mine), len(yours)
-        while i and j:
-            s = score.get((mine[i - 1], yours[j - 1]))
-            if rows[i][j] == rows[i - 1][j]:
-                i -= 1
-            elif rows[i][j] == rows[i][j - 1]:
-                j -= 1
-            else:
-                assert s is not None
-                todo.append((mine[i - 1], yours[j - 1]))
-                i, j = i - 1, j - 1
+        x, y = [kinds.of[0][k] for k in mine], [kinds.of[1][k] for k in yours]
+        front, behind, rest_x, rest_y = _trimmed(x, y)
+        todo += zip(mine[:front], yours[:front], strict=True)
+        if behind:
+            todo += zip(mine[-behind:], yours[-behind:], strict=True)
+        if rest_x and rest_y:
+            for u, v in kinds.needed(rest_x, rest_y):
+                kinds.score(u, v)
+            todo += [(mine[front + i], yours[front + j]) for i, j in _matched(rest_x, kinds.gains(rest_x, rest_y))]
     return found
 
 
 def nearest(references: list[Tree], page: Tree) -> tuple[int, list[int]]:
-    """(number of the reference that most of the page's elements have a counterpart in, the alignment); (-1, []) without references."""
+    """(number of the reference of the page's layout, or of the first ``COMPARED`` the one that most of its elements have a counterpart in, the alignment); (-1, []) without references."""
     best, number, pairs = -1.0, -1, []
     layout = page.layout() if len(references) > 1 else None
-    for k, r in enumerate(references):
-        own = align(r, page)
-        like = sum(p >= 0 for p in own) / max(len(r), len(page)) + (layout == r.layout() if layout is not None else 0)
+    same = [k for k, r in enumerate(references) if layout is not None and r.layout() == layout]
+    for k in same[:1] or range(min(COMPARED, len(references))):
+        own = align(references[k], page)
+        like = sum(p >= 0 for p in own) / max(len(references[k]), len(page))
         if like > best:
             best, number, pairs = like, k, own
     return number, pairs
@@ -368,6 +515,12 @@ class Template:
         return out
 
 
+def _menus(blocks: list[Block]) -> set[int]:
+    """Numbers of blocks that are menus by their links: mostly links, and several of them, or next to another such block. One linked line is text."""
+    linked = [b.linked > LINK_SHARE for b in blocks]
+    return {k for k, b in enumerate(blocks) if linked[k] and (b.links > 1 or k > 0 and linked[k - 1] or k + 1 < len(blocks) and linked[k + 1])}
+
+
 def main_text(html: str, templates: list[Template], marks: bool = True) -> str:
     """The page's blocks that are content, joined by newlines.
 
@@ -380,11 +533,12 @@ def main_text(html: str, templates: list[Template], marks: bool = True) -> str:
     verdict = templates[number].verdict(tree, pairs) if number >= 0 else None
     if verdict is None:
         open_ = [b for b in blocks if not marks or not (b.outside or (b.perhaps and not b.inside))]
-        chosen = [b for b in open_ if b.inside and marks] or [b for b in open_ if b.linked <= LINK_SHARE]
+        menus = _menus(open_)
+        chosen = [b for b in open_ if b.inside and marks] or [b for k, b in enumerate(open_) if k not in menus]
         return "\n".join(b.text for b in chosen)
     constant, recurs = templates[number].constant, templates[number].recurs
 
-    def stays(b: Block) -> bool:
+    def stays(k: int, b: Block) -> bool:
         if marks and b.outside:
             return False
         said = verdict[b.node]
@@ -392,9 +546,10 @@ def main_text(html: str, templates: list[Template], marks: bool = True) -> str:
             # an element that is marked as the article is believed, if its text varies
             a = pairs[b.node]
             return marks and b.inside and a not in recurs and not (a in constant and constant[a] == tree.digest[b.node])
-        return said != "open" or b.linked <= LINK_SHARE
+        return said != "open" or k not in menus
 
-    open_ = [b for b in blocks if stays(b)]
+    menus = _menus(blocks)
+    open_ = [b for k, b in enumerate(blocks) if stays(k, b)]
     return "\n".join(b.text for b in ([b for b in open_ if b.inside and marks] or open_))
 
 
