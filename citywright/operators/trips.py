@@ -16,9 +16,9 @@ def activities(plan_elements: DataFrame) -> DataFrame:
 
 
 def legs_from_elements(plan_elements: DataFrame) -> DataFrame:
-    """One row for each leg with the activities before and after it; legs at an end of a plan without one are left out.
+    """One row for each leg with the activities before and after it; legs without an activity right before and after are left out.
 
-    Elements of a plan alternate by ``pos``. One shuffle by plan; other columns of the leg are kept.
+    Elements of a plan are in the order of ``pos``. One shuffle by plan; other columns of the leg are kept.
     """
     order = Window.partitionBy(*PLAN).orderBy("pos")
     seen = plan_elements.select("*", F.lag("type").over(order).alias("from_type"), F.lead("type").over(order).alias("to_type"))

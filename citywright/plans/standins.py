@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import s_to_hms, web_mercator
 from ..operators.ipf import Spec
+from ..sources.writers import write_plans_xml
 from ..storage import shared_path
 
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
@@ -132,17 +133,15 @@ def census_files(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
 def plan_files(spark: SparkSession, sf_dir: str) -> str:
     """Plans in XML: a user's events of a week are a plan, the last week's is the selected one."""
     elements = plan_elements(spark, sf_dir)
-    hms = lambda c: s_to_hms(F.col(c))
-    act = F.struct(F.col("type").alias("_type"), F.lit("1").alias("_link"), (F.col("distance_m") / 8).alias("_x"), F.lit(0.5).alias("_y"), hms("dep_s").alias("_end_time"))
-    attribute = F.array(F.struct(F.lit("routingMode").alias("_name"), F.col("routing_mode").alias("_VALUE")))
-    leg = F.struct(F.col("mode").alias("_mode"), hms("dep_s").alias("_dep_time"), hms("travel_s").alias("_trav_time"), F.struct(attribute.alias("attribute")).alias("attributes"))
-    inner = lambda kind, what: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("pos", what.alias("e"))))), lambda x: x["e"])
-    plans = elements.groupBy("person_id", "iteration").agg(inner("activity", act).alias("activity"), inner("leg", leg).alias("leg"), F.count("*").alias("n"))
-    last = F.max("iteration").over(Window.partitionBy("person_id"))
-    marked = plans.select("person_id", "iteration", F.struct(F.when(F.col("iteration") == last, "yes").otherwise("no").alias("_selected"), (F.col("n") / 4).alias("_score"), "activity", "leg").alias("p"))
-    persons = marked.groupBy(F.col("person_id").cast("string").alias("_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("iteration", "p"))), lambda x: x["p"]).alias("plan"))
+    whole = Window.partitionBy("person_id", "iteration")
+    act = F.col("kind") == "activity"
+    rows = elements.select(
+        "person_id", F.col("iteration").alias("plan_idx"), (F.col("iteration") == F.max("iteration").over(Window.partitionBy("person_id"))).alias("selected"), (F.count("*").over(whole) / 4).alias("score"), "pos", "kind", "type",
+        F.when(~act, F.col("mode")).alias("mode"), F.when(~act, F.col("routing_mode")).alias("routing_mode"), F.when(act, "1").alias("link"), F.when(act, F.col("distance_m") / 8).alias("x"), F.when(act, 0.5).alias("y"),
+        F.when(~act, F.col("dep_s")).alias("start_s"), F.when(act, F.col("dep_s")).otherwise(F.col("arr_s")).alias("end_s"), F.lit(None).cast("int").alias("max_dur_s"),
+    )
     path = shared_path(spark, "plans")
-    persons.write.format("xml").option("rootTag", "population").option("rowTag", "person").save(path)
+    write_plans_xml(rows, path)
     return path
 
 

@@ -579,10 +579,31 @@ def plan_tables(spark, sf_dir):
     return spark.read.parquet(path).groupBy(F.col("iteration").cast("long").alias("iteration")).agg(F.count("*").alias("n"))
 
 
+@query(f"""WITH w AS (SELECT *, row_number() OVER (PARTITION BY user_id, {WEEK} ORDER BY ts, event_id) AS i, {WEEK} AS week FROM events),
+k AS (SELECT user_id, week, 2 * i AS place, 'activity' AS kind, CASE event_type WHEN 'view' THEN 'h' WHEN 'purchase' THEN 'w' WHEN 'signup' THEN 'l' WHEN 'click' THEN 'car interaction' ELSE 'pt interaction' END AS type, NULL AS mode, NULL::INTEGER AS start_s FROM w
+UNION ALL SELECT user_id, week, 2 * i + 1, 'leg', NULL, CASE WHEN CAST(props->>'$.k' AS INTEGER) % 3 = 0 THEN 'car' WHEN event_id % 2 = 0 THEN 'pt' ELSE 'walk' END, (hour(ts) * 3600 + minute(ts) * 60 + second(ts))::INTEGER FROM w WHERE event_id % 300 % 7 <> 0)
+SELECT user_id::VARCHAR AS person_id, (dense_rank() OVER (PARTITION BY user_id ORDER BY week) - 1)::INTEGER AS plan_idx, (row_number() OVER (PARTITION BY user_id, week ORDER BY place) - 1)::INTEGER AS pos, kind, type, mode, start_s FROM k""")
+def plans_in_order(spark, sf_dir):
+    """Plans in which some legs are missing, written as XML and read back: activities that follow each other keep their places."""
+    elements = st.plan_elements(spark, sf_dir).where("kind = 'activity' or wait_s % 7 != 0")
+    none = lambda kind: F.lit(None).cast(kind)
+    leg = F.col("kind") == "leg"
+    rows = elements.select(
+        "person_id", F.col("iteration").alias("plan_idx"), F.lit(False).alias("selected"), none("double").alias("score"), "pos", "kind", "type", F.when(leg, F.col("mode")).alias("mode"), F.when(leg, F.col("routing_mode")).alias("routing_mode"),
+        none("string").alias("link"), none("double").alias("x"), none("double").alias("y"), F.when(leg, F.col("dep_s")).alias("start_s"), F.when(leg, F.col("arr_s")).alias("end_s"), none("int").alias("max_dur_s"),
+    )
+    path = shared_path(spark, "population")
+    writers.write_plans_xml(rows, path)
+    return readers.read_plans(spark, path).select("person_id", "plan_idx", "pos", "kind", "type", "mode", "start_s")
+
+
 NETWORK_LINKS = "l AS (SELECT l_orderkey || '-' || l_partkey || '-' || nxt AS id, l_partkey AS a, nxt AS b FROM (SELECT l_orderkey, l_partkey, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS nxt FROM lineitem) WHERE nxt IS NOT NULL)"
 
 
-@query(f"WITH {NETWORK_LINKS}, o AS (SELECT a, count(*) AS n, sum(length(id) / 2.0) AS length FROM l GROUP BY a) SELECT p_partkey::VARCHAR AS node_id, p_retailprice / 2 AS x, p_size::DOUBLE AS y, coalesce(n, 0) AS n_out, coalesce(length, 0)::DOUBLE AS length FROM part LEFT JOIN o ON p_partkey = a")
+NETWORK_SQL = f"WITH {NETWORK_LINKS}, o AS (SELECT a, count(*) AS n, sum(length(id) / 2.0) AS length FROM l GROUP BY a) SELECT p_partkey::VARCHAR AS node_id, p_retailprice / 2 AS x, p_size::DOUBLE AS y, coalesce(n, 0) AS n_out, coalesce(length, 0)::DOUBLE AS length FROM part LEFT JOIN o ON p_partkey = a"
+
+
+@query(NETWORK_SQL)
 def read_network(spark, sf_dir):
     """A network in XML: nodes with their outgoing links."""
     nodes, links = readers.read_network(spark, st.network_files(spark, sf_dir))
@@ -590,6 +611,18 @@ def read_network(spark, sf_dir):
     return nodes.join(out, "node_id", "left").na.fill(0, ["n_out", "length"]).select("node_id", "x", "y", "n_out", "length")
 
 
+@query(NETWORK_SQL)
+def network_xml(spark, sf_dir):
+    """The same network, written as XML by the library and read back."""
+    p = st.table(spark, sf_dir, "part")
+    nodes = p.select(F.col("p_partkey").alias("node_id"), (F.col("p_retailprice") / 2).alias("x"), F.col("p_size").cast("double").alias("y"))
+    path = shared_path(spark, "network-xml")
+    writers.write_network_xml(nodes, st.links(spark, sf_dir).withColumn("length", F.length("link_id") / 2), path)
+    read, links = readers.read_network(spark, f"{path}/*")
+    out = links.groupBy(F.col("from_node").alias("node_id")).agg(F.count("*").alias("n_out"), F.sum("length").alias("length"))
+    return read.join(out, "node_id", "left").na.fill(0, ["n_out", "length"]).select("node_id", "x", "y", "n_out", "length")
+
+
 @query(f"WITH {NETWORK_LINKS} SELECT 'nodes' AS kind, count(*) AS n FROM part UNION ALL SELECT 'links', count(*) FROM l")
 def network_tables(spark, sf_dir):
     """Nodes and links written as Parquet, and counted from there."""

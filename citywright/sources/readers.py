@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import sqlite3
+from collections.abc import Iterator
+from xml.etree import ElementTree
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import DoubleType, StructType
@@ -15,9 +19,6 @@ from ..operators.flows import records_of
 RECORD = "struct<geocod:string,geodsg:string,dim_3:string,dim_3_t:string,dim_4:string,dim_4_t:string,dim_5:string,dim_5_t:string,dim_6:string,dim_6_t:string,valor:string>"
 INDICATOR = f"Dados map<string,array<{RECORD}>>"
 FLOWS = "freguesia string, genero string, ocupacao string, destino string, valor long"
-ACTIVITY = "struct<_type:string,_link:string,_x:double,_y:double,_start_time:string,_end_time:string,_max_dur:string>"
-LEG = "struct<_mode:string,_dep_time:string,_trav_time:string,attributes:struct<attribute:array<struct<_name:string,_VALUE:string>>>>"
-PERSON = f"_id string, plan array<struct<_selected:string,_score:double,activity:array<{ACTIVITY}>,leg:array<{LEG}>>>"
 
 
 def read_indicator(spark: SparkSession, path: str, year: str) -> DataFrame:
@@ -69,28 +70,51 @@ class _GeoPackageReader(DataSourceReader):
                 yield tuple(None if v is None else float(v) if number else str(v) for v, (_, number) in zip(row, self.fields, strict=True))
 
 
-def plan_elements(persons: DataFrame, iteration: int = 0) -> DataFrame:
-    """One row for each activity and leg: activity i is at 2i, leg i at 2i + 1, since the two alternate."""
-    plans = persons.select(F.col("_id").alias("person_id"), F.posexplode("plan").alias("plan_idx", "p"))
-    start = lambda c: hms_to_s(F.col(c))
-    common = ["person_id", "plan_idx", (F.coalesce(F.col("p._selected"), F.lit("no")) == "yes").alias("selected"), F.col("p._score").alias("score")]
-    acts = plans.select(*common, F.posexplode("p.activity").alias("i", "e")).select(
-        F.lit(iteration).alias("iteration"), "person_id", "plan_idx", "selected", "score", (2 * F.col("i")).alias("pos"), F.lit("activity").alias("kind"),
-        F.col("e._type").alias("type"), F.lit(None).cast("string").alias("mode"), F.lit(None).cast("string").alias("routing_mode"), F.col("e._link").alias("link"), F.col("e._x").alias("x"), F.col("e._y").alias("y"),
-        start("e._start_time").alias("start_s"), start("e._end_time").alias("end_s"), start("e._max_dur").alias("max_dur_s"),
-    )
-    routing: Column = F.get(F.filter("e.attributes.attribute", lambda a: a["_name"] == "routingMode"), F.lit(0))["_VALUE"]
-    legs = plans.select(*common, F.posexplode("p.leg").alias("i", "e")).select(
-        F.lit(iteration).alias("iteration"), "person_id", "plan_idx", "selected", "score", (2 * F.col("i") + 1).alias("pos"), F.lit("leg").alias("kind"),
-        F.lit(None).cast("string").alias("type"), F.col("e._mode").alias("mode"), routing.alias("routing_mode"), F.lit(None).cast("string").alias("link"), F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("y"),
-        start("e._dep_time").alias("start_s"), (start("e._dep_time") + start("e._trav_time")).alias("end_s"), F.lit(None).cast("int").alias("max_dur_s"),
-    )
-    return acts.unionByName(legs)
+#: Columns of an element as they stand in a file; times are still text.
+ELEMENT = "person_id string, plan_idx int, selected boolean, score double, pos int, kind string, type string, mode string, routing_mode string, link string, x double, y double, start string, end string, max_dur string, dep string, trav string"
+OPEN_PERSON = re.compile(r"<person(?=[\s>])")
+
+
+def _elements(person: ElementTree.Element) -> Iterator[tuple]:
+    """A row for each activity and leg of a person's plans, numbered as they follow each other."""
+    number = lambda e, name: float(v) if (v := e.get(name)) not in (None, "", "undefined") else None
+    for plan_idx, plan in enumerate(person.iter("plan")):
+        common = (person.get("id"), plan_idx, plan.get("selected") == "yes", number(plan, "score"))
+        for pos, e in enumerate(c for c in plan if c.tag in ("activity", "act", "leg")):
+            if e.tag == "leg":
+                routing = next((a.text for a in e.iterfind("attributes/attribute") if a.get("name") == "routingMode"), None)
+                yield *common, pos, "leg", None, e.get("mode"), routing, None, None, None, None, None, None, e.get("dep_time"), e.get("trav_time")
+            else:
+                yield *common, pos, "activity", e.get("type"), None, None, e.get("link"), number(e, "x"), number(e, "y"), e.get("start_time"), e.get("end_time"), e.get("max_dur"), None, None
+
+
+def _parsed_persons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [c.split()[0] for c in ELEMENT.split(", ")]
+    kinds = [{"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "double": pa.float64()}[c.split()[1]] for c in ELEMENT.split(", ")]
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            # what stands before the person: the file's head, or persons without plans, which are closed in their own tag
+            opens = [m.start() for m in OPEN_PERSON.finditer(text)]
+            body = text[opens[-1] :] if opens else ""
+            if "<plan" in body:
+                rows = list(_elements(ElementTree.fromstring(body + "</person>")))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
 
 def read_plans(spark: SparkSession, path: str, iteration: int = 0) -> DataFrame:
-    """Plan elements of a plans file; uncompressed files are split by person."""
-    return plan_elements(spark.read.format("xml").option("rowTag", "person").schema(PERSON).load(path), iteration)
+    """Plan elements of plans files, in the order in which they stand: (iteration, person_id, plan_idx, selected, score, pos, kind, type, mode, routing_mode, link, x, y, start_s, end_s, max_dur_s).
+
+    ``pos`` counts a plan's activities and legs from 0 on; they need not alternate. Files are cut after each person, so uncompressed ones are split
+    like any text, wherever they lie. Persons without plans and plans without elements give no rows; a person that is no XML is an error.
+    """
+    texts = spark.read.option("lineSep", "</person>").text(path)
+    start = lambda c: hms_to_s(F.col(c))
+    leg = F.col("kind") == "leg"
+    return texts.mapInArrow(_parsed_persons, ELEMENT).select(
+        F.lit(iteration).alias("iteration"), "person_id", "plan_idx", "selected", "score", "pos", "kind", "type", "mode", "routing_mode", "link", "x", "y",
+        F.when(leg, start("dep")).otherwise(start("start")).alias("start_s"), F.when(leg, start("dep") + start("trav")).otherwise(start("end")).alias("end_s"), start("max_dur").alias("max_dur_s"),
+    )
 
 
 def read_network(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -134,14 +158,15 @@ def read_iteration_table(spark: SparkSession, path: str, key: str) -> DataFrame:
     """(iteration, key, column, value) of per-iteration text tables whose columns differ.
 
     ``path`` matches the tables of all iterations; the iteration is the number in front of the file's name, or in its folder's name ``iteration=n``. A file's first line
-    names its columns, lines that begin otherwise than a row (footers) and missing columns give no rows.
+    names its columns; lines with another number of cells (footers) and cells without a number give no rows.
     """
     path_, in_folder = F.input_file_name(), r"/iteration=(\d+)/"
     number = F.when(path_.rlike(in_folder), F.regexp_extract(path_, in_folder, 1)).otherwise(F.regexp_extract(path_, r"(\d+)\.[^/]+$", 1))
     lines = spark.read.text(path, wholetext=True).select(number.cast("int").alias("iteration"), F.split("value", "\r?\n").alias("lines"))
     header = F.split(F.get("lines", F.lit(0)), "\t")
     rows = lines.select("iteration", header.alias("names"), F.explode(F.slice("lines", 2, F.size("lines"))).alias("line"))
-    cells = rows.select("iteration", "names", F.split("line", "\t").alias("v")).where(F.size("v") > 2)
+    # a footer is told by having no cells, or others than the header
+    cells = rows.select("iteration", "names", F.split("line", "\t").alias("v")).where((F.size("v") > 1) & (F.size("v") == F.size("names")))
     long = cells.select("iteration", F.get("v", F.lit(0)).alias(key), F.explode(F.arrays_zip(F.slice("names", 2, F.size("names")).alias("column"), F.slice("v", 2, F.size("v")).alias("value"))).alias("c"))
     return long.select("iteration", key, F.trim("c.column").alias("column"), F.col("c.value").try_cast("double").alias("value")).where("column is not null and column != '' and value is not null")
 

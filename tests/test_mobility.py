@@ -3,6 +3,7 @@ import random
 from collections import Counter
 import sqlite3
 
+import pytest
 from pyspark.sql import functions as F
 
 from citywright.functions import scalars as s
@@ -31,6 +32,67 @@ def test_plans_to_trips(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 10
 
 
+def test_elements_keep_their_order_and_files_are_split(spark, tmp_path):
+    plan = "<plan selected='yes'><activity type='h'/><activity type='w &amp; x' x='1.5'/><leg mode='car'/><leg mode='walk' dep_time='08:00:00' trav_time='00:10:00'/><activity type='h'/></plan>"
+    persons = "".join(f"<person id='{k}'><attributes><attribute name='a'>b</attribute></attributes>{plan if k % 3 else ''}</person>" if k % 5 else f"<person id='{k}'/>" for k in range(2000))
+    (tmp_path / "plans.xml").write_text(f"<?xml version='1.0'?><!DOCTYPE population><population>{persons}</population>\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        pe = readers.read_plans(spark, str(tmp_path / "plans.xml"))
+        assert pe.rdd.getNumPartitions() > 3
+        rows = pe.collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    want = {str(k) for k in range(2000) if k % 3 and k % 5}
+    assert {r.person_id for r in rows} == want and len(rows) == 5 * len(want)
+    assert {(r.pos, r.kind, r.type, r.mode, r.start_s, r.end_s) for r in rows} == {(0, "activity", "h", None, None, None), (1, "activity", "w & x", None, None, None), (2, "leg", None, "car", None, None), (3, "leg", None, "walk", 28800, 29400), (4, "activity", "h", None, None, None)}
+
+
+def test_plans_in_xml_come_back_equal(spark, tmp_path):
+    rng = random.Random(4)
+    rows = []
+    for person in ["p&1", '<"2">', *map(str, range(30))]:
+        for plan in range(rng.randrange(1, 4)):
+            for pos in range(rng.randrange(1, 9)):
+                t = rng.randrange(100_000)
+                if rng.random() < 0.4:
+                    rows.append((person, plan, plan == 0, rng.random() * 100, pos, "leg", None, rng.choice(["car", "a&b"]), rng.choice([None, "pt<"]), None, None, None, t, t + 60, None))
+                else:
+                    rows.append((person, plan, plan == 0, rng.random() * 100, pos, "activity", rng.choice(["h", 'w"x']), None, None, "l1", rng.uniform(-9, 9), 0.1, None, rng.choice([None, t]), 5))
+    score = {}
+    rows = [(*r[:3], score.setdefault(r[:2], r[3]), *r[4:]) for r in rows]
+    kind = "person_id string, plan_idx int, selected boolean, score double, pos int, kind string, type string, mode string, routing_mode string, link string, x double, y double, start_s int, end_s int, max_dur_s int"
+    df = spark.createDataFrame(rows, kind)
+    writers.write_plans_xml(df.repartition(7), str(tmp_path / "out"))
+    back = readers.read_plans(spark, str(tmp_path / "out")).drop("iteration")
+    assert Counter(map(tuple, back.collect())) == Counter(rows)
+    for part in (tmp_path / "out").glob("part-*"):
+        from xml.etree import ElementTree
+
+        ids = [p.get("id") for p in ElementTree.parse(part).getroot()]
+        assert ids == sorted(ids)
+    writers.write_plans_xml(df.limit(0), str(tmp_path / "none"))
+    assert readers.read_plans(spark, str(tmp_path / "none")).isEmpty()
+
+
+def test_an_aborted_write_leaves_nothing_behind(spark, tmp_path):
+    bad = spark.range(100).select(F.when(F.col("id") == 77, F.raise_error(F.lit("no"))).otherwise(F.col("id")).cast("string").alias("node_id"), F.lit(1.0).alias("x"), F.lit(2.0).alias("y"))
+    links = spark.createDataFrame([], "link_id string, from_node string, to_node string, length double")
+    with pytest.raises(Exception, match="no"):
+        writers.write_network_xml(bad.repartition(5), links, str(tmp_path / "network"))
+    assert not [p for p in (tmp_path / "network").rglob("*") if p.is_file() and p.name.startswith("part")]
+    good = spark.createDataFrame([("a&b", 1.0, 2.5)], "node_id string, x double, y double")
+    writers.write_network_xml(good, links, str(tmp_path / "good"))
+    assert [tuple(r) for r in readers.read_network(spark, str(tmp_path / "good/*"))[0].collect()] == [("a&b", 1.0, 2.5)]
+
+
+def test_tables_with_one_value_column(spark, tmp_path):
+    (tmp_path / "0.t.txt").write_text("time\tcar\n00:00\t5\n\naverage: 5\n")
+    (tmp_path / "1.t.txt").write_text("time\tcar\tpt\n00:00\t5\t7\nfooter\tx\n")
+    got = {(r.iteration, r.time, r.column, r.value) for r in readers.read_iteration_table(spark, str(tmp_path / "*.t.txt"), "time").collect()}
+    assert got == {(0, "00:00", "car", 5.0), (1, "00:00", "car", 5.0), (1, "00:00", "pt", 7.0)}
+
+
 def test_statistics_identities(spark):
     rng = random.Random(5)
     legs = [(0, p, 0, k, "h" if k == 1 else "pt interaction", "pt interaction" if k < n else "w", rng.choice(["car", "pt", "walk"]), "bus", float(rng.randrange(5000)), rng.randrange(6000), 0, rng.randrange(90000), False) for p in range(200) for n in [rng.randrange(1, 4)] for k in range(1, n + 1)]
