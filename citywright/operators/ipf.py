@@ -20,6 +20,8 @@ MOST_ROUNDS, FITTED, STALLED = 500, 1e-5, 1e-8
 MOST_CELLS, BATCH_CELLS = 2_000_000, 8_000_000
 #: Slices of a layer, over all sections, whose factors are broadcast.
 MOST_SLICES = 200_000
+#: A column whose sketch counts fewer values than this share of the rows is no key.
+CLEARLY_FEWER = 0.9
 
 
 @dataclass(frozen=True)
@@ -130,13 +132,23 @@ def check_totals(df: DataFrame, spec: Spec, by: str | None = None, tol: float =
 
 
 def unique_columns(df: DataFrame, count_null: bool = True) -> DataFrame:
-    """(column, n_distinct, is_unique): which columns could be keys. A null counts as a value if ``count_null``."""
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in df.columns])).alias("x")).select("x.*")
-    # values are counted apart first, so that a column with few values is one row for each task
+    """(column, n_distinct, is_unique): which columns could be keys. A null counts as a value if ``count_null``.
+
+    Sketches of all columns in one scan rule out those with clearly fewer values than rows (``CLEARLY_FEWER``, six standard errors of a sketch):
+    their n_distinct is null, and their values are not shuffled. Of the others every value is counted. An empty table has no rows.
+    """
+    text = lambda c: F.col(f"`{c}`").cast("string")
+    nulls = lambda c: F.when(F.count(F.col(f"`{c}`")) < F.count("*"), 1).otherwise(0) if count_null else F.lit(0)
+    seen = df.agg(F.count("*").alias("rows"), *[(F.hll_sketch_estimate(F.hll_sketch_agg(text(c))) + nulls(c)).alias(f"e{k}") for k, c in enumerate(df.columns)]).first()
+    left = [c for k, c in enumerate(df.columns) if seen["rows"] and seen[f"e{k}"] >= CLEARLY_FEWER * seen["rows"]]
+    out = [c for c in df.columns if c not in left and seen["rows"]]
+    ruled_out = df.sparkSession.createDataFrame([(c, None, False) for c in out], "column string, n_distinct long, is_unique boolean")
+    if not left:
+        return ruled_out
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), text(c).alias("value")) for c in left])).alias("x")).select("x.*")
     values = long.groupBy("column", "value").agg(F.count("*").alias("n"))
-    seen = F.count("*") if count_null else F.count("value")
-    counts = values.groupBy("column").agg(seen.alias("n_distinct"), F.sum("n").alias("_rows"))
-    return counts.select("column", "n_distinct", (F.col("n_distinct") == F.col("_rows")).alias("is_unique"))
+    counts = values.groupBy("column").agg(F.count("*" if count_null else "value").alias("n_distinct"), F.sum("n").alias("_rows"))
+    return counts.select("column", "n_distinct", (F.col("n_distinct") == F.col("_rows")).alias("is_unique")).unionByName(ruled_out)
 
 
 def type_count(joint: DataFrame) -> DataFrame:

@@ -89,22 +89,24 @@ def score_stats(plans: DataFrame) -> DataFrame:
     """(iteration, avg_executed, avg_worst, avg_avg, avg_best): means over persons, with every plan kept in memory.
 
     ``plans``: person_id, plan_id, iteration in which it was made, score. A person takes part from the first plan on, and
-    executes in an iteration the last plan made so far. The grid of persons and iterations is built from one row for each person and
-    iteration with a plan, and carries running values forward.
+    executes in an iteration the last plan made so far. A person's figures change only where a plan was made: these changes are summed by
+    iteration, and running sums over the few iterations give all persons' totals, so there is no row for an iteration in which a person stays the same.
+    Every iteration from the first plan to the last has a row; plans with a null iteration are left out.
     """
-    made = plans.groupBy("person_id", "iteration").agg(F.sum("score").alias("s"), F.count("*").alias("n"), F.min("score").alias("lo"), F.max("score").alias("hi"), F.max_by("score", "plan_id").alias("last"))
-    span = plans.agg(F.max("iteration").alias("end"))
-    persons = made.groupBy("person_id").agg(F.min("iteration").alias("start")).join(F.broadcast(span))
-    grid = persons.select("person_id", F.explode(F.sequence("start", "end")).alias("iteration"))
-    so_far = Window.partitionBy("person_id").orderBy("iteration").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    memory = grid.join(made, ["person_id", "iteration"], "left").select(
-        "iteration",
-        F.last("last", ignorenulls=True).over(so_far).alias("executed"),
-        F.min("lo").over(so_far).alias("worst"),
-        (F.sum("s").over(so_far) / F.sum("n").over(so_far)).alias("mean"),
-        F.max("hi").over(so_far).alias("best"),
-    )
-    return memory.groupBy("iteration").agg(F.avg("executed").alias("avg_executed"), F.avg("worst").alias("avg_worst"), F.avg("mean").alias("avg_avg"), F.avg("best").alias("avg_best"))
+    ends = plans.agg(F.min("iteration").alias("lo"), F.max("iteration").alias("hi")).first()
+    made = plans.where("iteration is not null").groupBy("person_id", "iteration").agg(F.sum("score").alias("s"), F.count("*").alias("n"), F.min("score").alias("lo"), F.max("score").alias("hi"), F.max_by("score", "plan_id").alias("last"))
+    order = Window.partitionBy("person_id").orderBy("iteration")
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    names = ["executed", "worst", "avg", "best"]
+    at = made.select("person_id", "iteration", F.col("last").alias("executed"), F.min("lo").over(so_far).alias("worst"), (F.sum("s").over(so_far) / F.sum("n").over(so_far)).alias("avg"), F.max("hi").over(so_far).alias("best"))
+    first = F.row_number().over(order) == 1
+    steps = at.select("iteration", first.cast("long").alias("persons"), *[(F.col(c) - F.coalesce(F.lag(c).over(order), F.lit(0.0))).alias(c) for c in names])
+    changes = steps.groupBy("iteration").agg(*[F.sum(c).alias(c) for c in ["persons", *names]])
+    every = plans.sparkSession.range(ends["lo"] or 0, (ends["hi"] or 0) + 1 if ends["lo"] is not None else 0).select(F.col("id").cast(plans.schema["iteration"].dataType).alias("iteration"))
+    # one row for each iteration: no more than a task can hold
+    running = Window.orderBy("iteration").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    total = lambda c: F.sum(F.coalesce(c, F.lit(0))).over(running)
+    return every.join(changes, "iteration", "left").select("iteration", *[(total(c) / total("persons")).alias(f"avg_{c}") for c in names])
 
 
 def link_volumes(entries: DataFrame) -> DataFrame:

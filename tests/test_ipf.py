@@ -217,8 +217,17 @@ def test_feasibility_of_more_dimensions_is_unknown_where_nothing_settles_it():
 def test_unique_columns(spark):
     df = spark.createDataFrame([(1, "a", None), (2, "a", "z")], "k int, same string, hole string")
     got = {r.column: (r.n_distinct, r.is_unique) for r in m.unique_columns(df).collect()}
-    assert got == {"k": (2, True), "same": (1, False), "hole": (2, True)}
+    assert got == {"k": (2, True), "same": (None, False), "hole": (2, True)}
     assert {r.column: r.is_unique for r in m.unique_columns(df, count_null=False).collect()}["hole"] is False
+    assert m.unique_columns(df.limit(0)).isEmpty()
+
+
+def test_values_of_ruled_out_columns_are_not_shuffled(spark):
+    df = spark.range(20_000).selectExpr("id AS key", "id % 19990 AS nearly", "id % 7 AS few", "CAST(null AS string) AS none")
+    out = m.unique_columns(df)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "nearly" in plan and "few AS value" not in plan and "% 7" not in plan
+    assert {r.column: (r.n_distinct, r.is_unique) for r in out.collect()} == {"key": (20_000, True), "nearly": (19_990, False), "few": (None, False), "none": (None, False)}
 
 
 def test_seed_of_a_projection(spark):

@@ -123,6 +123,40 @@ def test_scores(spark):
     assert rows[0].avg_best == 5.0 and rows[1].avg_executed == 5.5 and rows[1].avg_best == 6.5 and rows[1].avg_worst == 5.5
 
 
+def test_scores_equal_every_iteration_written_out(spark):
+    rng = random.Random(8)
+    rows = [(rng.randrange(9), k, rng.choice([0, 1, 3, 4, 8]), rng.random() * 100) for k in range(60)]
+    df = spark.createDataFrame(rows, "person_id int, plan_id int, iteration int, score double")
+    got = {r.iteration: tuple(r[1:]) for r in stats.score_stats(df).collect()}
+    assert sorted(got) == list(range(min(r[2] for r in rows), max(r[2] for r in rows) + 1))
+    for i, found in got.items():
+        figures = []
+        for p in range(9):
+            known = sorted((it, plan, sc) for person, plan, it, sc in rows if person == p and it <= i)
+            if known:
+                scores = [x[2] for x in known]
+                figures.append((known[-1][2], min(scores), sum(scores) / len(scores), max(scores)))
+        assert all(math.isclose(a, sum(f[k] for f in figures) / len(figures), rel_tol=1e-9) for k, a in enumerate(found))
+    plan = stats.score_stats(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence" not in plan and "explode" not in plan.lower() and "Generate" not in plan
+    assert stats.score_stats(df.limit(0)).isEmpty()
+
+
+def test_only_rows_of_differing_steps_are_compared(spark):
+    kind = "time_s long, type string, attrs map<string,string>"
+    rows = [(t, rng, {"b": str(k), "a": "x"}) for t in range(50) for k in range(20) for rng in ["view"]]
+    other = [r for r in rows if r[0] != 7] + [(7, "view", {"a": "x", "b": str(k)}) for k in range(19)] + [(99, "new", None)] + [(None, "n", {})] * 2
+    one, two = (spark.createDataFrame(r, kind) for r in (rows + [(None, "n", {})], other))
+    assert {r.time_s for r in compare.differing_steps(one, two).collect()} == {7, 99, None}
+    assert compare.differing_steps(one, one.orderBy(F.rand(3))).isEmpty()
+    got = compare.compare_events(one, two)
+    # the steps are joined before rows are counted, so what is shuffled is theirs
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    semi = plan.index("LeftSemi")
+    assert "BroadcastHashJoin" in plan and plan.rindex("Exchange hashpartitioning", 0, semi) < semi
+    assert {(r.time_s, r.event, r.n_expected, r.n_actual) for r in got.collect()} == {(7, 'view {"a":"x","b":"19"}', 1, 0), (99, "new", 0, 1), (None, "n {}", 1, 2)}
+
+
 def test_scalars(spark):
     df = spark.createDataFrame([("07:00:00",), ("25:61:00",), ("30:00:05",), ("09:30",), ("",), ("undefined",), (None,)], "t string")
     assert [r[0] for r in df.select(s.hms_to_s(F.col("t"))).collect()] == [25200, None, 108005, 34200, None, None, None]
