@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import sqlite3
+from contextlib import closing
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -130,6 +134,21 @@ def census_files(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
     return csv, parquet
 
 
+def census_geopackage(spark: SparkSession, sf_dir: str) -> str:
+    """The census as a GeoPackage: SQLite is written by one process, and there is a row for each nation."""
+    rows = census(spark, sf_dir).select("section", *[F.col(f"`{c}`").cast("long") for c in SEGMENTS]).collect()
+    path = shared_path(spark, "census") + ".gpkg"
+    local = path.removeprefix("file://")
+    os.makedirs(os.path.dirname(local), exist_ok=True)
+    with closing(sqlite3.connect(local)) as base:
+        base.execute("create table gpkg_contents (table_name text, data_type text)")
+        base.execute("insert into gpkg_contents values ('census', 'features')")
+        base.execute(f"create table census (fid integer primary key, geom blob, section text, {', '.join(f'"{c}" integer' for c in SEGMENTS)})")
+        base.executemany(f"insert into census (section, {', '.join(f'"{c}"' for c in SEGMENTS)}) values ({', '.join('?' * (1 + len(SEGMENTS)))})", [tuple(r) for r in rows])
+        base.commit()
+    return path
+
+
 def plan_files(spark: SparkSession, sf_dir: str) -> str:
     """Plans in XML: a user's events of a week are a plan, the last week's is the selected one."""
     elements = plan_elements(spark, sf_dir)

@@ -539,6 +539,12 @@ def read_census(spark, sf_dir):
     return both[0].unionByName(both[1]).groupBy("section").agg(*[F.sum(c).alias(c) for c in st.SEGMENTS])
 
 
+@query(f"WITH {CENSUS} SELECT section, {', '.join(f'"{c}"' for c in st.SEGMENTS)} FROM census WHERE \"BUILDING\" > 10 AND section <> '7'")
+def read_geopackage(spark, sf_dir):
+    """Rows of a GeoPackage, of which SQLite filters those by number."""
+    return readers.read_census(spark, st.census_geopackage(spark, sf_dir), "section", st.SEGMENTS, where='"BUILDING" > 10').where("section != '7'")
+
+
 @query(f"WITH {FLOWS} SELECT geocod AS freguesia, genero, ocupacao, destino, valor FROM flows")
 def flow_files(spark, sf_dir):
     """The flow table written as CSV and read back, names with commas quoted."""

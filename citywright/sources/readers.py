@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import sqlite3
 from collections.abc import Iterator
+from contextlib import closing
+from urllib.parse import quote
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -31,12 +33,15 @@ def read_flows(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(FLOWS).option("header", True).csv(path)
 
 
-def read_census(spark: SparkSession, path: str, label_col: str, category_cols: list[str], layer: str | None = None) -> DataFrame:
-    """Label as text and categories as numbers, from Parquet, CSV with a header, or a GeoPackage (by the path's ending)."""
+def read_census(spark: SparkSession, path: str, label_col: str, category_cols: list[str], layer: str | None = None, where: str | None = None) -> DataFrame:
+    """Label as text and categories as numbers, from Parquet, CSV with a header, or a GeoPackage (by the path's ending).
+
+    Of a GeoPackage, ``layer`` names the table and ``where`` is a condition for SQLite; Parquet and CSV take filters on the frame.
+    """
     if path.endswith(".gpkg"):
         spark.dataSource.register(GeoPackageSource)
         fields = ", ".join([f"`{label_col}` string", *(f"`{c}` double" for c in category_cols)])
-        return spark.read.format("geopackage").schema(fields).options(**({"layer": layer} if layer else {})).load(path)
+        return spark.read.format("geopackage").schema(fields).options(**{k: v for k, v in (("layer", layer), ("where", where)) if v}).load(path)
     if path.endswith(".csv"):
         header = [F.col(f"`{label_col}`").cast("string").alias(label_col), *[F.col(f"`{c}`").try_cast("double").alias(c) for c in category_cols]]
         return spark.read.option("header", True).csv(path).select(*header)
@@ -44,29 +49,52 @@ def read_census(spark: SparkSession, path: str, label_col: str, category_cols: l
 
 
 class GeoPackageSource(DataSource):
-    """Attributes of a GeoPackage's first (or named) feature table, without geometry. One file is one partition: convert it to Parquet once."""
+    """Attributes of a GeoPackage's first (or named, ``layer``) feature table, without geometry.
+
+    The table's rowids are cut into ``partitions`` ranges (8 by default), which tasks read side by side, as SQLite allows many readers of a
+    file. The option ``where`` is a condition that SQLite checks, as part of its SQL text. (Spark's own pushing of filters to Python sources
+    is not used: in 4.1 a frame that is read again without a filter still has the last one's.) Every task opens the file itself, so it has to lie
+    where the driver and all executors see it under one path.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "geopackage"
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return _GeoPackageReader(self.options, schema)
+        return GeoPackageReader(self.options, schema)
 
 
-class _GeoPackageReader(DataSourceReader):
+def _quoted(name: str) -> str:
+    return '"' + name.replace('"', '""') + '"'
+
+
+class GeoPackageReader(DataSourceReader):
     def __init__(self, options: dict, schema: StructType):
-        self.path, self.layer = options["path"], options.get("layer")
+        self.path, self.layer, self.parts = options["path"].removeprefix("file://"), options.get("layer"), int(options.get("partitions", 8))
         self.fields = [(f.name, isinstance(f.dataType, DoubleType)) for f in schema.fields]
+        self.where = options.get("where")
 
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(self.path)]
+    def _open(self) -> sqlite3.Connection:
+        return sqlite3.connect(f"file:{quote(self.path)}?mode=ro", uri=True)
 
-    def read(self, partition: InputPartition):
-        quoted = lambda n: '"' + n.replace('"', '""') + '"'
-        with sqlite3.connect(f"file:{partition.value}?mode=ro", uri=True) as base:
+    def partitions(self) -> list[InputPartition]:
+        with closing(self._open()) as base:
             layer = self.layer or base.execute("select table_name from gpkg_contents where data_type in ('features', 'attributes') order by table_name limit 1").fetchone()[0]
-            for row in base.execute(f"select {', '.join(quoted(n) for n, _ in self.fields)} from {quoted(layer)}"):
+            low, high = base.execute(f"select min(rowid), max(rowid) from {_quoted(layer)}").fetchone()
+        if low is None:
+            return [InputPartition((layer, 0, -1))]
+        step = -(-(high - low + 1) // self.parts)
+        return [InputPartition((layer, a, min(a + step - 1, high))) for a in range(low, high + 1, step)]
+
+    def sql(self, layer: str) -> str:
+        """The text of a range's query; its two values are the range."""
+        return f"select {', '.join(_quoted(n) for n, _ in self.fields)} from {_quoted(layer)} where rowid between ? and ?{f' and ({self.where})' if self.where else ''}"
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        layer, low, high = partition.value
+        with closing(self._open()) as base:
+            for row in base.execute(self.sql(layer), (low, high)):
                 yield tuple(None if v is None else float(v) if number else str(v) for v, (_, number) in zip(row, self.fields, strict=True))
 
 

@@ -5,6 +5,7 @@ import sqlite3
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from citywright.functions import scalars as s
 from citywright.operators import compare, flows, geo, network, stats, trips
@@ -319,8 +320,20 @@ def test_census_from_geopackage(spark, tmp_path):
         base.execute("insert into gpkg_contents values ('sections', 'features')")
         base.execute("create table sections (label text, a real, b integer, geom blob)")
         base.executemany("insert into sections values (?, ?, ?, null)", [("s1", 1.5, 2), ("s2", None, 3)])
+        base.execute("create table many (label integer, a real, b integer)")
+        base.executemany("insert into many values (?, ?, ?)", [(k, k / 2, k % 10) for k in range(1000)])
+        base.execute("create table empty (label text, a real, b integer)")
     got = readers.read_census(spark, path, "label", ["a", "b"]).orderBy("label").collect()
     assert [tuple(r) for r in got] == [("s1", 1.5, 2.0), ("s2", None, 3.0)]
+    many = readers.read_census(spark, path, "label", ["a", "b"], layer="many")
+    assert many.rdd.getNumPartitions() == 8 and many.count() == 1000
+    some = readers.read_census(spark, path, "label", ["a", "b"], layer="many", where="b = 3 or a < 1")
+    assert {r.label for r in some.where("label != '13'").collect()} == {"0", "1", *map(str, range(3, 1000, 10))} - {"13"}
+    # a frame may be read with a filter and again without
+    assert some.count() == 102 and many.where("b = 3.0").count() == 100 and many.count() == 1000
+    assert readers.read_census(spark, path, "label", ["a", "b"], layer="empty").isEmpty()
+    schema = StructType([StructField("label", StringType()), StructField("b", DoubleType())])
+    assert readers.GeoPackageReader({"path": "/x.gpkg", "where": "b > 1"}, schema).sql("t") == 'select "label", "b" from "t" where rowid between ? and ? and (b > 1)'
 
 
 def test_comparisons(spark):
