@@ -50,6 +50,8 @@ ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s
 
 #: References of a host: the smallest page of each of its commonest layouts. Pages of other layouts are aligned with the nearest of the first few.
 REFERENCES, COMPARED = 64, 4
+#: Tables of children of so many cells at most are plain lists.
+FEW = 400
 #: Lists with more kinds of items than this on both sides are aligned by the items' shapes and by equal items.
 MOST_KINDS = 200
 #: A layout is the set of paths to containers of this depth at most.
@@ -196,7 +198,7 @@ def parse(html: str) -> tuple[Tree, list[Block]]:
             continue
         if tag == "a":
             # a link ends the one before; an anchor without an address is none
-            in_link = any(name.lower() == "href" for name, *_ in ATTRIBUTE.findall(m.group(3)))
+            in_link = "href" in m.group(3).lower() and any(name.lower() == "href" for name, *_ in ATTRIBUTE.findall(m.group(3)))
             n_links += in_link
             continue
         if tag not in BLOCK:
@@ -309,7 +311,10 @@ class _Kinds:
         return PAIR + (SAME_TEXT if self.text[x] and self.text[x] == self.text[y] else 0) + (self.name[x] == self.name[y])
 
     def score(self, x: int, y: int) -> int:
-        """The best alignment's score of two kinds of one tag, without recursion."""
+        """The best alignment's score of two kinds, without recursion."""
+        known = self._ready(x, y)
+        if known is not None:
+            return known
         todo = [(x, y)]
         while todo:
             u, v = todo[-1]
@@ -322,9 +327,9 @@ class _Kinds:
                 todo += need
                 continue
             total = self.alone(u, v) + sum([self.whole[c] for c in self.kids[u]]) - sum([self.whole[c] for c in mine])
-            if len(mine) == len(yours) == 1:
-                total += self._ready(mine[0], yours[0])
-            elif mine and yours:
+            if len(mine) * len(yours) <= FEW:
+                total += _table(mine, yours, self._ready)[-1][-1]
+            else:
                 for _, row in _rows(mine, self.gains(mine, yours)):
                     pass
                 total += int(row[-1])
@@ -394,6 +399,32 @@ def _rows(mine: Sequence[int], gains: Callable[[int], np.ndarray]) -> Iterator[t
         above = row
 
 
+def _table(mine: Sequence[int], yours: Sequence[int], score: Callable[[int, int], int]) -> list[list[int]]:
+    """The same table as lists, for few children."""
+    rows = [[0] * (len(yours) + 1)]
+    for x in mine:
+        above, row, best = rows[-1], [0], 0
+        for j, y in enumerate(yours):
+            best = max(best, above[j + 1], above[j] + score(x, y))
+            row.append(best)
+        rows.append(row)
+    return rows
+
+
+def _few_matched(mine: Sequence[int], yours: Sequence[int], score: Callable[[int, int], int]) -> list[tuple[int, int]]:
+    """Places of the pairs of the best alignment of few children."""
+    rows, out, i, j = _table(mine, yours, score), [], len(mine), len(yours)
+    while i and j:
+        if rows[i][j] == rows[i - 1][j]:
+            i -= 1
+        elif rows[i][j] == rows[i][j - 1]:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            out.append((i, j))
+    return out[::-1]
+
+
 def _matched(mine: Sequence[int], gains: Callable[[int], np.ndarray]) -> list[tuple[int, int]]:
     """Places of the pairs of the best alignment; a bit a cell says where the table does not grow."""
     up, left = [], []
@@ -440,7 +471,8 @@ def align(reference: Tree, page: Tree) -> list[int]:
         if rest_x and rest_y:
             for u, v in kinds.needed(rest_x, rest_y):
                 kinds.score(u, v)
-            todo += [(mine[front + i], yours[front + j]) for i, j in _matched(rest_x, kinds.gains(rest_x, rest_y))]
+            matched = _few_matched(rest_x, rest_y, kinds.score) if len(rest_x) * len(rest_y) <= FEW else _matched(rest_x, kinds.gains(rest_x, rest_y))
+            todo += [(mine[front + i], yours[front + j]) for i, j in matched]
     return found
 
 
