@@ -280,6 +280,43 @@ def test_largest_component(spark):
     assert {r.from_node for r in kept_links.collect()} | {r.to_node for r in kept_links.collect()} <= {r.node_id for r in kept_nodes.collect()}
 
 
+def test_chains_end_in_rounds_logarithmic_in_their_length(spark):
+    n = 3000
+    kind = "node int, pred int, succ int"
+    path = [(k, k - 1, k + 1) for k in range(1, n)]
+    ring = [(10_000 + k, 10_000 + (k - 1) % n, 10_000 + (k + 1) % n) for k in range(n)]
+    opened, rings, rounds = network.chain_ends(spark.createDataFrame(path + ring, kind))
+    assert {(r.head, r.tail) for r in opened.collect()} == {(0, n)} and opened.count() == n - 1
+    assert {r.component for r in rings.collect()} == {10_000} and rings.count() == n
+    assert rounds <= math.ceil(math.log2(n)) + 2
+
+
+def test_components_of_paths_trees_and_rings(spark):
+    """A tree into a ring, a chain between two rings, a chain back to its own start, and a path."""
+    rng = random.Random(6)
+    ring = lambda base, n: [(base + k, base + (k + 1) % n) for k in range(n)]
+    edges = ring(0, 7) + ring(20, 5) + [(3, 50), (50, 51), (51, 52), (52, 22)] + [(21, 60), (60, 61), (61, 21)] + [(70 + k, 71 + k) for k in range(9)]
+    edges += [(100 + k, 100 + (k - 1) // 2 if k else 0) for k in range(31)] + ring(200, 12) + [(202, 300), (300, 301), (301, 206)]
+    for case in (edges, [*(e for e in edges if rng.random() < 0.9), (22, 0)], ring(0, 30)):
+        links = spark.createDataFrame([(str(k), a, b) for k, (a, b) in enumerate(case)], "link_id string, from_node int, to_node int")
+        names = sorted({x for e in case for x in e})
+        nodes = spark.createDataFrame([(k,) for k in names], "node_id int")
+        reach = {a: {a} for a in names}
+        grown = True
+        while grown:
+            grown = False
+            for a, b in case:
+                for r in reach.values():
+                    if a in r and b not in r:
+                        r.add(b)
+                        grown = True
+        want = {a: min(b for b in reach[a] if a in reach[b]) for a in names}
+        assert {r.node: r.component for r in network.strong_components(nodes, links).collect()} == want
+        sizes = Counter(want.values())
+        top = max(sizes, key=lambda c: (sizes[c], -c))
+        assert {r.node for r in network.largest_scc(nodes, links).collect()} == {a for a in names if want[a] == top}
+
+
 def test_flows_and_files(spark, tmp_path):
     record = lambda code, name, total, place, n: {"geocod": code, "geodsg": name, "dim_3_t": "H", "dim_4_t": "Estudante", "dim_5": total, "dim_6_t": place, "valor": str(n)}
     import json
