@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import checkpointed, checkpointed_with_any
+from ..storage import checkpointed
 
 #: Stop rule: rounds, greatest relative error that counts as fitted, and least change between rounds.
 MOST_ROUNDS, FITTED, STALLED = 500, 1e-5, 1e-8
@@ -267,13 +267,15 @@ def ipf_long(cells: DataFrame, layers: list[list[str]], targets: list[DataFrame]
 
     ``targets``: for each layer a table ([by,] its keys, target); a slice without a target has 0. Cells lie anywhere and are never written or
     changed: a fitted value is the weight times a factor for each layer's slice, so a round reads the cells once for each layer and once more
-    for each but the last, to sum them by slice, and writes only the tables of slices with their factors, as logarithms, since factors of a fit
-    without end grow beyond all bounds. Factors are broadcast up to ``MOST_SLICES`` slices, so that cells are not shuffled; sums are partial
-    aggregates. Each section ends by the stop rule of ``fit_batch``. Cells should be a stored table, as they are read in every round.
+    for each but the last, to sum them by slice, and keeps only the tables of slices with their factors, as logarithms, since factors of a fit
+    without end grow beyond all bounds. Up to ``MOST_SLICES`` slices a layer they stay with the driver and are broadcast, so that cells are not
+    shuffled; larger ones are written to the shared folder. Sums are partial aggregates. Each section ends by the stop rule of ``fit_batch``. Cells should be a stored table, as they are read in every round.
     """
     key, last = [by] if by else [], len(layers) - 1
     few = [t.count() <= MOST_SLICES for t in targets]
     hinted = lambda table, short: F.broadcast(table) if short else table
+    # tables of slices that are small enough to be broadcast are so small that the driver may hold them between rounds
+    kept = lambda df: cells.sparkSession.createDataFrame(df.toArrow(), df.schema) if all(few) else checkpointed(df)
     with_section = lambda df, table: df.join(hinted(table, few[0]), by) if by else df.join(F.broadcast(table))
     inf = float("inf")
     tables: dict[int, DataFrame] = {}
@@ -291,7 +293,7 @@ def ipf_long(cells: DataFrame, layers: list[list[str]], targets: list[DataFrame]
         sums = valued().groupBy(*key, *layers[k]).agg(F.sum("value").alias("have"))
         return sums.join(hinted(known, few[k]), key + layers[k], "left").select(*key, *layers[k], F.coalesce("goal", F.lit(0.0)).alias("goal"), F.coalesce("log", F.lit(0.0)).alias("log"), "have")
 
-    sums = [checkpointed(summed(0))]
+    sums = [kept(summed(0))]
     marks = (sums[0].select(by).distinct() if by else cells.sparkSession.range(1)).withColumns({"error": F.lit(inf), "rounds": F.lit(0), "live": F.lit(True)})
     for _ in range(rounds):
         for k in range(last + 1):
@@ -299,8 +301,8 @@ def ipf_long(cells: DataFrame, layers: list[list[str]], targets: list[DataFrame]
             step = F.when(F.col("goal") == 0, -inf).otherwise(F.log(F.col("goal") / F.col("have")))
             moved = with_section(have, marks.select(*key, "live")).withColumn("log", F.when(F.col("live") & (F.col("have") != 0), F.col("log") + step).otherwise(F.col("log"))).drop("live")
             # the first layer's follow from sums that are written already
-            tables[k] = moved if k == 0 < last else checkpointed(moved)
-        sums = [checkpointed(summed(k)) for k in range(max(1, last))]
+            tables[k] = moved if k == 0 < last else kept(moved)
+        sums = [kept(summed(k)) for k in range(max(1, last))]
         goal, now = F.col("goal"), F.col("have")
         off = F.when(goal != 0, F.abs(now / goal - 1)).otherwise(F.when(now == 0, 0.0).otherwise(inf))
         # the last layer meets its goals, but for slices that are empty
@@ -308,8 +310,8 @@ def ipf_long(cells: DataFrame, layers: list[list[str]], targets: list[DataFrame]
         worst = reduce(DataFrame.unionByName, parts).groupBy(*key).agg(F.max("now").alias("now"))
         ended = (F.col("now") <= fitted) | ((F.col("now") < inf) & (F.col("error") < inf) & (F.abs(F.col("now") - F.col("error")) <= stalled))
         marks = with_section(marks, worst).select(*key, F.when(F.col("live"), F.col("now")).otherwise(F.col("error")).alias("error"), (F.col("rounds") + F.col("live").cast("int")).alias("rounds"), (F.col("live") & ~ended).alias("live"))
-        marks, going = checkpointed_with_any(marks, F.col("live"))
-        if not going:
+        marks = kept(marks)
+        if marks.where("live").isEmpty():
             break
     return with_section(valued(), marks.select(*key, "rounds", "error"))
 
