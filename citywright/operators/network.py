@@ -14,8 +14,8 @@ def least_reaching(edges: DataFrame, ranks: DataFrame | None = None) -> DataFram
     The order is by ``ranks`` (node, rank), then by node. Labels go along the edges, and from a node's label's own label to the
     node: what reaches a node's label reaches the node too. So they jump ahead. Every round is two joins by node.
     """
-    start = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    start = start.join(ranks, "node") if ranks is not None else start.withColumn("rank", F.lit(0).cast("long"))
+    # with ranks, nodes without edges may have a row too, and keep their own label
+    start = ranks if ranks is not None else edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("rank", F.lit(0).cast("long"))
     labels = checkpointed(start.select("node", F.struct("rank", "node").alias("label")))
     kind = labels.schema["label"].dataType
     while True:
@@ -75,8 +75,8 @@ def chain_ends(chains: DataFrame) -> tuple[DataFrame, DataFrame, int]:
             return state.where(open_).select("node", "head", "tail"), state.where(~open_).select("node", F.col("low").alias("component")), rounds
 
 
-def contracted(edges: DataFrame) -> tuple[DataFrame, list[tuple[DataFrame, DataFrame]]]:
-    """(edges that are left, the chains and rings taken out in each step, as by ``chain_ends``).
+def contracted(edges: DataFrame) -> tuple[DataFrame, DataFrame, int, list[tuple[DataFrame, DataFrame]]]:
+    """(edges that are left, their nodes with n_in and n_out, how many these are, the chains and rings taken out in each step, as by ``chain_ends``).
 
     A step takes out nodes without a link in or out, each of which is a component of its own, and replaces chains of nodes with one link in and one out by a link from
     end to end. Trees vanish in steps that grow with the logarithm of their depth. Steps go on while they take enough nodes (``WORTH``).
@@ -89,7 +89,7 @@ def contracted(edges: DataFrame) -> tuple[DataFrame, list[tuple[DataFrame, DataF
         trim, chain = "n_in = 0 or n_out = 0", "n_in = 1 and n_out = 1"
         n = degrees.agg(F.count("*").alias("all"), F.count(F.when(F.expr(trim), 1)).alias("trim"), F.count(F.when(F.expr(chain), 1)).alias("chain")).first()
         if not n["all"] or n["trim"] + n["chain"] < max(1, WORTH * n["all"]):
-            return edges, steps
+            return edges, degrees, n["all"], steps
         gone = degrees.where(f"({trim}) or ({chain})").select("node")
         left = edges.join(gone.withColumnRenamed("node", "a"), "a", "left_anti").join(gone.withColumnRenamed("node", "b"), "b", "left_anti").select("a", "b")
         if n["chain"]:
@@ -115,36 +115,35 @@ def strong_components(nodes: DataFrame, links: DataFrame, only_largest: bool = F
     """
     every = nodes.select(F.col("node_id").alias("node")).unionByName(links.select(F.explode(F.array("from_node", "to_node")).alias("node"))).where("node is not null").distinct()
     edges = checkpointed(links.where("from_node != to_node").select(F.col("from_node").alias("a"), F.col("to_node").alias("b")).distinct())
-    both_ways = checkpointed(edges.join(edges.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_semi"))
-    if both_ways.count() >= max(1, WORTH * edges.count()):
-        twins = least_reaching(both_ways)
+    pairs = edges.groupBy(F.least("a", "b"), F.greatest("a", "b")).agg(F.count("*").alias("n")).agg(F.sum("n").alias("links"), F.count(F.when(F.col("n") == 2, 1)).alias("streets")).first()
+    names, weights = every.select("node", F.col("node").alias("name")), None
+    if 2 * pairs["streets"] >= max(1, WORTH * (pairs["links"] or 0)):
+        twins = least_reaching(checkpointed(edges.join(edges.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_semi")))
         names = checkpointed(every.join(twins, "node", "left").select("node", F.coalesce("label.node", "node").alias("name")))
+        weights = names.groupBy("name").agg(F.count("*").alias("n")).withColumnRenamed("name", "node")
         edges = checkpointed(_between(edges, names))
-    else:
-        names = checkpointed(every.select("node", F.col("node").alias("name")))
-    weights = names.groupBy("name").agg(F.count("*").alias("n")).withColumnRenamed("name", "node")
-    left, steps = contracted(edges)
+
+    def weighed(some: DataFrame) -> DataFrame:
+        """``some`` (node) with the number n of nodes that each stands for."""
+        return some.withColumn("n", F.lit(1)) if weights is None else some.join(weights, "node")
+
+    def largest(own: DataFrame) -> int:
+        return weighed(own).groupBy("component").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0
+
+    left, degrees, n_left, steps = contracted(edges)
     found: DataFrame | None = None
-    best = hidden = 0
-    for opened, rings in steps:
+    for _, rings in steps:
         found = rings if found is None else found.unionByName(rings)
-        if only_largest:
-            hidden += opened.join(weights, "node").agg(F.sum("n")).first()[0] or 0
+    best = hidden = 0
     if only_largest:
-        best = weights.agg(F.max("n")).first()[0] or 0
-        if found is not None:
-            best = max(best, found.join(weights, "node").groupBy("component").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0)
-    while True:
-        rest = left.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        if only_largest:
-            # chains may belong to what is left
-            weight = rest.join(weights, "node").agg(F.sum("n")).first()[0] or 0
-            if not weight or weight + hidden < best:
-                break
-        elif left.isEmpty():
+        best = 1 if weights is None else weights.agg(F.max("n")).first()[0] or 0
+        best = max(best, largest(found)) if found is not None else best
+        # chains may belong to what is left
+        hidden = sum(weighed(opened).agg(F.sum("n")).first()[0] or 0 for opened, _ in steps)
+    while n_left:
+        if only_largest and (weighed(degrees).agg(F.sum("n")).first()[0] if weights is not None else n_left) + hidden < best:
             break
-        ends = left.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("out")), F.struct(F.col("b").alias("node"), F.lit(0).alias("out")))).alias("e"))
-        ranks = checkpointed(ends.groupBy("e.node").agg((-F.sum("e.out") * F.sum(1 - F.col("e.out"))).alias("rank")))
+        ranks = degrees.select("node", (-F.col("n_in") * F.col("n_out")).alias("rank"))
         colours = least_reaching(left, ranks)
         inner = left.join(colours.select(F.col("node").alias("a"), F.col("label").alias("ca")), "a").join(colours.select(F.col("node").alias("b"), F.col("label").alias("cb")), "b")
         back = least_reaching(checkpointed(inner.where("ca = cb").select(F.col("b").alias("a"), F.col("a").alias("b"))), ranks)
@@ -152,11 +151,12 @@ def strong_components(nodes: DataFrame, links: DataFrame, only_largest: bool = F
         reached = colours.join(back.select("node", F.col("label.node").alias("reached")), "node", "left").where("coalesce(reached, node) = label.node")
         own = checkpointed(reached.select("node", F.col("label.node").alias("component")))
         found = own if found is None else found.unionByName(own)
-        if only_largest:
-            sizes = own.join(weights, "node").groupBy("component").agg(F.sum("n").alias("n"))
-            best = max(best, sizes.agg(F.max("n")).first()[0] or 0)
+        best = max(best, largest(own)) if only_largest else best
         gone = own.select("node")
         left = checkpointed(left.join(gone.withColumnRenamed("node", "a"), "a", "left_anti").join(gone.withColumnRenamed("node", "b"), "b", "left_anti"))
+        ends = left.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("out")), F.struct(F.col("b").alias("node"), F.lit(0).alias("out")))).alias("e")).select("e.*")
+        degrees = checkpointed(ends.groupBy("node").agg(F.sum(1 - F.col("out")).alias("n_in"), F.sum("out").alias("n_out")))
+        n_left = degrees.count()
     # the chains taken out last hang on what was left then, so they come first
     for opened, _ in reversed(steps):
         known = found if found is not None else opened.select("node", F.col("node").alias("component")).limit(0)
