@@ -9,6 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +28,8 @@ HIDDEN, STEPS = 16, 32
 #: Weights are averaged in slices of so many, since a vector grows with the vocabulary. Targets are scored so many at a time.
 SLICE, TARGETS = 1 << 18, 1 << 13
 #: Training: rounds, into which all training documents are dealt by a hash of the id; pieces of documents side by side, from
-#: few to many as a task has more of them, and their tokens; Adam's rate, and lots in which the tasks' weights are averaged.
-ROUNDS, ABREAST, MOST_ABREAST, PIECE, RATE, LOTS, SEED = 2, 64, 512, 512, 0.02, 64, 11
+#: few to many as a task has more of them, and their tokens; Adam's rate, and how many tasks' weights are averaged at a time.
+ROUNDS, ABREAST, MOST_ABREAST, PIECE, RATE, LOT, SEED = 2, 64, 512, 512, 0.02, 32, 11
 
 END = np.uint64(1)
 #: Distinct words that a task gathers before it hands their counts on.
@@ -417,11 +418,24 @@ def _averaged(parts: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"slice": parts["slice"].iloc[:1], "lot": parts["lot"].iloc[:1], "weights": [mean.astype(np.float32).tobytes()], "tokens": [int(tokens.sum())]})
 
 
+def averaged(parts: DataFrame, members: int) -> DataFrame:
+    """One row for each slice of ``parts`` (slice, lot, weights, tokens): the mean by tokens over lots 0 to ``members`` - 1.
+
+    As many levels as it takes, each of which averages ``LOT`` rows of a slice at most in one task, however many tasks there were.
+    """
+    while True:
+        lots = max(1, -(-members // LOT))
+        parts = parts.withColumn("lot", F.pmod("lot", F.lit(lots))).groupBy("slice", "lot").applyInPandas(_averaged, parts.schema)
+        if lots == 1:
+            return parts
+        members = lots
+
+
 def train(texts: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
     """Weights learned from all rows of (doc_id, text): in each round, tasks train from the same weights on their own documents.
 
-    The tasks' weights are averaged by tokens, slice by slice, in lots and then over the lots, so that a task gets a few
-    dozen slices and the driver one vector. Each round takes another one of ``rounds`` shares of the documents by a hash of the id,
+    The tasks' weights are averaged by tokens, slice by slice, in as many levels as there are tasks for (``averaged``), so that a task gets a few
+    dozen slices at a time and the driver one vector. Each round takes another one of ``rounds`` shares of the documents by a hash of the id,
     so every document is learned from once, those without an id too.
     """
     spark = texts.sparkSession
@@ -444,14 +458,13 @@ def train(texts: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> np.
             if parts:
                 trainer.learn(joined(parts))
             if trainer.tokens:
-                flat, lot = trainer.net.flat, int(trainer.tokens) % LOTS
+                flat, lot = trainer.net.flat, TaskContext.get().partitionId()
                 for k, a in enumerate(range(0, len(flat), SLICE)):
                     yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([lot]), pa.array([flat[a : a + SLICE].tobytes()], pa.binary()), pa.array([trainer.tokens])], names=["slice", "lot", "weights", "tokens"])
 
         schema = "slice long, lot long, weights binary, tokens long"
         mine = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == turn).select("text")
-        lots = mine.mapInArrow(run, schema).groupBy("slice", "lot").applyInPandas(_averaged, schema)
-        slices = sorted(lots.groupBy("slice").applyInPandas(_averaged, schema).collect(), key=lambda r: r["slice"])
+        slices = sorted(averaged(mine.mapInArrow(run, schema), mine.rdd.getNumPartitions()).collect(), key=lambda r: r["slice"])
         if slices:
             flat = np.concatenate([np.frombuffer(r["weights"], dtype=np.float32) for r in slices])
     return flat

@@ -234,6 +234,32 @@ def test_learned_words_grow_with_the_corpus():
     assert own == [1_000, 2_000, 20_000]
 
 
+def test_weights_are_averaged_in_lots_of_bounded_size(spark, monkeypatch):
+    """Ten thousand tasks' weights: the mean is exact, and no task gets more than a lot at a time."""
+    n, lot = 10_000, lm_scoring.LOT
+    plain = lm_scoring._averaged
+
+    def watched(parts):
+        if len(parts) > lot:
+            raise AssertionError(len(parts))
+        return plain(parts)
+
+    monkeypatch.setattr(lm_scoring, "_averaged", watched)
+    rows = spark.range(n).selectExpr("id % 2 AS slice", "id DIV 2 AS lot", "id AS tokens")
+
+    def filled(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                weights = np.full(4, batch.column("tokens")[k].as_py() % 7, dtype=np.float32)
+                yield pa.RecordBatch.from_arrays([batch.column("slice").slice(k, 1), batch.column("lot").slice(k, 1), pa.array([weights.tobytes()]), batch.column("tokens").slice(k, 1)], names=["slice", "lot", "weights", "tokens"])
+
+    parts = rows.mapInArrow(filled, "slice long, lot long, weights binary, tokens long")
+    got = {r.slice: (np.frombuffer(r.weights, dtype=np.float32), r.tokens) for r in lm_scoring.averaged(parts, n // 2).collect()}
+    for s in (0, 1):
+        ids = np.arange(s, n, 2)
+        assert np.allclose(got[s][0], (ids % 7 * ids).sum() / ids.sum(), rtol=1e-5) and got[s][1] == ids.sum()
+
+
 def test_gradients_equal_differences():
     vocabulary, batch, _ = small_model()
     net = lm_scoring.Network(vocabulary)
