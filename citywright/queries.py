@@ -425,15 +425,17 @@ def assign_zone(spark, sf_dir):
     return geo.assign_zone(st.points(spark, sf_dir), st.zones(spark)).select("c_custkey", "zone")
 
 
-@query("""WITH a AS (SELECT event_id, CASE event_type WHEN 'purchase' THEN 'w' ELSE 'h' END AS type, (hour(ts) * 3600 + minute(ts) * 60 + second(ts))::INTEGER AS s, floor(value * 100)::INTEGER AS d FROM events WHERE event_type IN ('purchase', 'view'))
-SELECT event_id, CASE WHEN type = 'w' THEN greatest(0, least(s + d, 25200) - s) ELSE 0 END AS wait_s, CASE WHEN type = 'w' THEN greatest(0, least(s + d, 64800) - greatest(s, 25200)) ELSE d END AS performed_s, CASE WHEN type = 'w' THEN greatest(0, s - 32400) ELSE 0 END AS late_s,
-CASE WHEN type = 'w' THEN greatest(0, 28800 - greatest(0, least(s + d, 64800) - greatest(s, 25200))) ELSE greatest(0, 43200 - d) END AS short_s FROM a""")
+@query("""WITH p(type, typical, opening, latest, closing) AS (VALUES ('w', 28800, 25200, 32400, 64800), ('h', 43200, NULL, NULL, NULL), ('l', 7200, 36000, NULL, 82800)),
+a AS (SELECT event_id, CASE event_type WHEN 'purchase' THEN 'w' WHEN 'view' THEN 'h' WHEN 'signup' THEN 'l' ELSE event_type END AS type, (hour(ts) * 3600 + minute(ts) * 60 + second(ts))::INTEGER AS s, (hour(ts) * 3600 + minute(ts) * 60 + second(ts))::INTEGER + floor(value * 100)::INTEGER AS e FROM events),
+b AS (SELECT *, greatest(0, least(e, coalesce(closing, e)) - greatest(s, coalesce(opening, s))) AS performed FROM a LEFT JOIN p USING (type))
+SELECT event_id, greatest(0, least(e, coalesce(opening, s)) - s)::INTEGER AS wait_s, performed::INTEGER AS performed_s, greatest(0, s - coalesce(latest, s))::INTEGER AS late_s, greatest(0, coalesce(typical, 0) - performed)::INTEGER AS short_s FROM b""")
 def activity_windows(spark, sf_dir):
-    """Activities against opening, closing, latest start and typical duration."""
-    e = st.table(spark, sf_dir, "events").where(F.col("event_type").isin("purchase", "view"))
+    """Activities of all types against opening, closing, latest start and typical duration; some types have no times."""
+    e = st.table(spark, sf_dir, "events")
     s = F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts")
-    acts = e.select("event_id", F.when(F.col("event_type") == "purchase", "w").otherwise("h").alias("type"), s.alias("start_s"), (s + F.floor(F.col("value") * 100)).cast("int").alias("end_s"))
-    params = spark.createDataFrame([("w", "08:00:00", "07:00:00", "09:00:00", "18:00:00"), ("h", "12:00:00", "", "undefined", "")], "activity_type string, t string, o string, l string, c string")
+    kind = F.when(F.col("event_type") == "purchase", "w").when(F.col("event_type") == "view", "h").when(F.col("event_type") == "signup", "l").otherwise(F.col("event_type"))
+    acts = e.select("event_id", kind.alias("type"), s.alias("start_s"), (s + F.floor(F.col("value") * 100)).cast("int").alias("end_s"))
+    params = spark.createDataFrame([("w", "08:00:00", "07:00:00", "09:00:00", "18:00:00"), ("h", "12:00:00", "", "undefined", ""), ("l", "02:00:00", "10:00:00", "", "23:00:00")], "activity_type string, t string, o string, l string, c string")
     params = params.select("activity_type", hms_to_s(F.col("t")).alias("typical_s"), hms_to_s(F.col("o")).alias("opening_s"), hms_to_s(F.col("l")).alias("latest_start_s"), hms_to_s(F.col("c")).alias("closing_s"))
     return geo.activity_windows(acts, params).drop("type", "start_s", "end_s")
 
