@@ -441,8 +441,10 @@ def activity_windows(spark, sf_dir):
 
 
 LINKS = "links AS (SELECT l_partkey AS a, nxt AS b FROM (SELECT l_partkey, l_quantity, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS nxt FROM lineitem) WHERE nxt IS NOT NULL AND l_partkey <> nxt GROUP BY ALL)"
+# the component of one node is the largest for certain if it has more than half of all nodes; else the SQL gives no row
 COMPONENT = f"""WITH RECURSIVE {LINKS}, top_ AS (SELECT o.a AS n FROM (SELECT a, count(*) AS c FROM links GROUP BY 1) o JOIN (SELECT b, count(*) AS c FROM links GROUP BY 1) i ON o.a = i.b ORDER BY o.c * i.c DESC, o.a LIMIT 1),
-ahead AS (SELECT n FROM top_ UNION SELECT b FROM links JOIN ahead ON a = n), behind AS (SELECT n FROM top_ UNION SELECT a FROM links JOIN behind ON b = n), keep AS (SELECT n FROM ahead INTERSECT SELECT n FROM behind)"""
+ahead AS (SELECT n FROM top_ UNION SELECT b FROM links JOIN ahead ON a = n), behind AS (SELECT n FROM top_ UNION SELECT a FROM links JOIN behind ON b = n), whole AS (SELECT n FROM ahead INTERSECT SELECT n FROM behind),
+keep AS (SELECT n FROM whole WHERE 2 * (SELECT count(*) FROM whole) > (SELECT count(*) FROM part))"""
 
 
 def _network(spark, sf_dir):
