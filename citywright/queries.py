@@ -568,6 +568,14 @@ def joint_files(spark, sf_dir):
     return _rounded(spark.read.parquet(path), 6)
 
 
+@query(f"{FITTED_2D.rsplit(' SELECT ', 1)[0]} SELECT section AS \"Section\", d1 AS \"Var1\", d2 AS \"Var2\", round(v, 6) AS \"Value\" FROM fit WHERE v <> 0")
+def joint_csv(spark, sf_dir):
+    """A joint distribution with an impossible pair written as CSV without its zero cells, and read back."""
+    path = shared_path(spark, "joint-csv")
+    writers.write_joint(fitting.ipf(st.census(spark, sf_dir), st.SPEC_2D, "section"), path, drop_zero=True, as_csv=True)
+    return _rounded(spark.read.schema("Section string, Var1 string, Var2 string, Value double").option("header", True).csv(path), 6)
+
+
 WEEK = "(day(ts) - 1) // 7"
 
 
