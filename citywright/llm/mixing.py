@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -83,30 +84,42 @@ def _nearest(lengths: list[int], more: list[int], less: list[int], lack: float,
     """Changes of each length, at most ``more`` and at least -``less``, whose words come nearest to ``lack`` while sums stay within ``room``.
 
     Bit room + s of a big integer tells whether sum s can be made; each length's copies go in binary parts. It stops at
-    the first set of lengths that makes the nearest whole number of words.
+    the first set of lengths that makes the nearest whole number of words. Of the integers before n parts, about sqrt(n) at even
+    distances are kept; those between are made again, stretch by stretch, to trace the parts back.
     """
     goal = round(lack)
     mask = (1 << (2 * room + 1)) - 1
-    reach, parts = [1 << room], []
+
+    def with_part(reach: int, k: int, c: int) -> int:
+        words = abs(c) * lengths[k]
+        return (reach | (reach << words if c > 0 else reach >> words)) & mask
+
+    reach, parts = 1 << room, []
+    saved, stretch = [reach], 1
     for k, n in enumerate(lengths):
         for left, sign in ((min(more[k], room // n), 1), (min(less[k], room // n), -1)):
             size = 1
-            while left > 0 and not reach[-1] >> (room + goal) & 1:
+            while left > 0 and not reach >> (room + goal) & 1:
                 c = min(size, left)
-                shifted = reach[-1] << (c * n) if sign > 0 else reach[-1] >> (c * n)
-                reach.append((reach[-1] | shifted) & mask)
                 parts.append((k, sign * c))
+                reach = with_part(reach, *parts[-1])
+                if len(parts) % stretch == 0:
+                    saved.append(reach)
+                    if len(saved) > 2 * stretch:
+                        saved, stretch = saved[::2], 2 * stretch
                 left, size = left - c, size * 2
-    can = reach[-1]
-    below = can & ((1 << (room + goal + 1)) - 1)
-    above = can >> (room + goal)
+    below = reach & ((1 << (room + goal + 1)) - 1)
+    above = reach >> (room + goal)
     options = ([below.bit_length() - 1 - room] if below else []) + ([goal + (above & -above).bit_length() - 1] if above else [])
     at = min(options, key=lambda x: (abs(x - lack), x))
     change, off, bit = [0] * len(lengths), abs(at - lack), room + at
-    for (k, c), before in zip(reversed(parts), reversed(reach[:-1]), strict=True):
-        if not before >> bit & 1:
-            change[k] += c
-            bit -= c * lengths[k]
+    for number in reversed(range(len(saved))):
+        some = parts[number * stretch : (number + 1) * stretch]
+        before = list(accumulate(some[:-1], lambda reach, part: with_part(reach, *part), initial=saved[number]))
+        for (k, c), can in zip(reversed(some), reversed(before[: len(some)]), strict=True):
+            if not can >> bit & 1:
+                change[k] += c
+                bit -= c * lengths[k]
     return change, off
 
 

@@ -3,8 +3,10 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -14,7 +16,7 @@ from citywright.llm.components import components
 from citywright.llm.decontamination import drop_leaks, find_leaks
 from citywright.llm.licenses import scan_licenses
 from citywright.llm.near_dedup import drop_near_duplicates, near_duplicates
-from citywright.llm.quality import clean_lines, keep_clean
+from citywright.llm.quality import clean_lines, keep_clean, oracle_sql
 from citywright.llm.queries import op9_secret_scan
 from citywright.llm.secrets import findings, redact_secrets, scan_blobs
 
@@ -247,6 +249,17 @@ def test_quality_figures_equal_brute_force(spark):
     assert keep_clean(frame(spark, [])).isEmpty()
 
 
+def test_menus_and_phrases_of_four_languages(spark):
+    bad = ["Home, Menu; Search.", "Accueil / Connexion / À PROPOS.", "À propos.", "Startseite: über uns: Impressum!", "Inicio. MENÚ. Leer más.", "ALL RIGHTS RESERVED.", "Tous DROITS RÉSERVÉS.", "Voir nos conditions générales d’utilisation.", "Unsere DATENSCHUTZERKLÄRUNG finden Sie unten.", "Alle Cookies akzeptieren.", "Haga clic aquí para ver.", "PÁGINA no encontrada!"]
+    good = ["Home is where the menu is.", "La recherche avance.", "Weiter ging es nach Hause.", "Se busca un inicio mejor.", "The rights reserved to all.", "Él dijo que utiliza la sal."]
+    docs = frame(spark, [(k, x, "a") for k, x in enumerate(bad + good)])
+    got = {r.doc_id: r.n_lines_kept for r in clean_lines(docs).collect()}
+    assert got == {k: int(k >= len(bad)) for k in range(len(bad) + len(good))}
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    assert {(r[0], r[7]) for r in con.execute(oracle_sql()).fetchall()} == set(got.items())
+
+
 def test_quality_with_clashing_names(spark):
     names = ["row", "_t", "_w", "_lines", "_ok", "_h", "_win", "_kinds", "_s", "_at", "a.b", "figures", "col"]
     docs = frame(spark, [(1, "\n".join(prose(12) + "." for _ in range(9)) + "\nMenu", "a"), (2, None, "a")]).selectExpr("*", *[f"{k} AS `{n}`" for k, n in enumerate(names)])
@@ -375,6 +388,17 @@ def test_knapsack_gives_bulk_back():
         assert abs(abs(sum(t * n for t, n in zip(take, lengths, strict=True)) - budget) - min(abs(s - budget) for s in sums)) < 1e-6
 
 
+def test_knapsack_of_long_texts_keeps_few_sets():
+    rng = random.Random(3)
+    lengths = sorted(rng.sample(range(400_000, 500_000), 300))
+    tracemalloc.start()
+    take = mixing.fit(lengths, [1] * 300, sum(lengths) / 2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # all sets of sums together would take 120 MB
+    assert abs(sum(n * t for n, t in zip(lengths, take, strict=True)) - sum(lengths) / 2) <= 0.5 and peak < 60e6
+
+
 def test_targets_of_many_sources_equal_rounds_of_sharing(spark):
     rng = random.Random(13)
     for sizes in ([int(1.3**k) for k in range(60)], [rng.randrange(0, 50) for _ in range(200)], [7] * 12, [0, 0], [5]):
