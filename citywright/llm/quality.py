@@ -12,11 +12,35 @@ SYMBOLS = r"[^#*$%&|<>]+"
 
 #: A line passes on punctuation if a sentence ends in it, behind closing quotes or brackets too.
 SENTENCE_END = r"[.!?…:;。！？][\"'”’»)\]}*_]*([\x20\x09-\x0D]|$)"
-#: A line is navigation if a quarter of its words or more are separators, or if it is a short run of menu words.
+#: A line is navigation if a quarter of its words or more are separators, or if it is a run of menu words in English, French, German or Spanish.
 SEPARATORS = r"[^|»›•·]+"
-MENU = r"(?i)^\W*(home|menu|login|log in|sign in|sign up|register|search|next|previous|back to top|skip to content|share|tweet|print|read more|contact us|about us|sitemap)(\W+(home|menu|login|log in|sign in|sign up|register|search|next|previous|share|tweet|print|contact us|about us|sitemap))*\W*$"
-#: Phrases of lines that are put on every page of a site.
-BOILERPLATE = r"(?i)(all rights reserved|terms of (use|service)|privacy policy|cookie policy|uses cookies|accept (all )?cookies|enable javascript|javascript is (disabled|required)|click here|subscribe to our newsletter|follow us on|powered by|lorem ipsum|page not found)"
+MENU_WORDS = (
+    *("home", "menu", "login", "log in", "sign in", "sign up", "register", "search", "next", "previous", "back to top", "skip to content", "share", "tweet", "print", "read more", "contact us", "about us", "sitemap"),
+    *("accueil", "connexion", "se connecter", "inscription", "s['’]inscrire", "recherche", "rechercher", "suivant", "précédent", "haut de page", "aller au contenu", "partager", "imprimer", "lire la suite", "contactez-nous", "à propos", "plan du site"),
+    *("startseite", "anmelden", "registrieren", "suche", "weiter", "zurück", "nach oben", "zum inhalt", "teilen", "drucken", "weiterlesen", "kontakt", "über uns", "impressum"),
+    *("inicio", "menú", "iniciar sesión", "registrarse", "buscar", "siguiente", "anterior", "volver arriba", "ir al contenido", "compartir", "imprimir", "leer más", "contacto", "quiénes somos", "sobre nosotros", "mapa del sitio"),
+)
+#: Phrases of lines that are put on every page of a site, in English, French, German and Spanish.
+PHRASES = (
+    *("all rights reserved", "terms of (use|service)", "privacy policy", "cookie policy", "uses cookies", "accept (all )?cookies", "enable javascript", "javascript is (disabled|required)"),
+    *("click here", "subscribe to our newsletter", "follow us on", "powered by", "lorem ipsum", "page not found"),
+    *("tous droits réservés", "conditions (générales )?d['’]utilisation", "politique de confidentialité", "mentions légales", "utilise des cookies", "accepter (tous )?les cookies", "activer javascript"),
+    *("cliquez ici", "abonnez-vous à notre newsletter", "suivez-nous sur", "page introuvable"),
+    *("alle rechte vorbehalten", "nutzungsbedingungen", "datenschutzerklärung", "cookie-richtlinie", "verwendet cookies", "cookies akzeptieren", "javascript (ist deaktiviert|aktivieren)"),
+    *("klicken sie hier", "newsletter abonnieren", "folgen sie uns auf", "seite nicht gefunden"),
+    *("todos los derechos reservados", "(términos|condiciones) de uso", "política de (privacidad|cookies)", "(usa|utiliza) cookies", "aceptar (todas )?las cookies", "(active|habilite) javascript"),
+    *("ha(z|ga) clic aquí", "suscr(íbete|íbase) a nuestro boletín", "s(íguenos|íganos) en", "página no encontrada"),
+)
+
+
+def _any_of(patterns: tuple[str, ...]) -> str:
+    """One of ``patterns``. Letters beyond ASCII are named in both cases, since regular expressions differ in whether they fold them."""
+    one = "|".join(patterns)
+    return "(" + "".join(f"[{c}{c.upper()}]" if c > "\x7f" and c.isalpha() else c for c in one) + ")"
+
+
+MENU = rf"(?i)^\W*{_any_of(MENU_WORDS)}(\W+{_any_of(MENU_WORDS)})*\W*$"
+BOILERPLATE = "(?i)" + _any_of(PHRASES)
 
 #: Documents with fewer words, or more of them in repeated 3-word windows, fail at once.
 LEAST_WORDS = 50
