@@ -25,8 +25,9 @@ FLOOR, OWN_WORDS, OWN_CLASSES, BANDS = 10, 1000, 24, 6
 #: Inputs: a start mark, the bands, and the own words behind them.
 START, FIRST_BAND, FIRST_OWN = 0, 1, 1 + BANDS
 HIDDEN, STEPS = 16, 32
-#: Weights are averaged in slices of so many, since a vector grows with the vocabulary. Targets are scored so many at a time.
-SLICE, TARGETS = 1 << 18, 1 << 13
+#: Weights are averaged in slices of so many, since a vector grows with the vocabulary. Targets are scored so many at a time, and
+#: their classes in fewer, which a processor's cache holds.
+SLICE, TARGETS, CLASS_TARGETS = 1 << 18, 1 << 13, 1 << 11
 #: Training: rounds, into which all training documents are dealt by a hash of the id; pieces of documents side by side, from
 #: few to many as a task has more of them, and their tokens; Adam's rate, and how many tasks' weights are averaged at a time.
 ROUNDS, ABREAST, MOST_ABREAST, PIECE, RATE, LOT, SEED = 2, 64, 512, 512, 0.02, 32, 11
@@ -217,6 +218,7 @@ class Network:
             self.p["cb"][:] = vocabulary.group_bias
             self.p["wb"][:] = vocabulary.word_bias
 
+    @np.errstate(over="ignore")
     def states(self, tokens: np.ndarray, h: np.ndarray, keep: bool = False) -> tuple[np.ndarray, list]:
         """Hidden states (steps, documents, HIDDEN) after each of the input tokens (steps, documents), from state ``h``."""
         x, u, n = self.p["x"], self.p["u"], HIDDEN
@@ -226,10 +228,10 @@ class Network:
         for t in range(len(tokens)):
             a, g = inputs[t], h @ u
             gates = a[:, : 2 * n] + g[:, : 2 * n]
-            gates *= 0.5
-            np.tanh(gates, out=gates)
+            np.negative(gates, out=gates)
+            np.exp(gates, out=gates)
             gates += 1
-            gates *= 0.5
+            np.reciprocal(gates, out=gates)
             z, r = gates[:, :n], gates[:, n:]
             new = np.tanh(a[:, 2 * n :] + r * g[:, 2 * n :])
             after = out[t]
@@ -250,16 +252,19 @@ class Network:
         # by class, so that what a class needs lies together
         order = np.argsort(group.astype(np.int16), kind="stable")
         h, group, inner = h[order], group[order], inner[order]
-        logits = h @ c
-        logits += cb
-        logs, over = _softmax(logits, group, at, small)
-        back = None
-        if grads is not None:
-            logits *= over
-            logits[at, group] -= 1
-            back = logits @ c.T
-            grads["c"] += h.T @ logits
-            grads["cb"] += ones @ logits
+        logs, back = np.empty(len(h)), None if grads is None else np.empty_like(h)
+        for a in range(0, len(h), CLASS_TARGETS):
+            b = min(a + CLASS_TARGETS, len(h))
+            line, target = at[: b - a], group[a:b]
+            logits = h[a:b] @ c
+            logits += cb
+            logs[a:b], over = _softmax(logits, target, line, small)
+            if grads is not None:
+                logits *= over
+                logits[line, target] -= 1
+                np.matmul(logits, c.T, out=back[a:b])
+                grads["c"] += h[a:b].T @ logits
+                grads["cb"] += ones[: b - a] @ logits
         bounds = np.searchsorted(group, np.arange(self.classes + 1)).tolist()
         last = bounds[-1]
         logs[last:] += inner[last:]
