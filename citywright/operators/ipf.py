@@ -131,14 +131,19 @@ def check_totals(df: DataFrame, spec: Spec, by: str | None = None, tol: float =
     return out.withColumn("equal", F.greatest(*names) - F.least(*names) <= tol)
 
 
-def unique_columns(df: DataFrame, count_null: bool = True) -> DataFrame:
+def unique_columns(df: DataFrame, count_null: bool = True, count_all: bool = False) -> DataFrame:
     """(column, n_distinct, is_unique): which columns could be keys. A null counts as a value if ``count_null``.
 
-    Sketches of all columns in one scan rule out those with clearly fewer values than rows (``CLEARLY_FEWER``, six standard errors of a sketch):
+    With ``count_all``, the distinct values of every column are counted, and an empty table has a row for each column. Otherwise
+    sketches of all columns in one scan rule out those with clearly fewer values than rows (``CLEARLY_FEWER``, six standard errors of a sketch):
     their n_distinct is null, and their values are not shuffled. Of the others every value is counted. An empty table has no rows.
     """
     text = lambda c: F.col(f"`{c}`").cast("string")
     nulls = lambda c: F.when(F.count(F.col(f"`{c}`")) < F.count("*"), 1).otherwise(0) if count_null else F.lit(0)
+    if count_all:
+        # a task shuffles each of a column's values once, so that a column with few values is few rows
+        counted = df.agg(F.count("*").alias("rows"), *[(F.count_distinct(F.col(f"`{c}`")) + nulls(c)).alias(f"n{k}") for k, c in enumerate(df.columns)])
+        return counted.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"n{k}").alias("n_distinct"), (F.col(f"n{k}") == F.col("rows")).alias("is_unique")) for k, c in enumerate(df.columns)])))
     seen = df.agg(F.count("*").alias("rows"), *[(F.hll_sketch_estimate(F.hll_sketch_agg(text(c))) + nulls(c)).alias(f"e{k}") for k, c in enumerate(df.columns)]).first()
     left = [c for k, c in enumerate(df.columns) if seen["rows"] and seen[f"e{k}"] >= CLEARLY_FEWER * seen["rows"]]
     out = [c for c in df.columns if c not in left and seen["rows"]]

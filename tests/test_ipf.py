@@ -1,5 +1,6 @@
 import math
 from itertools import combinations
+import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -7,6 +8,7 @@ from hypothesis import strategies as st
 
 from citywright.operators import ipf as m
 from citywright.plans.workloads import joint_distribution
+from citywright.queries import ORACLE_SQL, QUERIES
 from citywright.storage import checkpointed
 
 ABC, XY, PQ = ["a", "b", "c"], ["x", "y"], ["p", "q"]
@@ -231,6 +233,21 @@ def test_values_of_ruled_out_columns_are_not_shuffled(spark):
     assert {r.column: (r.n_distinct, r.is_unique) for r in out.collect()} == {"key": (20_000, True), "nearly": (19_990, False), "few": (None, False), "none": (None, False)}
 
 
+def test_every_column_is_counted(spark, tmp_path):
+    schema = "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
+    rows = [(k, None if k == 3 else f"n{k}", k % 7, -0.0 if k == 1 else float(k % 20 // 2), "a" if k % 2 else None) for k in range(1, 21)]
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "customer.parquet"))
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "empty" / "customer.parquet"))
+    for folder in (tmp_path, tmp_path / "empty"):
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW customer AS SELECT * FROM '{folder}/customer.parquet/*.parquet'")
+        want = sorted(con.execute(ORACLE_SQL["unique_columns"]).fetchall())
+        assert sorted(tuple(r) for r in QUERIES["unique_columns"](spark, str(folder)).collect()) == want
+        assert all(n is not None for _, n, _ in want)
+    got = {r.column: (r.n_distinct, r.is_unique) for r in m.unique_columns(spark.createDataFrame(rows, schema), count_all=True).collect()}
+    assert got == {"c_custkey": (20, True), "c_name": (20, True), "c_nationkey": (7, False), "c_acctbal": (10, False), "c_mktsegment": (2, False)}
+
+
 def test_seed_of_a_projection(spark):
     spec = m.Spec([ABC, XY, PQ], [("a", "x", "p"), ("b", "y", "unknown")])
     cells = m.expand_impossible(spark, [ABC, XY])
