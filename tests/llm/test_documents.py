@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from citywright.llm import decontamination, hot_keys, licenses, mixing, near_dedup, token_counts, words
+from citywright.llm import decontamination, hot_keys, licenses, mixing, near_dedup, quality, token_counts, words
 from citywright.llm.components import components
 from citywright.llm.decontamination import drop_leaks, find_leaks
 from citywright.llm.licenses import scan_licenses
@@ -260,6 +260,30 @@ def test_menus_and_phrases_of_four_languages(spark):
     assert {(r[0], r[7]) for r in con.execute(oracle_sql()).fetchall()} == set(got.items())
 
 
+def spelled(pattern):
+    """All texts that a phrase of the quality rules stands for."""
+    m = re.search(r"\(([^)]*)\)(\??)|\[([^\]]*)\]", pattern)
+    if not m:
+        return [pattern]
+    ways = list(m[3]) if m[3] else m[1].split("|") + [""] * bool(m[2])
+    return [x for w in ways for x in spelled(pattern[: m.start()] + w + pattern[m.end() :])]
+
+
+def test_phrases_are_searched_in_lines_with_a_stem_only(spark, monkeypatch):
+    phrases = [x for p in quality.PHRASES for x in spelled(p)]
+    lines = [f"Ici xx{f(x)}xx und so." for x in phrases for f in (str, str.upper, str.title)] + ["Home | Menu » Next.", "One | word is few among these ones here.", "İ K ſ » Ä."]
+    docs = frame(spark, [(k, x, "a") for k, x in enumerate(lines)])
+    got = {r.doc_id: r.n_lines_kept for r in clean_lines(docs).collect()}
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    assert {(r[0], r[7]) for r in con.execute(oracle_sql()).fetchall()} == set(got.items())
+    assert not any(got[k] for k in range(3 * len(phrases))) and [got[k] for k in range(3 * len(phrases), len(lines))] == [0, 1, 1]
+    # the costly search is told apart by a pattern that every line matches
+    monkeypatch.setattr(quality, "BOILERPLATE", "")
+    plain = frame(spark, [(1, "The rights of all are here.", "a"), (2, "Some Cookies are sweet.", "a")])
+    assert {r.doc_id: r.n_lines_kept for r in clean_lines(plain).collect()} == {1: 1, 2: 0}
+
+
 def test_quality_with_clashing_names(spark):
     names = ["row", "_t", "_w", "_lines", "_ok", "_h", "_win", "_kinds", "_s", "_at", "a.b", "figures", "col"]
     docs = frame(spark, [(1, "\n".join(prose(12) + "." for _ in range(9)) + "\nMenu", "a"), (2, None, "a")]).selectExpr("*", *[f"{k} AS `{n}`" for k, n in enumerate(names)])
